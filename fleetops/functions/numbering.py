@@ -1,0 +1,56 @@
+"""Row numbers within a key, without ever putting a very large key into one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+
+
+def number_rows(
+    df: DataFrame,
+    key: list[str],
+    order: list[str],
+    coarse: list[Column],
+    out: str = "line_no",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``row_number()`` per ``key`` in ``order`` as the BIGINT column ``out``.
+
+    ``coarse`` must rise with ``order`` (for example the leading order column, or that
+    column divided). Keys with more than ``hot_rows`` rows are cut along it: each part
+    is numbered alone and shifted by the rows in the parts before it. All other keys
+    take one plain window.
+
+    The set of large keys is broadcast. It has at most ``rows / hot_rows`` entries, and
+    is normally empty, in which case AQE drops that branch before it scans anything.
+    """
+    hot = F.broadcast(df.groupBy(*key).count().filter(F.col("count") > hot_rows).select(*key))
+
+    plain = Window.partitionBy(*key).orderBy(*order)
+    small = df.join(hot, key, "left_anti").withColumn(out, F.row_number().over(plain).cast("bigint"))
+
+    parts = [f"_part{i}" for i in range(len(coarse))]
+    large = df.join(hot, key, "left_semi").withColumns(dict(zip(parts, coarse)))
+    before = Window.partitionBy(*key).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        large.groupBy(*key, *parts)
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .drop("_rows")
+    )
+    within = Window.partitionBy(*key, *parts).orderBy(*order)
+    # A part column may be null, so the match has to treat null as a value.
+    left, right = large.alias("l"), shifts.alias("s")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*key, *parts]]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    large = (
+        left.join(right, condition)
+        .select("l.*", "s._shift")
+        .withColumn(out, (F.row_number().over(within) + F.col("_shift")).cast("bigint"))
+        .drop("_shift", *parts)
+    )
+    return small.unionByName(large)
