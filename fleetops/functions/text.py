@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: terminal colour sequences as written into log files.
+# Terminal colour sequences as written into log files, and how they begin.
+ESCAPE = "\x1b"
 ANSI_PATTERN = r"\x1B\[[0-9;]*[A-Za-z]"
 
 # Units of a readable size, each 1024 times the one before.
@@ -36,7 +37,8 @@ def strip_cr(c: Column) -> Column:
 
 
 def strip_ansi(c: Column) -> Column:
-    return F.regexp_replace(c, ANSI_PATTERN, "")
+    """Drop colour sequences; lines without any, the most, skip the pattern."""
+    return F.when(c.contains(ESCAPE), F.regexp_replace(c, ANSI_PATTERN, "")).otherwise(c)
 
 
 def field(line: Column, n: int) -> Column:

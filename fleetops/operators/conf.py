@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.functions.text import strip_cr
@@ -16,6 +16,9 @@ MASK = "********"
 # Fixed value: an assignment. Groups: key, "quoted", 'quoted' and bare value.
 ASSIGNMENT = r"""^\s*(?:export\s+)?([A-Za-z_]\w*)=(?:"((?:[^"\\]|\\.)*)"|'([^']*)'|([^\s"']*))"""
 
+# Fixed value: a number without sign.
+DIGITS = "^[0-9]+$"
+
 # The checks of each kind of configuration, in the order they are made.
 # (rule_id, kind of configuration, check, key, argument)
 RULES = [
@@ -88,41 +91,34 @@ def validate_conf(conf: DataFrame, kinds: Sequence[str] | None = None, key: str
     One aggregation of booleans per file; the rules are literals, so nothing is joined.
     """
     chosen = [(i, r) for i, r in enumerate(RULES, start=1) if kinds is None or r[1] in kinds]
-    length = F.col("value_len") if "value_len" in conf.columns else F.length("value")
-    filled = F.coalesce(length, F.lit(0)) > 0
-
-    def seen(name: str, test: Column) -> Column:
-        return F.coalesce(F.bool_or((F.col("key") == name) & F.coalesce(test, F.lit(False))), F.lit(False))
+    sized = conf if "value_len" in conf.columns else conf.withColumn("value_len", F.length("value"))
 
-    facts: dict[str, Column] = {}
+    facts: dict[str, str] = {}
 
-    def fact(name: str, label: str, test: Column) -> Column:
-        column = f"{label}_{name}"
-        facts[column] = seen(name, test).alias(column)
-        return F.col(column)
+    def seen(key_name: str, label: str, test: str) -> str:
+        """The name of a boolean per file: is there a row of this key that passes the test?"""
+        column = f"{label}_{key_name}"
+        facts[column] = f"bool_or(key = '{key_name}' AND coalesce({test}, false)) AS {column}"
+        return column
 
     verdicts = []
     for rule_ord, (rule_id, _, check, name, arg) in chosen:
         if check == "required":
-            ok = fact(name, "filled", filled)
+            ok = seen(name, "filled", "value_len > 0")
         elif check == "min_length":
-            ok = fact(name, f"long{arg}", length >= arg)
+            ok = seen(name, f"long{arg}", f"value_len >= {arg}")
         elif check == "yes_no":
-            ok = fact(name, "flag", F.col("value").isin("yes", "no"))
+            ok = seen(name, "flag", "value IN ('yes', 'no')")
         elif check == "digits_if_set":
-            ok = ~fact(name, "bad_number", filled & ~F.col("value").rlike(r"^[0-9]+\z"))
+            ok = "NOT " + seen(name, "bad_number", f"value_len > 0 AND NOT rlike(value, '{DIGITS}')")
         else:
-            ok = ~fact(arg, "on", F.col("value") == "yes") | fact(name, "filled", filled)
-        verdicts.append(
-            F.struct(
-                F.lit(rule_ord).cast("bigint").alias("rule_ord"),
-                F.lit(rule_id).alias("rule_id"),
-                F.lit(name).alias("key"),
-                ok.alias("ok"),
-            )
-        )
-    per_file = conf.groupBy(key).agg(*facts.values())
-    return per_file.select(key, F.inline(F.array(*verdicts)))
+            on = seen(arg, "on", "value = 'yes'")
+            ok = f"(NOT {on} OR {seen(name, 'filled', 'value_len > 0')})"
+        verdicts.append(f"struct({rule_ord}L AS rule_ord, '{rule_id}' AS rule_id, '{name}' AS key, {ok} AS ok)")
+
+    # A null key makes a test null, not false.
+    per_file = sized.groupBy(key).agg(*[F.expr(f) for f in facts.values()]).na.fill(False)
+    return per_file.selectExpr(key, f"inline(array({', '.join(verdicts)}))")
 
 
 def first_failures(report: DataFrame, key: str = "file_id") -> DataFrame:

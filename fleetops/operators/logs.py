@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.functions.text import strip_ansi
@@ -18,15 +18,28 @@ TIME_LENGTH = 19
 # How a run can end, from weakest to strongest evidence.
 OUTCOMES = ["unknown", "success", "no-op", "cancelled", "failed", "rolled_back"]
 
-# Messages that mark an outcome.
+# Messages that mark an outcome, by how they begin or end.
 OUTCOME_MARKERS = {
-    "rolled_back": r"^Rollback completed",
-    "failed": r"^(?:Script failed with exit code: \d+|An error occurred during installation)",
-    "cancelled": r"^(?:Installation|Upgrade) cancelled by user",
-    "no-op": r"^Already running (?:the latest )?version",
-    "success": r"(?:Installation|upgrade|configuration) completed successfully!$",
+    "rolled_back": [("startswith", "Rollback completed")],
+    "failed": [
+        ("startswith", "Script failed with exit code: "),
+        ("startswith", "An error occurred during installation"),
+    ],
+    "cancelled": [
+        ("startswith", "Installation cancelled by user"),
+        ("startswith", "Upgrade cancelled by user"),
+    ],
+    "no-op": [
+        ("startswith", "Already running version "),
+        ("startswith", "Already running the latest version "),
+    ],
+    "success": [
+        ("endswith", "Installation completed successfully!"),
+        ("endswith", "upgrade completed successfully!"),
+        ("endswith", "configuration completed successfully!"),
+    ],
 }
-EXIT_CODE_PATTERN = r"^Script failed with exit code: (\d+)"
+EXIT_CODE_PREFIX = "Script failed with exit code: "
 
 # Fixed value: the exit code of a failure whose message does not state one.
 PLAIN_FAILURE_CODE = 1
@@ -68,6 +81,16 @@ def parse_run_logs(lines: DataFrame) -> DataFrame:
     return parse_log_lines(lines, ["run_id", "seq"])
 
 
+def _rank(msg: Column) -> Column:
+    """Position in OUTCOMES of what the message marks; 0 when it marks nothing."""
+    rank = None
+    for i, outcome in enumerate(OUTCOMES):
+        for test, text in OUTCOME_MARKERS.get(outcome, []):
+            hit = getattr(msg, test)(text)
+            rank = F.when(hit, i) if rank is None else rank.when(hit, i)
+    return rank.otherwise(0)
+
+
 def run_outcomes(parsed: DataFrame) -> DataFrame:
     """[run_id, outcome, exit_code]: the strongest outcome any message of the run marks.
 
@@ -75,16 +98,15 @@ def run_outcomes(parsed: DataFrame) -> DataFrame:
     when none was logged. Lines that could not be parsed mark nothing. The aggregates are
     plain numbers, so the map side merges a long run into one row.
     """
-    rank = F.lit(0)
-    for outcome in OUTCOMES[1:]:
-        hit = ~F.col("bad") & F.col("msg").rlike(OUTCOME_MARKERS[outcome])
-        rank = F.when(hit, OUTCOMES.index(outcome)).otherwise(rank)
-    failed = ~F.col("bad") & F.col("msg").rlike(OUTCOME_MARKERS["failed"])
-    code = F.regexp_extract("msg", EXIT_CODE_PATTERN, 1).try_cast("int")
-    marked = parsed.select(
+    ranked = parsed.select(
+        "run_id", "seq", "msg", F.when(F.col("bad"), 0).otherwise(_rank(F.col("msg"))).alias("rank")
+    )
+    failed = F.col("rank") == OUTCOMES.index("failed")
+    stated = F.substring_index("msg", EXIT_CODE_PREFIX, -1).try_cast("int")
+    marked = ranked.select(
         "run_id",
-        rank.alias("rank"),
-        F.when(failed, F.coalesce(code, F.lit(PLAIN_FAILURE_CODE))).alias("code"),
+        "rank",
+        F.when(failed, F.coalesce(stated, F.lit(PLAIN_FAILURE_CODE))).alias("code"),
         F.when(failed, F.col("seq")).alias("code_seq"),
     )
     names = F.array(*[F.lit(o) for o in OUTCOMES])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The system the runs are made for.
@@ -14,38 +14,37 @@ OS_VERSION = "24.04"
 SCRIPTS = ("install", "upgrade", "domain")
 
 
-def _failed_unless(test: Column) -> Column:
-    return F.when(F.coalesce(test, F.lit(False)), "pass").otherwise("fail")
+def _failed_unless(test: str) -> str:
+    return f"if({test}, 'pass', 'fail')"
 
 
-def _warned_if(test: Column) -> Column:
-    return F.when(F.coalesce(test, F.lit(False)), "warn").otherwise("pass")
+def _warned_if(test: str) -> str:
+    return f"if({test}, 'warn', 'pass')"
 
 
-def _checks(script: str) -> list[tuple[str, Column]]:
-    wrong_os = F.when(F.col("os_id") == OS_ID, "pass").otherwise("fail" if script == "install" else "warn")
-    wrong_version = F.when(F.col("os_version") == OS_VERSION, "pass").otherwise("warn")
-    both = [("os", wrong_os), ("os_version", wrong_version)]
+def _checks(script: str) -> dict[str, str]:
+    """The checks of a script as SQL over the host facts; an unknown fact counts as false."""
+    common = {
+        "os": f"if(os_id = '{OS_ID}', 'pass', '{'fail' if script == 'install' else 'warn'}')",
+        "os_version": f"if(os_version = '{OS_VERSION}', 'pass', 'warn')",
+    }
     if script == "install":
         # A running service and an installed client are one finding.
-        return [
-            *both,
-            ("existing_database", _warned_if(F.coalesce("db_running", F.lit(False)) | F.col("client_present"))),
-            ("existing_web_ui", _warned_if(F.col("ui_installed"))),
-        ]
+        return common | {
+            "existing_database": _warned_if("db_running OR client_present"),
+            "existing_web_ui": _warned_if("ui_installed"),
+        }
     if script == "upgrade":
-        return [
-            *both,
-            ("web_ui_package", _failed_unless(F.col("ui_installed"))),
-            ("web_server_running", _failed_unless(F.col("web_running"))),
-        ]
+        return common | {
+            "web_ui_package": _failed_unless("ui_installed"),
+            "web_server_running": _failed_unless("web_running"),
+        }
     if script == "domain":
-        return [
-            *both,
-            ("web_server_present", _failed_unless(F.col("web_present"))),
-            ("web_server_running", _failed_unless(F.col("web_running"))),
-            ("web_ui_reachable", _failed_unless(F.col("ui_reachable"))),
-        ]
+        return common | {
+            "web_server_present": _failed_unless("web_present"),
+            "web_server_running": _failed_unless("web_running"),
+            "web_ui_reachable": _failed_unless("ui_reachable"),
+        }
     raise ValueError(f"unknown script: {script}")
 
 
@@ -59,16 +58,15 @@ def preflight_report(
     """
     chosen = [scripts] if isinstance(scripts, str) else list(scripts)
     rows = [
-        F.struct(F.lit(s).alias("script"), F.lit(name).alias("check"), level.alias("level"))
+        f"struct('{s}' AS script, '{name}' AS check, {level} AS level)"
         for s in chosen
-        for name, level in _checks(s)
+        for name, level in _checks(s).items()
         if s not in skip
     ]
     if not rows:
-        return facts.select(
-            "host_id", F.lit("").alias("script"), F.lit("").alias("check"), F.lit("").alias("level")
-        ).filter(F.lit(False))
-    return facts.select("host_id", F.inline(F.array(*rows)))
+        nothing = "array(struct('' AS script, '' AS check, '' AS level))"
+        return facts.selectExpr("host_id", f"inline({nothing})").filter(F.lit(False))
+    return facts.selectExpr("host_id", f"inline(array({', '.join(rows)}))")
 
 
 def preflight_verdict(report: DataFrame) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetops.functions.text import idiv, or_default
-
 # RAM in MB below which a host is in the tier; from the last one on it is "high".
 TIER_LIMITS_MB = {"low": 2048, "medium": 8192}
 
@@ -49,6 +47,12 @@ TIER_SETTINGS = {
     },
 }
 
+# What "high" takes from the host's RAM instead.
+HIGH_FROM_RAM = {
+    "shared_buffers": "concat(ram_mb div 4, 'MB')",
+    "effective_cache_size": "concat(ram_mb * 3 div 4, 'MB')",
+}
+
 # Settings that do not depend on the tier.
 COMMON_SETTINGS = {
     "checkpoint_completion_target": "0.9",
@@ -81,20 +85,14 @@ WRITTEN_SETTINGS = [
 SETTING_NAMES = [name for name, _ in WRITTEN_SETTINGS]
 
 
-def _override(hosts: DataFrame, name: str) -> Column:
-    column = f"custom_{name}"
-    return F.col(column) if column in hosts.columns else F.lit(None).cast("string")
-
-
 def host_resources(hosts: DataFrame) -> DataFrame:
     """[host_id, ram_mb, ram_gb, cpu_cores, disk_type]; a missing rotational flag means HDD."""
-    ram_mb = idiv(F.col("mem_total_kb"), 1024)
-    return hosts.select(
+    return hosts.selectExpr(
         "host_id",
-        ram_mb.alias("ram_mb"),
-        idiv(ram_mb, 1024).alias("ram_gb"),
+        "mem_total_kb div 1024 AS ram_mb",
+        "mem_total_kb div 1024 div 1024 AS ram_gb",
         "cpu_cores",
-        F.when(F.col("rotational") == 0, "SSD").otherwise("HDD").alias("disk_type"),
+        "CASE WHEN rotational = 0 THEN 'SSD' ELSE 'HDD' END AS disk_type",
     )
 
 
@@ -105,62 +103,50 @@ def fleet_tuning(hosts: DataFrame) -> DataFrame:
     columns ``custom_<setting>``. A host whose profile is not known keeps its row with
     null settings. A single projection: no shuffle, and only the named columns are read.
     """
-    ram_mb = idiv(F.col("mem_total_kb"), 1024)
-    asked = or_default(F.col("profile"), "auto")
-    by_ram = (
-        F.when(ram_mb < TIER_LIMITS_MB["low"], "low")
-        .when(ram_mb < TIER_LIMITS_MB["medium"], "medium")
-        .when(ram_mb >= TIER_LIMITS_MB["medium"], "high")
-    )
-    tier = F.when(asked == "auto", by_ram).otherwise(asked)
-    disk = F.when(F.col("rotational") == 0, "SSD").otherwise("HDD")
-
-    carried = ["host_id", "_ram_mb", "tier", "disk_type", *[_column(n) for n in SETTING_NAMES]]
-    facts = hosts.select(
-        "host_id",
-        ram_mb.alias("_ram_mb"),
-        tier.alias("tier"),
-        disk.alias("disk_type"),
-        *[_override(hosts, n).alias(_column(n)) for n in SETTING_NAMES],
-    ).select(
-        *carried,
-        F.when(F.col("tier").isNull() | ((F.col("tier") == "high") & F.col("_ram_mb").isNull()), "unknown_ram")
-        .when(F.col("tier").isin(*TIER_SETTINGS), "ok")
-        .otherwise("unknown_profile")
-        .alias("status"),
-    )
-    known = F.col("status") == "ok"
-    return facts.select(
-        "host_id",
-        "tier",
-        "disk_type",
-        *[F.when(known, _setting(n)).alias(n) for n in SETTING_NAMES],
-        "status",
+    low, medium = TIER_LIMITS_MB["low"], TIER_LIMITS_MB["medium"]
+    tiers = ", ".join(f"'{t}'" for t in TIER_SETTINGS)
+    facts = (
+        hosts.withColumn("ram_mb", F.expr("mem_total_kb div 1024"))
+        .withColumn("asked", F.expr("coalesce(nullif(profile, ''), 'auto')"))
+        .withColumn(
+            "tier",
+            F.expr(
+                f"CASE WHEN asked <> 'auto' THEN asked WHEN ram_mb < {low} THEN 'low'"
+                f" WHEN ram_mb < {medium} THEN 'medium' WHEN ram_mb >= {medium} THEN 'high' END"
+            ),
+        )
+        .withColumn("disk_type", F.expr("CASE WHEN rotational = 0 THEN 'SSD' ELSE 'HDD' END"))
+        .withColumn(
+            "status",
+            F.expr(
+                "CASE WHEN tier IS NULL OR (tier = 'high' AND ram_mb IS NULL) THEN 'unknown_ram'"
+                f" WHEN tier IN ({tiers}) THEN 'ok' ELSE 'unknown_profile' END"
+            ),
+        )
     )
+    settings = [
+        f"CASE WHEN status = 'ok' THEN {_setting(name, hosts.columns)} END AS {name}" for name in SETTING_NAMES
+    ]
+    return facts.selectExpr("host_id", "tier", "disk_type", *settings, "status")
 
 
-def _column(name: str) -> str:
-    return f"_own_{name}"
+def _setting(name: str, columns: list[str]) -> str:
+    """The value of a setting as SQL over tier, disk_type, ram_mb and the host's overrides."""
 
+    def or_own(default: str) -> str:
+        own = f"custom_{name}"
+        return f"coalesce(nullif({own}, ''), {default})" if own in columns else default
 
-def _setting(name: str) -> Column:
-    own = F.col(_column(name))
     if name in COMMON_SETTINGS:
-        return or_default(own, COMMON_SETTINGS[name])
+        return or_own(f"'{COMMON_SETTINGS[name]}'")
     if name in DISK_SETTINGS:
         by_disk = DISK_SETTINGS[name]
-        return or_default(own, F.when(F.col("disk_type") == "SSD", by_disk["SSD"]).otherwise(by_disk["HDD"]))
-    tier, ram = F.col("tier"), F.col("_ram_mb")
-    from_ram = {
-        "shared_buffers": F.concat(idiv(ram, 4).cast("string"), F.lit("MB")),
-        "effective_cache_size": F.concat(idiv(ram * 3, 4).cast("string"), F.lit("MB")),
-    }
-    return (
-        F.when(tier == "low", TIER_SETTINGS["low"][name])
-        .when(tier == "medium", TIER_SETTINGS["medium"][name])
-        .when(tier == "high", from_ram.get(name, F.lit(TIER_SETTINGS["high"].get(name))))
-        .when(tier == "custom", or_default(own, TIER_SETTINGS["custom"][name]))
-    )
+        return or_own(f"CASE disk_type WHEN 'SSD' THEN '{by_disk['SSD']}' ELSE '{by_disk['HDD']}' END")
+    values = {tier: f"'{settings[name]}'" for tier, settings in TIER_SETTINGS.items() if name in settings}
+    values["custom"] = or_own(values["custom"])
+    if name in HIGH_FROM_RAM:
+        values["high"] = HIGH_FROM_RAM[name]
+    return "CASE tier " + " ".join(f"WHEN '{tier}' THEN {value}" for tier, value in values.items()) + " END"
 
 
 def tuned_params_long(tuning: DataFrame) -> DataFrame:
@@ -168,14 +154,12 @@ def tuned_params_long(tuning: DataFrame) -> DataFrame:
 
     Hosts without a usable profile have no settings and therefore no rows.
     """
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).cast("bigint").alias("ord"),
-                F.lit(name).alias("name"),
-                (F.concat(F.lit("'"), F.col(name), F.lit("'")) if quoted else F.col(name)).alias("value"),
-            )
-            for i, (name, quoted) in enumerate(WRITTEN_SETTINGS, start=1)
-        ]
+    rows = ", ".join(
+        f"struct({i}L AS ord, '{name}' AS name, {_quote(name) if quoted else name} AS value)"
+        for i, (name, quoted) in enumerate(WRITTEN_SETTINGS, start=1)
     )
-    return tuning.filter(F.col("status") == "ok").select("host_id", F.inline(rows))
+    return tuning.filter("status = 'ok'").selectExpr("host_id", f"inline(array({rows}))")
+
+
+def _quote(name: str) -> str:
+    return f"concat('\\'', {name}, '\\'')"

@@ -19,10 +19,8 @@ Folder = str
 
 def _with_literals(df: DataFrame, column: str, values: list[str], ord_from: int = 0) -> DataFrame:
     """Each row once per literal, numbered in ``ord``."""
-    rows = F.array(
-        *[F.struct(F.lit(v).alias(column), F.lit(i).alias("ord")) for i, v in enumerate(values, start=ord_from)]
-    )
-    return df.select("*", F.inline(rows))
+    rows = ", ".join(f"struct('{v}' AS {column}, {i} AS ord)" for i, v in enumerate(values, start=ord_from))
+    return df.selectExpr("*", f"inline(array({rows}))")
 
 
 def hosts(spark: SparkSession, sf: Folder) -> DataFrame:
