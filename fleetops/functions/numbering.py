@@ -20,37 +20,25 @@ def number_rows(
 
     ``coarse`` must rise with ``order`` (for example the leading order column, or that
     column divided). Keys with more than ``hot_rows`` rows are cut along it: each part
-    is numbered alone and shifted by the rows in the parts before it. All other keys
-    take one plain window.
+    is numbered alone and shifted by the rows in the parts before it. The join with the
+    shifts uses the partitioning and order the numbering needs anyway.
 
-    The set of large keys is broadcast. It has at most ``rows / hot_rows`` entries, and
-    is normally empty, in which case AQE drops that branch before it scans anything.
+    The set of large keys is broadcast; it has at most ``rows / hot_rows`` entries. It is
+    normally empty, and AQE then drops both joins before the rows are read.
     """
-    hot = F.broadcast(df.groupBy(*key).count().filter(F.col("count") > hot_rows).select(*key))
-
-    plain = Window.partitionBy(*key).orderBy(*order)
-    small = df.join(hot, key, "left_anti").withColumn(out, F.row_number().over(plain).cast("bigint"))
-
-    parts = [f"_part{i}" for i in range(len(coarse))]
-    large = df.join(hot, key, "left_semi").withColumns(dict(zip(parts, coarse)))
-    before = Window.partitionBy(*key).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    hot = df.groupBy(*key).count().filter(F.col("count") > hot_rows).select(*key, F.lit(True).alias("_hot"))
+    parted = df.join(F.broadcast(hot), key, "left").withColumn("_part", F.when(F.col("_hot"), F.struct(*coarse)))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        large.groupBy(*key, *parts)
+        parted.filter("_hot")
+        .groupBy(*key, "_part")
         .agg(F.count("*").alias("_rows"))
-        .withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+        .select(*key, "_part", F.sum("_rows").over(before).alias("_shift"))
     )
-    within = Window.partitionBy(*key, *parts).orderBy(*order)
-    # A part column may be null, so the match has to treat null as a value.
-    left, right = large.alias("l"), shifts.alias("s")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*key, *parts]]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    large = (
-        left.join(right, condition)
-        .select("l.*", "s._shift")
-        .withColumn(out, (F.row_number().over(within) + F.col("_shift")).cast("bigint"))
-        .drop("_shift", *parts)
+    nth = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order))
+    return (
+        parted.withColumn("_nth", nth)
+        .join(shifts, [*key, "_part"], "left")
+        .withColumn(out, F.col("_nth") + F.coalesce("_shift", F.lit(0).cast("bigint")))
+        .select(*df.columns, out)
     )
-    return small.unionByName(large)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetops.functions.blocks import BLOCK_LINES, block_of, over_blocks
@@ -12,18 +13,11 @@ from fleetops.functions.blocks import BLOCK_LINES, block_of, over_blocks
 # Fixed value: the comment written above an appended setting.
 APPEND_COMMENT = "# Added by install script for performance tuning"
 
-# Fixed value: a setting line, active or behind one comment sign; group 1 is the name.
+# How a setting is named, and its line, active or behind one comment sign; group 1 is the name.
+SETTING_NAME = r"[A-Za-z_][A-Za-z0-9_.]*"
 SETTING_LINE = r"^\s*#?\s*([^\s=#]+)\s*="
 
 
-def _bit(name: Column, names: Sequence[str]) -> Column:
-    """A single-bit number per name, so that a set of names is one BIGINT."""
-    bit = F.when(name == names[0], F.lit(1).cast("bigint"))
-    for i, n in enumerate(names[1:], start=1):
-        bit = bit.when(name == n, F.lit(1 << i).cast("bigint"))
-    return bit
-
-
 def upsert_params(
     lines: DataFrame,
     desired: DataFrame | Sequence[tuple[str, str]],
@@ -47,6 +41,8 @@ def upsert_params(
     names = [n for n, _ in desired] if fleet_wide else list(names or [])
     if not names or len(names) > 62 or len(set(names)) != len(names):
         raise ValueError("between 1 and 62 different setting names are needed")
+    if not all(re.fullmatch(SETTING_NAME, n) for n in names):
+        raise ValueError("a setting name is made of letters, digits, dots and underscores")
 
     parsed = lines.select(
         "file_id",
@@ -56,34 +52,28 @@ def upsert_params(
         F.col("line").rlike(r"^\s*#").alias("commented"),
     )
     wanted = F.col("name").isin(*names)
-    bit = _bit(F.col("name"), names)
+    # One bit per name makes a set of names a number, which aggregates without objects.
+    bit = "CASE name " + " ".join(f"WHEN '{n}' THEN {1 << i}L" for i, n in enumerate(names)) + " ELSE 0L END"
     files = parsed.groupBy("file_id").agg(
         F.max("line_no").alias("last"),
-        F.coalesce(F.bit_or(F.when(wanted & ~F.col("commented"), bit)), F.lit(0)).alias("active"),
-        F.coalesce(F.bit_or(F.when(wanted & F.col("commented"), bit)), F.lit(0)).alias("hidden"),
+        F.expr(f"bit_or(if(commented, 0L, {bit}))").alias("active"),
+        F.expr(f"bit_or(if(commented, {bit}, 0L))").alias("hidden"),
     )
     if fleet_wide:
-        rows = F.array(
-            *[
-                F.struct(F.lit(i).cast("bigint").alias("ord"), F.lit(n).alias("name"), F.lit(v).alias("value"))
-                for i, (n, v) in enumerate(desired, start=1)
-            ]
-        )
-        todo = files.select("*", F.inline(rows))
+        name_at = "CASE ord " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+        todo = files.select("*", F.posexplode(F.lit([f"{n} = {v}" for n, v in desired])).alias("ord", "new_line"))
+        todo = todo.withColumn("name", F.expr(name_at))
     else:
-        todo = desired.select("file_id", "ord", "name", "value").join(files, "file_id", "left")
-
-    zero = F.lit(0).cast("bigint")
-    todo = todo.select(
+        wanted_rows = desired.select("file_id", "ord", "name", F.concat_ws(" = ", "name", "value").alias("new_line"))
+        todo = wanted_rows.join(files, "file_id", "left")
+    todo = todo.selectExpr(
         "file_id",
         "ord",
         "name",
-        F.concat_ws(" = ", "name", "value").alias("new_line"),
-        F.coalesce("last", zero).alias("last"),
-        F.when(F.coalesce("active", zero).bitwiseAND(bit) != 0, "active")
-        .when(F.coalesce("hidden", zero).bitwiseAND(bit) != 0, "commented")
-        .otherwise("absent")
-        .alias("found"),
+        "new_line",
+        "coalesce(last, 0L) AS last",
+        f"CASE WHEN active & {bit} <> 0 THEN 'active' WHEN hidden & {bit} <> 0 THEN 'commented' ELSE 'absent' END"
+        " AS found",
     )
 
     changes = over_blocks(todo.filter(F.col("found") != "absent"), F.lit(1), F.col("last"), block_lines)
