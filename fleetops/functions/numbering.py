@@ -24,7 +24,8 @@ def number_rows(
     shifts uses the partitioning and order the numbering needs anyway.
 
     The set of large keys is broadcast; it has at most ``rows / hot_rows`` entries. It is
-    normally empty, and AQE then drops both joins before the rows are read.
+    normally empty: then looking keys up in it costs next to nothing, and AQE drops the
+    shifts and their join before the rows are read.
     """
     hot = df.groupBy(*key).count().filter(F.col("count") > hot_rows).select(*key, F.lit(True).alias("_hot"))
     parted = df.join(F.broadcast(hot), key, "left").withColumn("_part", F.when(F.col("_hot"), F.struct(*coarse)))

@@ -12,10 +12,10 @@ from fleetops.operators.lines import split_lines
 
 def read_texts(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """[file, text], one row per file, for the many small files whose line order matters."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +26,17 @@ def stream_logs(spark: SparkSession, folder: str, glob: str = "*.log", files_per
     return parse_log_lines(lines, ["file"])
 
 
+def progress_folder(spark: SparkSession, out: str) -> str:
+    """Where the stream into ``out`` keeps its progress, under ``spark.checkpoint.dir``.
+
+    One folder per table, so that two streams never share their progress.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("give a checkpoint folder, or set spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/follow_logs/{re.sub(r'[^A-Za-z0-9.-]+', '_', out).strip('_')}"
+
+
 def follow_logs(
     spark: SparkSession,
     folder: str,
@@ -39,12 +52,7 @@ def follow_logs(
     names in ``spark.checkpoint.dir``. With ``once`` the query stops when all present
     files are taken.
     """
-    if checkpoint is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            raise ValueError("give a checkpoint folder, or set spark.checkpoint.dir")
-        # One folder per table, so that two streams never share their progress.
-        checkpoint = f"{shared.rstrip('/')}/follow_logs/{out.strip('/').replace('/', '_').replace(':', '_')}"
+    checkpoint = checkpoint or progress_folder(spark, out)
     writer = (
         stream_logs(spark, folder, glob)
         .writeStream.format("parquet")

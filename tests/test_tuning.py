@@ -1,0 +1,75 @@
+import pytest
+
+from fleetops.operators.tuning import SETTING_NAMES, fleet_tuning, host_resources, tuned_params_long
+from tests.helpers import sorted_rows, table
+
+SCHEMA = (
+    "host_id BIGINT, mem_total_kb BIGINT, cpu_cores INT, rotational INT, profile STRING,"
+    " custom_shared_buffers STRING, custom_random_page_cost STRING, custom_wal_buffers STRING"
+)
+
+
+def tuned(spark, mem_mb=4096, rotational=1, profile="auto", shared=None, page_cost=None, wal=None):
+    kb = None if mem_mb is None else mem_mb * 1024
+    df = fleet_tuning(table(spark, SCHEMA, (1, kb, 4, rotational, profile, shared, page_cost, wal)))
+    return df.collect()[0]
+
+
+@pytest.mark.parametrize("mem_mb, tier", [(2047, "low"), (2048, "medium"), (8191, "medium"), (8192, "high")])
+def test_tier_limits(spark, mem_mb, tier):
+    assert tuned(spark, mem_mb).tier == tier
+
+
+def test_high_follows_ram_truncated(spark):
+    row = tuned(spark, 8193, profile="high")
+    assert (row.shared_buffers, row.effective_cache_size) == ("2048MB", "6144MB")
+
+
+@pytest.mark.parametrize("rotational, cost, io", [(None, "4.0", "2"), (1, "4.0", "2"), (0, "1.1", "200")])
+def test_disk(spark, rotational, cost, io):
+    row = tuned(spark, rotational=rotational)
+    assert (row.random_page_cost, row.effective_io_concurrency) == (cost, io)
+
+
+def test_disk_override_wins_in_every_profile(spark):
+    assert tuned(spark, profile="low", page_cost="1.1").random_page_cost == "1.1"
+    assert tuned(spark, profile="high", wal="64MB").wal_buffers == "64MB"
+
+
+def test_memory_override_counts_for_custom_only(spark):
+    assert tuned(spark, profile="custom", shared="2GB").shared_buffers == "2GB"
+    assert tuned(spark, profile="custom", shared="").shared_buffers == "256MB"
+    assert tuned(spark, profile="low", shared="2GB").shared_buffers == "256MB"
+
+
+@pytest.mark.parametrize("profile", [None, ""])
+def test_empty_profile_is_auto(spark, profile):
+    assert tuned(spark, 1024, profile=profile).tier == "low"
+
+
+def test_unknown_profile_keeps_the_host(spark):
+    row = tuned(spark, profile="turbo")
+    assert row.status == "unknown_profile"
+    assert all(row[name] is None for name in SETTING_NAMES)
+
+
+def test_unknown_ram(spark):
+    assert tuned(spark, None, profile="auto").status == "unknown_ram"
+    assert tuned(spark, None, profile="high").status == "unknown_ram"
+    assert tuned(spark, None, profile="low").status == "ok"
+
+
+def test_long_rows_are_ordered_and_quoted(spark):
+    hosts = table(spark, SCHEMA, (1, 1024, 4, 0, "low", None, None, None), (2, 1024, 4, 0, "x", None, None, None))
+    rows = sorted_rows(tuned_params_long(fleet_tuning(hosts)))
+    assert [r[1] for r in rows] == list(range(1, 13))
+    assert [r[2] for r in rows] == SETTING_NAMES
+    assert rows[0][3] == "'256MB'"
+    assert rows[4][3] == "100"
+    assert rows[8][3] == "'16MB'"
+    assert {r[0] for r in rows} == {1}
+
+
+def test_resources(spark):
+    hosts = table(spark, SCHEMA, (1, 8193 * 1024 + 5, 4, 0, None, None, None, None))
+    assert sorted_rows(host_resources(hosts)) == [(1, 8193, 8, 4, "SSD")]
