@@ -38,6 +38,12 @@ def activity_scan(activity: DataFrame) -> DataFrame:
     return activity.select("*")
 
 
+def list_databases(listing: DataFrame) -> DataFrame:
+    """[host_id, name]: the different names in the first field of a host's listing."""
+    first = F.trim(F.split_part(F.col("line"), F.lit(LISTING_SEPARATOR), F.lit(1)))
+    return listing.select("host_id", first.alias("name")).filter(F.col("name") != "").distinct()
+
+
 def database_exists(listing: DataFrame, names: Sequence[str]) -> DataFrame:
     """[host_id, name, exists]: is the name a whole word in the first field of a listing line?
 
@@ -55,11 +61,9 @@ def database_exists(listing: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def database_exists_exact(listing: DataFrame, wanted: DataFrame) -> DataFrame:
     """[host_id, name, exists] for a table of wanted [host_id, name]: the whole name must be equal."""
-    names = listing.select(
-        "host_id", F.trim(F.split_part(F.col("line"), F.lit(LISTING_SEPARATOR), F.lit(1))).alias("name")
-    ).distinct()
+    names = list_databases(listing).withColumn("_found", F.lit(True))
     return (
         wanted.select("host_id", "name")
-        .join(names.withColumn("_found", F.lit(True)), ["host_id", "name"], "left")
+        .join(names, ["host_id", "name"], "left")
         .select("host_id", "name", F.col("_found").isNotNull().alias("exists"))
     )

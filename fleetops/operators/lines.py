@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetops.functions.blocks import BLOCK_LINES, block_of, over_blocks
@@ -11,6 +11,9 @@ from fleetops.functions.text import strip_cr
 # Fixed value: said when no file refers to the text sought.
 NO_REFERENCES = "No files referencing the text were found"
 
+# Last lines up to this many are taken by rank, where every task keeps only so many per file.
+TAIL_BY_RANK = 100
+
 
 def split_lines(texts: DataFrame) -> DataFrame:
     """[file_id, line_no, line] from whole texts [file_id, text]; no shuffle."""
@@ -99,10 +102,16 @@ def first_lines(lines: DataFrame, n: int) -> DataFrame:
 def last_lines(lines: DataFrame, n: int, block_lines: int = BLOCK_LINES) -> DataFrame:
     """The last ``n`` lines of each file.
 
-    The longest line number per file comes from one small aggregation; only the blocks
-    that hold the last lines are joined back, so a long file's other lines meet nothing.
+    Up to ``TAIL_BY_RANK`` lines they are the first by falling line number: Spark cuts
+    each task's share of a file to ``n`` lines before the shuffle, so that hardly
+    anything moves and a long file stays small. For more, the longest line number per
+    file comes from one aggregation, and only the blocks holding the last lines are
+    joined back.
     """
     numbered = lines.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    if n <= TAIL_BY_RANK:
+        nth = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("line_no")))
+        return numbered.withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth")
     ends = numbered.groupBy("file_id").agg(F.max("line_no").alias("last"))
     start = F.greatest(F.col("last") - n + 1, F.lit(1))
     tails = over_blocks(ends.withColumn("start", start), F.col("start"), F.col("last"), block_lines)

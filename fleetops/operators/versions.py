@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.functions.text import field
@@ -90,12 +90,16 @@ def installed_version(
     hit = F.col("line").contains(package)
     if marked_only:
         hit = hit & F.col("line").startswith(INSTALLED_MARK)
-    first = F.min(F.when(hit, F.struct("line_no", field(F.col("line"), 3).alias("version"))))
-    return listing.groupBy(key).agg(first.alias("first")).select(key, F.col("first.version").alias("version"))
+    return _third_field_of_first(listing, hit, key)
 
 
 def backed_up_version(state_lines: DataFrame, key: str = "backup_id") -> DataFrame:
     """[backup, version]: the old version that a backup's state file names, else null."""
-    hit = F.col("line").startswith(OLD_VERSION_LABEL)
-    first = F.min(F.when(hit, F.struct("line_no", field(F.col("line"), 3).alias("version"))))
-    return state_lines.groupBy(key).agg(first.alias("first")).select(key, F.col("first.version").alias("version"))
+    return _third_field_of_first(state_lines, F.col("line").startswith(OLD_VERSION_LABEL), key)
+
+
+def _third_field_of_first(lines: DataFrame, hit: Column, key: str) -> DataFrame:
+    """[key, version] for every key; only the hits, few of the lines, carry text through a sort."""
+    first = lines.filter(hit).groupBy(key).agg(F.min(F.struct("line_no", "line")).alias("first"))
+    found = first.select(key, field(F.col("first.line"), 3).alias("version"))
+    return lines.select(key).distinct().join(found, key, "left")

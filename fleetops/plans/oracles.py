@@ -434,6 +434,9 @@ FROM (SELECT datname, CAST(sum(bytes) AS BIGINT) AS total FROM table_sizes GROUP
         "table_sizes",
     ),
     "activity_scan": _sql("SELECT * FROM events"),
+    "list_databases": _sql(
+        "SELECT DISTINCT host_id, trim(split_part(line, '|', 1)) AS name FROM db_listing", "db_listing"
+    ),
     "database_exists": _sql(
         f"""SELECT host_id, w.name, bool_or(regexp_matches(split_part(line, '|', 1), '\\b' || w.name || '\\b')) AS "exists"
 FROM db_listing CROSS JOIN {_DATABASES} GROUP BY host_id, w.name""",

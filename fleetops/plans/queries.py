@@ -87,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "table_size_report": lambda s, d: catalog.table_size_report(views.table_sizes(s, d)),
     "database_size_report": lambda s, d: catalog.database_size_report(views.table_sizes(s, d)),
     "activity_scan": lambda s, d: catalog.activity_scan(table(s, d, "events")),
+    "list_databases": lambda s, d: catalog.list_databases(views.db_listing(s, d)),
     "database_exists": lambda s, d: catalog.database_exists(views.db_listing(s, d), DATABASES),
     "database_exists_exact": lambda s, d: catalog.database_exists_exact(
         views.db_listing(s, d), _wanted_databases(s, d)

@@ -63,7 +63,8 @@ def conf_lines(spark: SparkSession, sf: Folder) -> DataFrame:
     ]
     items = table(spark, sf, "lineitem").select("l_orderkey", *order, "l_returnflag")
     coarse = [F.col("l_linenumber"), idiv(F.col("l_partkey"), 1 << 20)]
-    return number_rows(items, ["l_orderkey"], order, coarse).selectExpr(
+    # The flag comes last so that rows alike in all else give the same lines in any run.
+    return number_rows(items, ["l_orderkey"], [*order, "l_returnflag"], coarse).selectExpr(
         "l_orderkey AS file_id",
         "line_no",
         "CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '#' WHEN 2 THEN '  # ' ELSE '  ' END"

@@ -48,8 +48,10 @@ def test_context_against_brute_force(spark, after):
     assert sorted_rows(L.context_after(numbered(spark, files), "hit", after)) == want
 
 
+@pytest.mark.parametrize("by_rank", [True, False])
 @pytest.mark.parametrize("n", [1, 4, 100])
-def test_first_and_last(spark, n):
+def test_first_and_last(spark, n, by_rank, monkeypatch):
+    monkeypatch.setattr(L, "TAIL_BY_RANK", n if by_rank else 0)
     files = {f: [str(i) for i in range(f + 1)] for f in range(30)}
     df = numbered(spark, files)
     numbers = {f: list(enumerate(ts, start=1)) for f, ts in files.items()}
