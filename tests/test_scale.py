@@ -77,7 +77,7 @@ def test_numbering_without_large_keys_is_one_window(spark):
     df = spark.range(1000).selectExpr("id % 100 AS k", "id AS a")
     text = final_plan(number_rows(df, ["k"], ["a"], [F.col("a")], "n"))
     assert "SortMergeJoin" not in text
-    assert text.count("Join") == text.count("BroadcastHashJoin") == 1
+    assert text.count("Join") == text.count("BroadcastHashJoin") <= 1
     assert text.count("Window [") == 1
 
 
