@@ -16,6 +16,10 @@ SIZE_UNITS = ["bytes", "kB", "MB", "GB", "TB"]
 SIZE_STEP = 10240
 
 
+# Fixed value: how a time is written in the name of a backup, ``<base>_20240131_102030``.
+STAMP_FORMAT = "yyyyMMdd_HHmmss"
+
+
 def idiv(a: Column, n: int) -> Column:
     """Truncating integer division; ``/`` would give a double."""
     return F.call_function("div", a, F.lit(n))
@@ -66,6 +70,23 @@ def basename(path: Column) -> Column:
     )
 
 
+def says_yes(c: Column) -> Column:
+    """True for ``yes`` in any case; nothing else, and not null, confirms."""
+    return F.coalesce(F.lower(c) == "yes", F.lit(False))
+
+
+def stamped_name(base: Column, ts: Column) -> Column:
+    """The name of a backup made at ``ts``."""
+    return F.concat_ws("_", base, F.date_format(ts, STAMP_FORMAT))
+
+
+def stamp_of(name: Column) -> Column:
+    """The time in a backup's name as TIMESTAMP_NTZ; null when there is none or an impossible one."""
+    parts = [F.regexp_extract(name, r"_(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})/*$", i) for i in range(1, 7)]
+    text = F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2], F.lit(" "))
+    return F.concat(text, parts[3], F.lit(":"), parts[4], F.lit(":"), parts[5]).try_cast("timestamp_ntz")
+
+
 def whole_word(text: Column, word: str) -> Column:
     """True where the literal word stands between non-word characters or the text's ends."""
     literal = "".join("\\" + ch if not (ch.isalnum() or ch == "_") else ch for ch in word)

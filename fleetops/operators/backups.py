@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetops.functions.text import pretty_size
+from fleetops.functions.text import basename, pretty_size, stamp_of
 
 # Fixed value: backups of this whole-day age or less are kept.
 KEEP_DAYS = 30
@@ -30,16 +30,20 @@ def backup_latest(backups: DataFrame) -> DataFrame:
     return backups.groupBy("host_id").agg(newest.alias("newest")).select("host_id", "newest.*")
 
 
+def backup_stamps(names: DataFrame) -> DataFrame:
+    """[backup_id, folder, taken]: folder name and time of backups known by their path only."""
+    return names.select("backup_id", basename(F.col("name")).alias("folder"), stamp_of(F.col("name")).alias("taken"))
+
+
 def backup_expired(backups: DataFrame, now: datetime, keep_days: int = KEEP_DAYS) -> DataFrame:
     """[host_id, backup_id, mtime] of backups whose age in whole days is above ``keep_days``.
 
-    That is the same as a time at least ``keep_days + 1`` days back, a comparison with a
-    literal which the scan can use to skip files. A backup is as old as its newest part.
+    That is the same as a time at least ``keep_days + 1`` days before ``now``, a local time
+    without zone. A backup is as old as its newest part, so old parts alone never expire it.
     """
-    limit = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL '{keep_days + 1}' DAY")
-    return (
-        backups.groupBy("host_id", "backup_id").agg(F.max("mtime").alias("mtime")).filter(F.col("mtime") <= limit)
-    )
+    limit = (now - timedelta(days=keep_days + 1)).strftime("%Y-%m-%d %H:%M:%S.%f")
+    newest = backups.groupBy("host_id", "backup_id").agg(F.max("mtime").alias("mtime"))
+    return newest.filter(F.col("mtime") <= F.lit(limit).cast("timestamp_ntz"))
 
 
 def manifest(

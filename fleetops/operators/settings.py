@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetops.functions.blocks import BLOCK_LINES, block_of, over_blocks
+from fleetops.functions.text import dirname
 
 # Fixed value: the comment written above an appended setting.
 APPEND_COMMENT = "# Added by install script for performance tuning"
 
+# Fixed value: the setting that names the server's own configuration file.
+CONFIG_FILE = "config_file"
+
 # How a setting is named, and its line, active or behind one comment sign; group 1 is the name.
 SETTING_NAME = r"[A-Za-z_][A-Za-z0-9_.]*"
 SETTING_LINE = r"^\s*#?\s*([^\s=#]+)\s*="
@@ -122,3 +126,9 @@ def show_settings(settings: DataFrame, names: Sequence[str] | None = None) -> Da
     """All settings of every host, or only the named ones."""
     shown = settings.select("host_id", "name", F.trim("value").alias("value"))
     return shown if names is None else shown.filter(F.col("name").isin(*names))
+
+
+def config_folders(settings: DataFrame) -> DataFrame:
+    """[host_id, folder]: where each host's server reads its configuration file."""
+    files = settings.filter(F.col("name") == CONFIG_FILE)
+    return files.select("host_id", dirname(F.trim("value")).alias("folder"))

@@ -340,6 +340,10 @@ FROM params p LEFT JOIN settings s ON s.host_id = p.host_id AND s.name = p.name"
     "show_settings": _sql(
         "SELECT host_id, name, value FROM settings WHERE name IN ('shared_buffers', 'max_connections')", "settings"
     ),
+    "config_folders": _sql(
+        """SELECT c_custkey AS host_id, '/etc/server/' || CAST(c_nationkey AS VARCHAR) || '/main' AS folder
+FROM customer WHERE c_custkey % 5 <> 0"""
+    ),
     "parse_conf": _sql(
         """SELECT file, max(line_no) AS line_no, key,
   CASE WHEN contains(key, 'PASSWORD') THEN '********' ELSE arg_max(value, line_no) END AS value,
@@ -474,6 +478,12 @@ FROM (SELECT host_id, backup_id, max(mtime) AS mtime, CAST(sum(bytes) AS BIGINT)
 HAVING floor(epoch(TIMESTAMP '2001-01-01 00:00:00' - max(mtime)) / 86400) > 30""",
         "backups",
     ),
+    "backup_inventory_stamps": _sql(
+        """SELECT o_orderkey AS backup_id,
+  CASE WHEN o_orderkey % 6 <> 0 THEN 'conf_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') ELSE 'conf_other' END AS folder,
+  CASE WHEN o_orderkey % 6 <> 0 THEN date_trunc('second', o_orderdate) END AS taken
+FROM orders"""
+    ),
     "find_references": _sql(
         """SELECT doc_id AS file, CAST(len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'data')))
   AS BIGINT) AS hits FROM documents WHERE contains(text, 'data')"""

@@ -64,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "apply_tuning": apply_tuning,
     "settings_lookup": lambda s, d: settings.settings_lookup(views.settings(s, d), _long(s, d)),
     "show_settings": lambda s, d: settings.show_settings(views.settings(s, d), ["shared_buffers", "max_connections"]),
+    "config_folders": lambda s, d: settings.config_folders(views.config_files(s, d)),
     "parse_conf": lambda s, d: conf.parse_conf(views.conf_texts(s, d)),
     "validate_conf": lambda s, d: conf.validate_conf(views.conf_values(s, d)),
     "first_failures": lambda s, d: conf.first_failures(conf.validate_conf(views.conf_values(s, d), ["install"])),
@@ -98,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "backup_inventory_sizes": lambda s, d: backups.backup_sizes(views.backups(s, d)),
     "backup_inventory_latest": lambda s, d: backups.backup_latest(views.backups(s, d)),
     "backup_inventory_expired": lambda s, d: backups.backup_expired(views.backups(s, d), NOW),
+    "backup_inventory_stamps": lambda s, d: backups.backup_stamps(views.backup_names(s, d)),
     "find_references": lambda s, d: lines.find_references(views.documents(s, d), NEEDLE),
     "find_references_summary": lambda s, d: lines.reference_summary(views.documents(s, d), NEEDLE),
     "rewrite_lines_endings": lambda s, d: lines.fix_line_endings(_crlf(s, d)),

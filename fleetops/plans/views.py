@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetops.functions.numbering import number_rows
-from fleetops.functions.text import idiv
+from fleetops.functions.text import idiv, stamped_name
 from fleetops.operators.lines import split_lines
 from fleetops.sources.tables import table
 
@@ -133,6 +133,14 @@ def settings(spark: SparkSession, sf: Folder) -> DataFrame:
     )
 
 
+def config_files(spark: SparkSession, sf: Folder) -> DataFrame:
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey AS host_id",
+        "if(c_custkey % 5 = 0, 'port', 'config_file') AS name",
+        "' /etc/server/' || CAST(c_nationkey AS STRING) || '/main/server.conf' AS value",
+    )
+
+
 def host_lines(spark: SparkSession, sf: Folder) -> DataFrame:
     return table(spark, sf, "supplier").selectExpr(
         "s_suppkey AS file_id",
@@ -288,6 +296,16 @@ def backups(spark: SparkSession, sf: Folder) -> DataFrame:
     )
 
 
+def backup_names(spark: SparkSession, sf: Folder) -> DataFrame:
+    """[backup_id, name]: the folder names of backups, some without a time."""
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("backup_id"),
+        F.when(F.col("o_orderkey") % 6 != 0, stamped_name(F.lit("/var/backups/conf"), F.col("o_orderdate")))
+        .otherwise(F.lit("/var/backups/conf_other"))
+        .alias("name"),
+    )
+
+
 def snapshot_parts(spark: SparkSession, sf: Folder) -> DataFrame:
     return (
         table(spark, sf, "orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,10 @@ def snapshot_path(base: str, ts: datetime) -> str:
     return f"{base}/snapshot_ts={snapshot_name(ts)}"
 
 
-def snapshot(df: DataFrame, base: str, ts: datetime) -> str:
+def snapshot(df: DataFrame, base: str, ts: datetime, partition_by: Sequence[str] = ()) -> str:
     """Write a copy of ``df`` named by its time and return the path; an existing one is an error."""
     path = snapshot_path(base, ts)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").partitionBy(*partition_by).parquet(path)
     return path
 
 

@@ -76,6 +76,18 @@ def test_snapshot_and_restore(spark, tmp_path):
     assert spark.read.parquet(target).count() == 2
 
 
+def test_partitioned_snapshot(spark, tmp_path):
+    base, at = str(tmp_path), datetime(2024, 1, 2)
+    storage.snapshot(table(spark, "a BIGINT, part STRING", (1, "x"), (2, "y")), base, at, ["part"])
+    df = storage.read_snapshot(spark, base, at)
+    assert sorted_rows(df.filter("part = 'x'"), "a") == [(1,)]
+
+
+def test_old_parts_do_not_expire_a_backup(spark):
+    rows = [(1, 1, datetime(2020, 1, 1), "etc", 1), (1, 1, datetime(2024, 2, 29), "web", 1)]
+    assert sorted_rows(backup_expired(table(spark, SCHEMA, *rows), NOW)) == []
+
+
 def test_compressed_export(spark, tmp_path):
     out = str(tmp_path / "export")
     storage.export_lines(table(spark, "line STRING", ("a",), ("b",)), out)

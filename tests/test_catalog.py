@@ -1,6 +1,17 @@
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from fleetops.functions.text import basename, dirname, field, or_default, pretty_size
+from fleetops.functions.text import (
+    basename,
+    dirname,
+    field,
+    or_default,
+    pretty_size,
+    says_yes,
+    stamp_of,
+    stamped_name,
+)
 from fleetops.operators.catalog import (
     activity_scan,
     database_exists,
@@ -79,3 +90,17 @@ def test_paths_and_fields(spark):
     assert tuple(row) == ("one", "three", None)
     empty = table(spark, "l STRING", ("",), (None,), ("x",))
     assert sorted_rows(empty.select(or_default(F.col("l"), "d"))) == [("d",), ("d",), ("x",)]
+
+
+def test_stamped_names(spark):
+    names = ["/b/x_20240131_102030", "x_20240131_102030/", "x_20241331_102030", "x_20240131", "x", None]
+    df = table(spark, "n INT, p STRING", *enumerate(names))
+    at = datetime(2024, 1, 31, 10, 20, 30)
+    assert [r[1] for r in sorted_rows(df.select("n", stamp_of(F.col("p"))))] == [at, at, None, None, None, None]
+    made = table(spark, "b STRING, t TIMESTAMP_NTZ", ("/b/x", at))
+    assert sorted_rows(made.select(stamped_name(F.col("b"), F.col("t")))) == [("/b/x_20240131_102030",)]
+
+
+def test_confirmation(spark):
+    answers = table(spark, "n INT, a STRING", *enumerate(["yes", "YES", "y", "", None, "no"]))
+    assert [r[1] for r in sorted_rows(answers.select("n", says_yes(F.col("a"))))] == [True, True] + [False] * 4

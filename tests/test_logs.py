@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetops.operators.logs import parse_log_lines, parse_run_logs, run_outcomes
 from fleetops.sources.text import read_log_lines
@@ -86,6 +87,16 @@ def test_following_equals_batch_and_takes_files_once(spark, tmp_path):
     assert again == sorted_rows(parse_log_lines(read_log_lines(spark, str(logs / "*.log")), ["file"]), *columns)
 
 
+def test_outcomes_of_log_files(spark, tmp_path):
+    failed = "2024-01-31 10:20:30 - [ERROR] Script failed with exit code: 2\n"
+    (tmp_path / "a.log").write_text(failed + "2024-01-31 10:20:31 - [WARNING] Rollback completed. System restored\n")
+    (tmp_path / "b.log").write_text("nothing to see\n")
+    parsed = parse_log_lines(read_log_lines(spark, str(tmp_path)), ["file"])
+    runs = parsed.withColumnRenamed("file", "run_id").withColumn("seq", F.col("ts"))
+    got = [(f.rsplit("/", 1)[-1], o, c) for f, o, c in sorted_rows(run_outcomes(runs))]
+    assert got == [("a.log", "rolled_back", 2), ("b.log", "unknown", None)]
+
+
 class Session:
     """As much of a session as is asked for its configuration."""
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from fleetops.operators.settings import APPEND_COMMENT, settings_lookup, show_settings, upsert_params
+from fleetops.operators.settings import APPEND_COMMENT, config_folders, settings_lookup, show_settings, upsert_params
 from tests.helpers import sorted_rows, table
 
 LINES = "file_id BIGINT, line_no BIGINT, line STRING"
@@ -106,3 +106,10 @@ def test_lookup(spark):
     assert sorted_rows(settings_lookup(settings, desired, ["b"]), "host_id", "name") == [(1, "b")]
     assert sorted_rows(show_settings(settings, ["a"])) == [(1, "a", "1GB"), (2, "a", "x")]
     assert show_settings(settings).count() == 3
+
+
+def test_config_folders(spark):
+    settings = table(
+        spark, "host_id BIGINT, name STRING, value STRING", (1, "config_file", " /etc/x/main/s.conf"), (1, "port", "1")
+    )
+    assert sorted_rows(config_folders(settings)) == [(1, "/etc/x/main")]
