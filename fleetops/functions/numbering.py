@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-
+from fleetops.functions.uneven import HOT_ROWS, hot_keys
 
 def number_rows(
     df: DataFrame,
@@ -27,7 +26,7 @@ def number_rows(
     normally empty: then looking keys up in it costs next to nothing, and AQE drops the
     shifts and their join before the rows are read.
     """
-    hot = df.groupBy(*key).count().filter(F.col("count") > hot_rows).select(*key, F.lit(True).alias("_hot"))
+    hot = hot_keys(df, key, hot_rows).withColumn("_hot", F.lit(True))
     parted = df.join(F.broadcast(hot), key, "left").withColumn("_part", F.when(F.col("_hot"), F.struct(*coarse)))
     before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (

@@ -1,0 +1,39 @@
+"""Keys that hold very many rows: finding them, and joining around them."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them.
+
+    Counting reduces such a key to one row per task before anything is shuffled.
+    """
+    return df.groupBy(*key).count().filter(F.col("count") > hot_rows).select(*key)
+
+
+def same_key(left: str, right: str, key: list[str]) -> Column:
+    """Equality of two aliased sides on all key columns, null being a value like any other."""
+    return reduce(Column.__and__, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in key])
+
+
+def left_join_uneven(df: DataFrame, lookup: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` left-joined with ``lookup``, which has one row per key, however uneven ``df`` is.
+
+    Rows of large keys meet their lookup row by broadcast and are never shuffled: large
+    keys are few, and so are their lookup rows. No key of the rows left for the shuffled
+    join has more than ``hot_rows`` rows. Without large keys AQE drops the first branch.
+    """
+    hot = hot_keys(df, key, hot_rows)
+    values = [c for c in lookup.columns if c not in key]
+    hot_lookup = F.broadcast(hot.join(lookup, key, "left"))
+    large = df.alias("d").join(hot_lookup.alias("h"), same_key("d", "h", key))
+    large = large.select("d.*", *[F.col(f"h.{c}") for c in values])
+    small = df.alias("d").join(F.broadcast(hot).alias("h"), same_key("d", "h", key), "left_anti")
+    return small.join(lookup, key, "left").select(*df.columns, *values).unionByName(large)

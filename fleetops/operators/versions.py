@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.functions.text import field
+from fleetops.functions.uneven import HOT_ROWS, left_join_uneven
 
 # The target that means the newest offer, the listing mark of an installed
 # package, and the label of the old version in a backup's state file.
@@ -33,22 +34,22 @@ def first_version_by_prefix(candidates: DataFrame) -> DataFrame:
     )
 
 
-def resolve_versions(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+def resolve_versions(targets: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """[host_id, package, installed_version, new_version, status] for every target.
 
     ``targets`` is [host_id, package, installed_version, target_version, force_upgrade],
     ``candidates`` [package, listing_rank, version]. The target is a literal prefix with
     no boundary. Status is available, up_to_date, not_found or undetermined.
 
-    One equi-join. The offers hold one row per package and prefix, so a target that a
-    third of the hosts share only makes the host side uneven, which AQE splits.
+    The offers hold one row per package and prefix. A target that very many hosts share
+    is looked up by broadcast; the others by one equi-join.
     """
     offers = first_version_by_prefix(candidates)
     latest = F.col("target_version") == LATEST
     wanted = targets.withColumn("prefix", F.when(latest, F.lit("")).otherwise(F.col("target_version")))
     same = F.col("new_version") == F.col("installed_version")
     forced = F.coalesce(F.col("force_upgrade") == "yes", F.lit(False))
-    return wanted.join(offers, ["package", "prefix"], "left").select(
+    return left_join_uneven(wanted, offers, ["package", "prefix"], hot_rows).select(
         "host_id",
         "package",
         "installed_version",

@@ -135,8 +135,56 @@ def test_a_busy_key_leaves_the_map_side_as_one_row(spark):
     assert "SortAggregate" not in text
 
 
-def test_aqe_splits_the_hosts_of_a_popular_target(spark):
-    """A third of all hosts ask for the same version: that join key is split between tasks."""
+def popular_targets(spark):
+    """A third of all hosts want the same version of one package, another third names no package."""
+    targets = spark.range(0, 30000, 1, 8).selectExpr(
+        "id AS host_id",
+        "CASE id % 3 WHEN 0 THEN 'p' WHEN 1 THEN concat('q', id % 997) END AS package",
+        "'8.1-1' AS installed_version",
+        "if(id % 3 = 2, NULL, if(id % 2 = 0, 'latest', '9')) AS target_version",
+        "'no' AS force_upgrade",
+    )
+    offers = spark.range(2000).selectExpr(
+        "if(id % 2 = 0, 'p', concat('q', id % 997)) AS package",
+        "id AS listing_rank",
+        "concat(8 + id % 2, '.', id % 7, '-1') AS version",
+    )
+    return targets, offers
+
+
+def test_popular_targets_give_the_same_with_and_without_splitting(spark):
+    targets, offers = popular_targets(spark)
+    split = versions.resolve_versions(targets, offers, hot_rows=50)
+    plain = versions.resolve_versions(targets, offers)
+    assert sorted_rows(split) == sorted_rows(plain)
+    assert split.count() == 30000
+
+
+def test_popular_targets_are_not_shuffled(spark, monkeypatch):
+    """No key of the shuffled join has more rows than a key may have."""
+    import pyspark.sql.classic.dataframe as classic
+
+    seen = []
+    original = classic.DataFrame.join
+
+    def spy(self, other, on=None, how=None):
+        if isinstance(on, list) and on == ["package", "prefix"] and "host_id" in self.columns:
+            seen.append(largest_key(self, *on))
+        return original(self, other, on, how)
+
+    monkeypatch.setattr(classic.DataFrame, "join", spy)
+    versions.resolve_versions(*popular_targets(spark), hot_rows=50)
+    assert len(seen) == 1 and 0 < seen[0] <= 50
+
+
+def test_without_popular_targets_one_join_is_left(spark):
+    text = final_plan(versions.resolve_versions(*popular_targets(spark)))
+    assert "Union" not in text
+    assert "Inner" not in text
+
+
+def test_aqe_splits_uneven_keys_of_plain_joins(spark):
+    """Joins on keys that are unique by nature rely on AQE should they ever be uneven."""
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -148,22 +196,13 @@ def test_aqe_splits_the_hosts_of_a_popular_target(spark):
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        targets = spark.range(0, 30000, 1, 8).selectExpr(
-            "id AS host_id",
-            "if(id % 3 = 0, 'p', concat('q', id % 997)) AS package",
-            "'8.1-1' AS installed_version",
-            "'latest' AS target_version",
-            "'no' AS force_upgrade",
-        )
-        offers = spark.range(2000).selectExpr(
-            "if(id % 2 = 0, 'p', concat('q', id % 997)) AS package",
-            "id AS listing_rank",
-            "concat('9.', id % 7, '-1') AS version",
+        desired = spark.range(0, 30000, 1, 8).selectExpr(
+            "if(id % 3 = 0, 0, id) AS host_id", "'work_mem' AS name", "concat(id, 'MB') AS value"
         )
-        df = versions.resolve_versions(targets, offers)
-        text = final_plan(df)
-        assert "skew=true" in text
-        assert df.filter("package = 'p'").select("new_version").distinct().count() == 1
+        reported = spark.range(2000).selectExpr("id AS host_id", "'work_mem' AS name", "concat(id, 'MB') AS value")
+        df = settings.settings_lookup(reported, desired)
+        assert "skew=true" in final_plan(df)
+        assert df.filter("host_id = 0").select("actual").distinct().count() == 1
         assert df.count() == 30000
     finally:
         for k, v in before.items():
