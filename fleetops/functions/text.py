@@ -82,9 +82,8 @@ def stamped_name(base: Column, ts: Column) -> Column:
 
 def stamp_of(name: Column) -> Column:
     """The time in a backup's name as TIMESTAMP_NTZ; null when there is none or an impossible one."""
-    parts = [F.regexp_extract(name, r"_(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})/*$", i) for i in range(1, 7)]
-    text = F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2], F.lit(" "))
-    return F.concat(text, parts[3], F.lit(":"), parts[4], F.lit(":"), parts[5]).try_cast("timestamp_ntz")
+    pattern = r"^.*_(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})/*$"
+    return F.regexp_replace(name, pattern, "$1-$2-$3 $4:$5:$6").try_cast("timestamp_ntz")
 
 
 def whole_word(text: Column, word: str) -> Column:

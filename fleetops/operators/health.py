@@ -24,17 +24,19 @@ def judge_checks(checks: DataFrame) -> DataFrame:
     ``checks`` has check_kind, http_code and optionally fallback_code. A check of an
     unknown kind can be neither passed nor failed and gets nulls.
     """
-    fallback = F.col("fallback_code") if "fallback_code" in checks.columns else F.lit(None).cast("string")
-    passed, severity = None, None
+
+    def accepted(column: str, codes: list[str]) -> str:
+        return f"coalesce({column} IN ({', '.join(f'{c!r}' for c in codes)}), false)"
+
+    tests, levels = [], []
     for kind, (codes, fallback_codes, level) in CHECK_KINDS.items():
-        test = F.col("http_code").isin(*codes)
-        if fallback_codes:
-            test = F.coalesce(test, F.lit(False)) | F.coalesce(fallback.isin(*fallback_codes), F.lit(False))
-        test = F.coalesce(test, F.lit(False))
-        same = F.col("check_kind") == kind
-        passed = F.when(same, test) if passed is None else passed.when(same, test)
-        severity = F.when(same, F.lit(level)) if severity is None else severity.when(same, F.lit(level))
-    return checks.withColumn("passed", passed).withColumn("severity", F.when(~F.col("passed"), severity))
+        test = accepted("http_code", codes)
+        if fallback_codes and "fallback_code" in checks.columns:
+            test += " OR " + accepted("fallback_code", fallback_codes)
+        tests.append(f"WHEN '{kind}' THEN {test}")
+        levels.append(f"WHEN '{kind}' THEN '{level}'")
+    judged = checks.withColumn("passed", F.expr(f"CASE check_kind {' '.join(tests)} END"))
+    return judged.withColumn("severity", F.expr(f"CASE WHEN NOT passed THEN CASE check_kind {' '.join(levels)} END END"))
 
 
 def health_report(checks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.functions.text import strip_ansi
@@ -81,14 +81,14 @@ def parse_run_logs(lines: DataFrame) -> DataFrame:
     return parse_log_lines(lines, ["run_id", "seq"])
 
 
-def _rank(msg: Column) -> Column:
-    """Position in OUTCOMES of what the message marks; 0 when it marks nothing."""
-    rank = None
-    for i, outcome in enumerate(OUTCOMES):
-        for test, text in OUTCOME_MARKERS.get(outcome, []):
-            hit = getattr(msg, test)(text)
-            rank = F.when(hit, i) if rank is None else rank.when(hit, i)
-    return rank.otherwise(0)
+def _rank() -> str:
+    """Position in OUTCOMES of what ``msg`` marks, as SQL; 0 when it marks nothing."""
+    cases = [
+        f"WHEN {test}(msg, '{text}') THEN {i}"
+        for i, outcome in enumerate(OUTCOMES)
+        for test, text in OUTCOME_MARKERS.get(outcome, [])
+    ]
+    return f"CASE {' '.join(cases)} ELSE 0 END"
 
 
 def run_outcomes(parsed: DataFrame) -> DataFrame:
@@ -98,20 +98,14 @@ def run_outcomes(parsed: DataFrame) -> DataFrame:
     when none was logged. Lines that could not be parsed mark nothing. The aggregates are
     plain numbers, so the map side merges a long run into one row.
     """
-    ranked = parsed.select(
-        "run_id", "seq", "msg", F.when(F.col("bad"), 0).otherwise(_rank(F.col("msg"))).alias("rank")
-    )
-    failed = F.col("rank") == OUTCOMES.index("failed")
-    stated = F.substring_index("msg", EXIT_CODE_PREFIX, -1).try_cast("int")
-    marked = ranked.select(
+    failed = f"rank = {OUTCOMES.index('failed')}"
+    code = f"try_cast(substring_index(msg, '{EXIT_CODE_PREFIX}', -1) AS INT)"
+    marked = parsed.selectExpr("run_id", "seq", "msg", f"if(bad, 0, {_rank()}) AS rank").selectExpr(
         "run_id",
         "rank",
-        F.when(failed, F.coalesce(stated, F.lit(PLAIN_FAILURE_CODE))).alias("code"),
-        F.when(failed, F.col("seq")).alias("code_seq"),
-    )
-    names = F.array(*[F.lit(o) for o in OUTCOMES])
-    return (
-        marked.groupBy("run_id")
-        .agg(F.max("rank").alias("rank"), F.max_by("code", "code_seq").alias("exit_code"))
-        .select("run_id", F.element_at(names, F.col("rank") + 1).alias("outcome"), "exit_code")
+        f"if({failed}, coalesce({code}, {PLAIN_FAILURE_CODE}), NULL) AS code",
+        f"if({failed}, seq, NULL) AS code_seq",
     )
+    ended = marked.groupBy("run_id").agg(F.max("rank").alias("rank"), F.max_by("code", "code_seq").alias("exit_code"))
+    names = ", ".join(f"'{o}'" for o in OUTCOMES)
+    return ended.selectExpr("run_id", f"element_at(array({names}), rank + 1) AS outcome", "exit_code")
