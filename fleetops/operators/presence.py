@@ -15,6 +15,9 @@ LOOPBACK_NEW = "127.0.0.1    "
 MODULES = ["headers", "rewrite"]
 SSL_MODULES = ["ssl", "socache_shmcb"]
 
+# Fixed value: a line of the server's module listing; group 1 is the module.
+MODULE_LINE = r"^\s*(\w+)_module\b"
+
 
 def insert_if_absent(lines: DataFrame, wanted: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Append a loopback line for each wanted name that no loopback line holds.
@@ -57,6 +60,12 @@ def required_modules(hosts: DataFrame) -> DataFrame:
     return hosts.select("host_id", F.explode(items).alias("item"))
 
 
+def listed_modules(lines: DataFrame) -> DataFrame:
+    """[host_id, item] from a web server's module listing [host_id, line], as `` ssl_module (shared)``."""
+    name = F.regexp_extract("line", MODULE_LINE, 1)
+    return lines.select("host_id", name.alias("item")).filter(F.col("item") != "")
+
+
 def missing_items(required: DataFrame, loaded: DataFrame) -> DataFrame:
     """[host_id, item]: what is required on a host and not loaded there.
 

@@ -9,10 +9,12 @@ from fleetops.functions.text import field
 from fleetops.functions.uneven import HOT_ROWS, left_join_uneven
 
 # The target that means the newest offer, the listing mark of an installed
-# package, and the label of the old version in a backup's state file.
+# package, the label of the old version in a backup's state file, and that of the offer in
+# a package's policy listing.
 LATEST = "latest"
 INSTALLED_MARK = "ii"
 OLD_VERSION_LABEL = "Old Version:"
+CANDIDATE_LABEL = "Candidate"
 
 
 def first_version_by_prefix(candidates: DataFrame) -> DataFrame:
@@ -91,16 +93,21 @@ def installed_version(
     hit = F.col("line").contains(package)
     if marked_only:
         hit = hit & F.col("line").startswith(INSTALLED_MARK)
-    return _third_field_of_first(listing, hit, key)
+    return _field_of_first(listing, hit, 3, key)
 
 
 def backed_up_version(state_lines: DataFrame, key: str = "backup_id") -> DataFrame:
     """[backup, version]: the old version that a backup's state file names, else null."""
-    return _third_field_of_first(state_lines, F.col("line").startswith(OLD_VERSION_LABEL), key)
+    return _field_of_first(state_lines, F.col("line").startswith(OLD_VERSION_LABEL), 3, key)
 
 
-def _third_field_of_first(lines: DataFrame, hit: Column, key: str) -> DataFrame:
+def candidate_version(policy_lines: DataFrame, key: str = "host_id") -> DataFrame:
+    """[host, version]: what the package manager would install, from its policy listing."""
+    return _field_of_first(policy_lines, F.col("line").contains(CANDIDATE_LABEL), 2, key)
+
+
+def _field_of_first(lines: DataFrame, hit: Column, n: int, key: str) -> DataFrame:
     """[key, version] for every key; only the hits, few of the lines, carry text through a sort."""
     first = lines.filter(hit).groupBy(key).agg(F.min(F.struct("line_no", "line")).alias("first"))
-    found = first.select(key, field(F.col("first.line"), 3).alias("version"))
+    found = first.select(key, field(F.col("first.line"), n).alias("version"))
     return lines.select(key).distinct().join(found, key, "left")

@@ -373,6 +373,7 @@ WHERE NOT EXISTS (SELECT 1 FROM host_lines h WHERE h.file_id = w.file_id
   AND regexp_matches(h.line, '^127\\.0\\.0\\.1\\s.*' || regexp_escape(w.domain)))""",
         "host_lines",
     ),
+    "listed_modules": _sql("SELECT host_id, module AS item FROM loaded_modules", "loaded_modules"),
     "missing_items": _sql(
         """SELECT c_custkey AS host_id, m.item
 FROM customer CROSS JOIN (VALUES ('headers', false), ('rewrite', false), ('ssl', true), ('socache_shmcb', true))
@@ -406,6 +407,10 @@ FROM resolved""",
 FROM state_lines GROUP BY backup_id""",
         "state_lines",
     ),
+    "candidate_version": _sql(
+        """SELECT p_partkey AS host_id,
+  CASE WHEN p_partkey % 9 <> 0 THEN CAST(2 + p_size % 7 AS VARCHAR) || '.1-1' END AS version FROM part"""
+    ),
     "judge_checks": _sql("SELECT * FROM judged", "health_checks", "judged"),
     "health_report": _sql(
         """SELECT host_id, NOT bool_or(coalesce(severity = 'error', false)) AS ok,

@@ -69,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "validate_conf": lambda s, d: conf.validate_conf(views.conf_values(s, d)),
     "first_failures": lambda s, d: conf.first_failures(conf.validate_conf(views.conf_values(s, d), ["install"])),
     "insert_if_absent": lambda s, d: presence.insert_if_absent(views.host_lines(s, d), views.wanted_domains(s, d)),
+    "listed_modules": lambda s, d: presence.listed_modules(views.module_lines(s, d)),
     "missing_items": lambda s, d: presence.missing_items(
         presence.required_modules(views.ssl_hosts(s, d)), views.loaded_modules(s, d)
     ),
@@ -81,6 +82,7 @@ QUERIES: dict[str, Query] = {
         views.pkg_listing(s, d), PACKAGE, marked_only=True
     ),
     "backed_up_version": lambda s, d: versions.backed_up_version(views.state_lines(s, d)),
+    "candidate_version": lambda s, d: versions.candidate_version(views.policy_lines(s, d)),
     "judge_checks": lambda s, d: health.judge_checks(views.health_checks(s, d)),
     "health_report": lambda s, d: health.health_report(views.health_checks(s, d)),
     "parse_run_logs": _parsed,

@@ -210,6 +210,28 @@ def pkg_listing(spark: SparkSession, sf: Folder) -> DataFrame:
     )
 
 
+def policy_lines(spark: SparkSession, sf: Folder) -> DataFrame:
+    """[host_id, line_no, line]: policy listings of a package, some without an offer."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_size")
+    labels = ["Installed:", "Candidate:", "Version table:"]
+    return (
+        _with_literals(parts, "label", labels, ord_from=1)
+        .filter((F.col("ord") != 2) | (F.col("p_partkey") % 9 != 0))
+        .selectExpr(
+            "p_partkey AS host_id",
+            "CAST(ord AS BIGINT) AS line_no",
+            "'  ' || label || if(ord = 3, '', ' ' || CAST(ord + p_size % 7 AS STRING) || '.1-1') AS line",
+        )
+    )
+
+
+def module_lines(spark: SparkSession, sf: Folder) -> DataFrame:
+    """[host_id, line]: the modules of ``loaded_modules`` as a server lists them."""
+    header = table(spark, sf, "customer").selectExpr("c_custkey AS host_id", "'Loaded Modules:' AS line")
+    listed = loaded_modules(spark, sf).selectExpr("host_id", "' ' || item || '_module (shared)' AS line")
+    return header.unionByName(listed)
+
+
 def state_lines(spark: SparkSession, sf: Folder) -> DataFrame:
     """[backup_id, line_no, line]: state files saved with backups, some without an old version."""
     states = table(spark, sf, "orders").select("o_orderkey", "o_custkey")

@@ -65,7 +65,8 @@ def test_outcomes(spark):
 
 def write_logs(folder):
     folder.mkdir(exist_ok=True)
-    (folder / "a.log").write_text("2024-01-31 10:20:30 - [INFO] one\r\nnoise\n\x1b[0;31m[ERROR]\x1b[0m 2024-01-31 10:20:30 - two\n")
+    coloured = "\x1b[0;31m[ERROR]\x1b[0m 2024-01-31 10:20:30 - two\n"
+    (folder / "a.log").write_text("2024-01-31 10:20:30 - [INFO] one\r\nnoise\n" + coloured)
     (folder / "b.log").write_text("[INFO] 2024-01-31 10:20:30 - three\n")
     (folder / "c.txt").write_text("[INFO] 2024-01-31 10:20:30 - not a log\n")
 

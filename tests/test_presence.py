@@ -1,4 +1,4 @@
-from fleetops.operators.presence import insert_if_absent, missing_items, required_modules
+from fleetops.operators.presence import insert_if_absent, listed_modules, missing_items, required_modules
 from tests.helpers import sorted_rows, table
 
 LINES = "file_id BIGINT, line_no BIGINT, line STRING"
@@ -47,3 +47,10 @@ def test_missing_modules(spark):
         (3, "headers"),
         (3, "rewrite"),
     ]
+
+
+def test_module_listing(spark):
+    lines = table(
+        spark, "host_id BIGINT, line STRING", (1, "Loaded Modules:"), (1, " ssl_module (shared)"), (2, "socache_shmcb_module")
+    )
+    assert sorted_rows(listed_modules(lines)) == [(1, "ssl"), (2, "socache_shmcb")]

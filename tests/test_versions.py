@@ -1,4 +1,4 @@
-from fleetops.operators.versions import backed_up_version, installed_version, resolve_versions, version_change
+from fleetops.operators.versions import backed_up_version, candidate_version, installed_version, resolve_versions, version_change
 from tests.helpers import sorted_rows, table
 
 TARGETS = "host_id BIGINT, package STRING, installed_version STRING, target_version STRING, force_upgrade STRING"
@@ -70,3 +70,15 @@ def test_backed_up_version(spark):
         (2, 1, "  Old Version: 8"),
     )
     assert sorted_rows(backed_up_version(lines)) == [(1, "9.1-1"), (2, None)]
+
+
+def test_candidate_version(spark):
+    lines = table(
+        spark,
+        "host_id BIGINT, line_no BIGINT, line STRING",
+        (1, 1, "tool-web:"),
+        (1, 2, "  Installed: 9.0-1"),
+        (1, 3, "  Candidate: 9.1-1"),
+        (2, 1, "tool-web:"),
+    )
+    assert sorted_rows(candidate_version(lines)) == [(1, "9.1-1"), (2, None)]
