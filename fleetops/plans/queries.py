@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetops.operators import backups, catalog, conf, health, lines, logs, preflight, presence, settings, tuning
 from fleetops.operators import versions
 from fleetops.plans import views
+from fleetops.sources.storage import written_once
 from fleetops.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,17 +51,22 @@ def _wanted_databases(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("host_id"), F.explode(names).alias("name"))
 
 
+def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Configuration lines, numbered once: an upsert reads its lines three times."""
+    return written_once(views.conf_lines(spark, sf), "conf_lines")
+
+
 def apply_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """Every host's recommended settings written into that host's configuration lines."""
     desired = _long(spark, sf).withColumnRenamed("host_id", "file_id")
-    return settings.upsert_params(views.conf_lines(spark, sf), desired, tuning.SETTING_NAMES)
+    return settings.upsert_params(_numbered_lines(spark, sf), desired, tuning.SETTING_NAMES)
 
 
 QUERIES: dict[str, Query] = {
     "fleet_tuning": lambda s, d: tuning.fleet_tuning(views.hosts(s, d)),
     "host_resources": lambda s, d: tuning.host_resources(views.hosts(s, d)),
     "tuned_params_long": _long,
-    "upsert_params": lambda s, d: settings.upsert_params(views.conf_lines(s, d), DESIRED),
+    "upsert_params": lambda s, d: settings.upsert_params(_numbered_lines(s, d), DESIRED),
     "apply_tuning": apply_tuning,
     "settings_lookup": lambda s, d: settings.settings_lookup(views.settings(s, d), _long(s, d)),
     "show_settings": lambda s, d: settings.show_settings(views.settings(s, d), ["shared_buffers", "max_connections"]),

@@ -63,7 +63,7 @@ def conf_lines(spark: SparkSession, sf: Folder) -> DataFrame:
     ]
     # Every line belongs to a file. Saying so keeps the scans of all uses alike, and so shared.
     items = table(spark, sf, "lineitem").select("l_orderkey", *order, "l_returnflag").filter("l_orderkey IS NOT NULL")
-    coarse = [F.col("l_linenumber"), idiv(F.col("l_partkey"), 1 << 20)]
+    coarse = [F.col("l_linenumber"), idiv(F.col("l_partkey"), 1 << 14)]
     # The flag comes last so that rows alike in all else give the same lines in any run.
     return number_rows(items, ["l_orderkey"], [*order, "l_returnflag"], coarse).selectExpr(
         "l_orderkey AS file_id",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,22 @@ def restore(spark: SparkSession, base: str, ts: datetime, target: str) -> None:
     copy.write.mode("overwrite").parquet(target)
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for costly inputs that a job reads several times.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; lost executors then
+    only cost reading again, and tables there are removed as checkpoints are. Where none is
+    named, ``df`` stays as it is and is computed as often as it is read.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return df
+    path = f"{shared.rstrip('/')}/tables/{name}_{uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

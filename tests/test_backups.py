@@ -88,6 +88,16 @@ def test_old_parts_do_not_expire_a_backup(spark):
     assert sorted_rows(backup_expired(table(spark, SCHEMA, *rows), NOW)) == []
 
 
+def test_written_once(spark):
+    df = table(spark, "a BIGINT", (1,), (2,))
+    again = storage.written_once(df, "numbers")
+    assert sorted_rows(again) == [(1,), (2,)]
+    if spark.conf.get("spark.checkpoint.dir", None):
+        assert "/tables/numbers_" in plan(again)
+    else:
+        assert again is df
+
+
 def test_compressed_export(spark, tmp_path):
     out = str(tmp_path / "export")
     storage.export_lines(table(spark, "line STRING", ("a",), ("b",)), out)
