@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from fleetops.llm import mixing, outliers
+from fleetops.llm import chat, html_text, lang_id, mixing, outliers, packing, token_files
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
+    "op2_lang_id": lang_id.op2_lang_id,
+    "op3_html_text": html_text.op3_html_text,
     "op4_outliers": outliers.op4_outliers,
+    "op5_token_files": token_files.op5_token_files,
+    "op7_packing": packing.op7_packing,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op1_chat": chat.OP1_SQL,
+    "op3_html_text": html_text.OP3_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetops.llm.runtime import process_cache
+
 GAP = r"[ \t\n\x0B\f\r]+"
 
 # An odd multiplier has an inverse modulo 2**64, so a run's hash does not depend on where it stands.
@@ -33,8 +35,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n, kept in the worker and lengthened when needed."""
-    from fleetops.llm.runtime import process_cache
-
     cache = process_cache()
     known = cache.get(("powers", base))
     if known is None or len(known[0]) < n:
@@ -44,3 +44,39 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         known = cache[("powers", base)] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
     return known[0][:n], known[1][:n]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words given as UTF-8, for the same word always the same; long lists are cut into stretches."""
+    out = []
+    stretch = 1 << 17
+    table = letter_values()
+    for low in range(0, len(words), stretch):
+        some = words[low : low + stretch]
+        letters = np.frombuffer(b" ".join(some), dtype=np.uint8)
+        sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        up, down = powers(BASE, len(letters) + 1)
+        sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+        np.cumsum(table[letters] * up[:-1], out=sums[1:])
+        out.append(mix64((sums[ends] - sums[starts]) * down[starts] + sizes.astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def letter_values() -> np.ndarray:
+    cache = process_cache()
+    if "letter values" not in cache:
+        cache["letter values"] = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(OTHER_BASE))
+    return cache["letter values"]
+
+
+def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    up, down = powers(OTHER_BASE, len(hashes))
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up, out=sums[1:])
+    return mix64((sums[size:] - sums[:n]) * down[:n])
