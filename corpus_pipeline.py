@@ -1,20 +1,51 @@
-"""The corpus pipeline: documents through five stages, each written and read again before the next."""
+"""The corpus pipeline: documents through five stages, each written and read again before the next.
+
+Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetops.llm.mixing import mix
+from fleetops.llm import jaccard, lang_id, mixing, packing, substring
 from fleetops.llm.runtime import stored
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the others go. Learned from the labels of two thirds of them."""
+    model = lang_id.fit(lang_id.labelled_part(docs))
+    return lang_id.known_language(lang_id.predict(docs, model)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: at least 0.8 alike in five-word shingles."""
+    return jaccard.one_of_each(docs, n=5, percent=80)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 35 words or more that repeat; documents made of nothing else go."""
+    done = substring.remove_repeats(docs)
+    left = done.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents repeated or left out by systematic sampling."""
-    return mix(docs)
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    return packing.pack(docs)
 
 
 STAGES = [
+    ("language", known_language),
+    ("near copies", near_copies),
+    ("passages", passages),
     ("mixing", mixed),
+    ("packing", packed),
 ]
 
 # Language models, similarity joins and packing are not SQL; the tests hold each stage against brute force.

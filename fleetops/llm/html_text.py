@@ -39,8 +39,12 @@ BOILERPLATE = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+# A comment, declaration or instruction; a tag; a tag with an unclosed quote, which ends at its first >.
 TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 # A start tag that ends an open element of these, unless one of the second list stands in between.
@@ -85,7 +89,7 @@ class Node:
 
     def step(self) -> str:
         """Tag and classes, each run of digits as one #, classes sorted."""
-        classes = sorted({re.sub(r"\d+", "#", c) for c in self.attributes.get("class", "").split()})
+        classes = sorted({re.sub(r"\d+", "#", c).replace(">", "") for c in self.attributes.get("class", "").split()})
         return ".".join([self.tag, *classes])
 
 
@@ -100,10 +104,11 @@ def parsed(page: str) -> Node:
         if m.start() > at:
             node.children.append(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        end_mark, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if name is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if end_mark:
             open_node = node
             while open_node is not root and open_node.tag != tag:
                 if tag not in BLOCKS and open_node.tag in BLOCKS:
@@ -119,7 +124,7 @@ def parsed(page: str) -> Node:
                 if inner.tag == "p":
                     found = inner
                 inner = inner.parent
-            if found is not None and tag not in ("option", "li", "td", "th", "tr", "dt", "dd") or found is not None and tag in ENDS:
+            if found is not None:
                 node = found.parent
         if tag in ENDS:
             same, fence = ENDS[tag]
@@ -131,11 +136,11 @@ def parsed(page: str) -> Node:
             if found is not None:
                 node = found.parent
         attributes = {}
-        for a in ATTRIBUTE.finditer(m[3] or ""):
+        for a in ATTRIBUTE.finditer(rest):
             attributes.setdefault(a[1].lower(), entities.unescape(a[2] or a[3] or a[4] or ""))
         child = Node(tag, node, attributes)
         node.children.append(child)
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not rest.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID:
@@ -151,7 +156,7 @@ def blocks(node: Node) -> list[str]:
     run: list[str] = []
 
     def flush():
-        text = " ".join(entities.unescape("".join(run)).split())
+        text = " ".join("".join(run).split())
         if text:
             out.append(text)
         run.clear()
@@ -161,7 +166,7 @@ def blocks(node: Node) -> list[str]:
     while stack:
         for child in stack[-1]:
             if isinstance(child, str):
-                run.append(child)
+                run.append(entities.unescape(child))
             elif child.tag in ("br", "wbr"):
                 run.append(" " if child.tag == "br" else "")
             elif not child.skipped():
@@ -195,6 +200,8 @@ def scored(root: Node) -> list[tuple[Node, float]]:
                 nodes[id(node)] = node
                 scores[id(node)] = scores.get(id(node), 0.0) + value * share
                 share /= 2
+                if share < LEAST_SHARE:
+                    return
             node = node.parent
 
     stack: list[tuple[Node, Node, bool]] = [(root, root, False)]
@@ -221,25 +228,27 @@ def best(root: Node) -> Node | None:
     if not found:
         return None
     top = max(s for s, _ in found)
-    order = {id(n): i for i, n in enumerate(walk(root))}
+    order = {id(n): i for i, (n, _) in enumerate(walk(root))}
     return min((n for s, n in found if s == top), key=lambda n: order[id(n)])
 
 
-def walk(root: Node) -> Iterator[Node]:
-    stack = [root]
+def walk(root: Node) -> Iterator[tuple[Node, int]]:
+    """Nodes in page order with their depth, without those that are part of no article and what is in them."""
+    stack = [(root, 0)]
     while stack:
-        node = stack.pop()
-        yield node
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        node, depth = stack.pop()
+        yield node, depth
+        stack.extend((c, depth + 1) for c in reversed(node.children) if isinstance(c, Node) and not c.skipped())
 
 
 def extracted(page: str, agreed: list[str]) -> tuple[str, str]:
     """(text, path used) by the first agreed path that gives text, else by the page's own best container."""
     root = parsed(page)
     if agreed:
+        depths = {path.count(">") + 1 for path in agreed}
         by_path: dict[str, list[Node]] = {}
-        for node in walk(root):
-            if node.tag in CONTAINERS and not node.skipped() and not any(a.skipped() for a in node.ancestors() if a.tag):
+        for node, depth in walk(root):
+            if depth in depths and node.tag in CONTAINERS:
                 by_path.setdefault(node.path(), []).append(node)
         for path in agreed:
             found = [b for n in by_path.get(path, ()) for b in blocks(n)]
@@ -273,6 +282,9 @@ def votes(pages: DataFrame) -> DataFrame:
     return voted.filter("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
+# A container this far above a text, by halves, no longer gains from it.
+LEAST_SHARE = 1e-6
+
 # A path counts as agreed from this share of its host's votes on; so at most 1 / SHARE paths are kept per host.
 SHARE = 0.05
 

@@ -18,8 +18,9 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from fleetops.llm.components import components
 from fleetops.llm.runtime import checkpointed, partitions
@@ -114,7 +115,7 @@ def gram_counts(docs: DataFrame, n: int = N) -> np.ndarray:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             for low, high in slices([len(t) for t in texts]):
                 grams = np.concatenate(gram_sets(texts[low:high], n))
-                counts += np.bincount(slot(grams), minlength=SLOTS)
+                np.add.at(counts, slot(grams), 1)
         if counts.any():
             yield from blocks(np.minimum(counts, (1 << 32) - 1))
 
@@ -393,11 +394,12 @@ def links(docs: DataFrame, reps: DataFrame, members: DataFrame, n: int, percent:
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, n_shingles, component_id, class.
+    """One row per document (doc_id, text): doc_id, n_shingles, component_id, class, root.
 
     Documents whose sets overlap in at least ``percent`` of their union are linked; a component is what links reach,
     named by its least document id. A null or empty text has no n-grams and is alone; a null id is no name, unless a
-    component has no other, and then its name is null. Repeated rows have equal sets. Other columns are not read.
+    component has no other, and then its name is null. Repeated rows have equal sets. ``root`` is the class that names
+    a component whatever its ids, null without n-grams. Other columns are not read.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -408,15 +410,46 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     found = components(links(docs, reps, members, n, percent))
     rooted = reps.join(found.withColumnRenamed("node", "class"), "class", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "class"))
-    named = checkpointed(rooted).join(
-        rooted.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "r"), F.col("root") == F.col("r")
-    )
-    named = named.select(F.col("class").alias("c"), "component")
+    rooted = checkpointed(rooted.select(F.col("class").alias("c"), "root", "rep"))
+    names = rooted.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "r")
+    named = rooted.join(names, F.col("root") == F.col("r")).select("c", "root", "component")
     return known.join(named, F.col("class") == F.col("c"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "class"
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        "class",
+        "root",
     )
 
 
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others), of each component the one with the least id only.
+
+    Rows without n-grams all stay. Of rows that agree in id and n-grams one stays. Read ``docs`` from storage: it is
+    scanned several times.
+    """
+    added = "__class"
+    schema = StructType([*docs.schema.fields, StructField(added, BinaryType())])
+    at = docs.columns.index("text")
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            sets = [g for low, high in slices([len(t) for t in texts]) for g in gram_sets(texts[low:high], n)]
+            names = pa.array([digest(g) if len(g) else None for g in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=schema.names)
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first")
+    found = join(docs, n, percent).filter(F.col("class").isNotNull()).groupBy("root").agg(first)
+    no_id = F.lit(-(1 << 63))
+    kept = found.select(F.col("first.class").alias("__kept"), F.coalesce("first.doc_id", no_id).alias("__kept_id"))
+    tagged = docs.mapInArrow(tag, schema).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), no_id))
+    joined = tagged.join(kept, (F.col(added) == F.col("__kept")) & (F.col("__id") == F.col("__kept_id")), "left")
+    nth = F.row_number().over(Window.partitionBy(added, "__id").orderBy(F.xxhash64("text")))
+    chosen = F.col(added).isNull() | (F.col("__kept").isNotNull() & (F.col("__nth") == 1))
+    return joined.withColumn("__nth", nth).filter(chosen).select(*docs.columns)
+
+
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return join(docs).select("doc_id", "n_shingles", "component_id")

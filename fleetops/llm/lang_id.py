@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetops.llm.runtime import process_cache
 from fleetops.llm.tokens import slices
@@ -32,6 +33,7 @@ EXHAUSTIVE = 7  # up to so many languages, every way to split them is a bit; bey
 BITS = 63
 SHARPNESS = 4.0  # from losses to scores
 AMBIGUOUS = 0.6  # a score below this is ambiguous
+MAJORITY = 0.5  # a filter keeps documents from this score on
 UNKNOWN = "und"
 
 
@@ -172,23 +174,28 @@ def fit(labelled: DataFrame) -> Model:
     return Model(langs, words, np.array(weights, dtype=np.float32).T.copy(), np.array(trust))
 
 
-PREDICTED = "doc_id long, lang_pred string, score double, ambiguous boolean, margins array<float>"
+PREDICTED = "lang_pred string, score double, ambiguous boolean, margins array<float>"
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows (doc_id, text) with lang_pred, score, ambiguous and the margins of the code's bits.
+def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+    """The rows of ``docs`` (text and others) with lang_pred, score, ambiguous and the margins of the code's bits.
 
-    Whole texts are read, and only texts. A null text, one without letters, or a model that knows no language gives
-    ``und`` with score 0, not ambiguous. A model of one language answers it with score 1.
+    Whole texts are read, and nothing but texts. A null text, one without letters, or a model that knows no language
+    gives ``und`` with score 0, not ambiguous. A model of one language answers it with score 1. Repeated rows are
+    predicted each; columns named like the added ones are replaced. Without ``keep_text`` the text is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = StructType.fromDDL(PREDICTED)
+    docs = docs.drop(*added.names)
+    at = docs.columns.index("text")
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    result = StructType([docs.schema.fields[i] for i in kept] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         bits = model.weights.shape[1]
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            doc_ids = batch.column(0).to_pylist()
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             for low, high in slices([len(t) for t in texts]):
                 bucket, owner, found = grams(texts[low:high])
                 n = high - low
@@ -204,16 +211,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 score = np.where(found, score, 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(doc_ids[low:high], pa.int64()),
+                        *[batch.column(i).slice(low, n) for i in kept],
                         pa.array(names, pa.string()),
                         pa.array(score, pa.float64()),
                         pa.array(found & (score < AMBIGUOUS)),
                         pa.array(list(margins.astype(np.float32)), pa.list_(pa.float32())),
                     ],
-                    names=["doc_id", "lang_pred", "score", "ambiguous", "margins"],
+                    names=result.names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PREDICTED)
+    return docs.mapInArrow(run, result)
+
+
+def known_language(predicted: DataFrame) -> DataFrame:
+    """The rows whose language could be told: some letters, and one language nearer than all others together."""
+    return predicted.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MAJORITY))
 
 
 def remainder(doc_id: Column) -> Column:
@@ -228,7 +240,7 @@ def labelled_part(docs: DataFrame) -> DataFrame:
 
 def op2_lang_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return predict(docs, fit(labelled_part(docs))).select(
+    return predict(docs.select("doc_id", "text"), fit(labelled_part(docs)), keep_text=False).select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"),
         "lang_pred",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetops.llm import chat, html_text, lang_id, mixing, outliers, packing, token_files
+from fleetops.llm import chat, html_text, jaccard, lang_id, mixing, outliers, packing, substring, token_files, top_k
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -10,12 +10,18 @@ QUERIES = {
     "op3_html_text": html_text.op3_html_text,
     "op4_outliers": outliers.op4_outliers,
     "op5_token_files": token_files.op5_token_files,
+    "op6_substring": substring.op6_substring,
     "op7_packing": packing.op7_packing,
+    "op8_top_k": top_k.op8_top_k,
     "op9_mixing": mixing.op9_mixing,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 ORACLES = {
     "op1_chat": chat.OP1_SQL,
     "op3_html_text": html_text.OP3_SQL,
+    "op6_substring": substring.OP6_SQL,
+    "op8_top_k": top_k.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op10_jaccard": jaccard.OP10_SQL,
 }

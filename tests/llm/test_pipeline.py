@@ -1,0 +1,106 @@
+"""Stages against what they should leave, and every query with a checking SQL against DuckDB."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from fleetops.llm.queries import ORACLES, QUERIES
+from tests.llm.helpers import AWKWARD, documents, rows, words
+from tests.llm.test_jaccard import brute as brute_components
+from tests.llm.test_substring import brute as brute_repeats
+from tests.test_oracles import TYPES
+from tests.test_oracles import rows as counted
+
+
+def test_stages_and_queries_are_the_ones_asked_for():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near copies", "passages", "mixing", "packing"]
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(name, spark, testdata):
+    connection = duckdb.connect()
+    for path in glob.glob(f"{testdata}/*.parquet"):
+        table = os.path.basename(path).removesuffix(".parquet")
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
+    df = QUERIES[name](spark, testdata)
+    result = connection.sql(ORACLES[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(result.columns)
+    assert {c: TYPES[t] for c, t in df.dtypes} == dict(zip(result.columns, [str(t) for t in result.types]))
+    order = ", ".join(f'"{c}"' for c in columns)
+    want = counted(connection.sql(f"SELECT {order} FROM ({ORACLES[name]}) q").fetchall())
+    got = counted(tuple(r) for r in df.select(*columns).collect())
+    assert sum(got.values()) > 0
+    assert got == want
+
+
+@pytest.fixture(scope="module")
+def stages(spark, testdata, tmp_path_factory):
+    """What each stage left, as tables."""
+    docs = spark.read.parquet(f"{testdata}/documents.parquet")
+    left = [docs]
+    folder = tmp_path_factory.mktemp("stages")
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(folder / name.replace(" ", "_"))
+        stage(spark, left[-1], testdata).write.parquet(path)
+        left.append(spark.read.parquet(path))
+    return left
+
+
+def test_all_stages_but_the_last_keep_the_columns(stages):
+    for table in stages[1:-1]:
+        assert dict(table.dtypes) == dict(stages[0].dtypes)
+
+
+def test_language_rejects_only_what_has_none(stages):
+    gone = stages[0].join(stages[1], "doc_id", "left_anti").collect()
+    assert all(sum(c.isalpha() for c in r["text"] or "") < 40 for r in gone)
+    assert stages[1].count() + len(gone) == stages[0].count()
+
+
+def test_one_document_of_each_group_stays(stages):
+    before = stages[1].orderBy("doc_id").collect()
+    found = brute_components([r["text"] for r in before], 5, 80, [r["doc_id"] for r in before])
+    assert rows(stages[2], "doc_id") == sorted([(d,) for d, _, c in found if d == c], key=repr)
+
+
+def test_passages_are_removed(stages):
+    before = stages[2].collect()
+    want = []
+    for r, (n, gone, _, kept) in zip(before, brute_repeats([r["text"] for r in before], 35)):
+        if gone < n or not n:
+            want.append((r["doc_id"], kept if gone else r["text"]))
+    assert rows(stages[3], "doc_id", "text") == sorted(want, key=repr)
+    assert stages[3].filter(F.col("n_chars") != F.char_length("text")).count() == 0
+
+
+def test_mix_and_packing(stages):
+    taken = {}
+    for r in stages[4].collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + 1
+    known = {r["doc_id"] for r in stages[3].collect()}
+    assert set(taken) <= known and max(taken.values()) <= 3
+    size = lambda rs: sum(len(words(r["text"])) for r in rs)
+    assert abs(size(stages[4].collect()) / size(stages[3].collect()) - 1) < 0.35
+    packed = stages[5].collect()
+    first = [r for r in packed if r["piece"] == 0]
+    assert sorted(r["doc_id"] for r in first) == sorted(d for d, n in taken.items() for _ in range(n))
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in packed)
+    for a, b in zip(places, places[1:]):
+        assert b[1] == (a[1] + a[2] if a[0] == b[0] else 0)
+
+
+def test_awkward_documents_pass_all_stages(spark):
+    docs = documents(spark, AWKWARD * 3, langs=["en", None, "de"], sources=[None, "a"])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs.cache(), "")
+    assert docs.count() > 0
+    empty = documents(spark, ["a"]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, "")
+    assert empty.count() == 0
