@@ -10,10 +10,11 @@ ESCAPE = "\x1b"
 ANSI_PATTERN = r"\x1B\[[0-9;]*[A-Za-z]"
 
 # Units of a readable size, each 1024 times the one before.
-SIZE_UNITS = ["bytes", "kB", "MB", "GB", "TB"]
+SIZE_UNITS = ["bytes", "kB", "MB", "GB", "TB", "PB"]
 
-# Fixed value: a size moves to the next unit from this many of the current one.
-SIZE_STEP = 10240
+# Bytes up to this many stay bytes; the other units go up to so many halves.
+BYTES_LIMIT = 10240
+HALVES_LIMIT = 20479
 
 
 # Fixed value: how a time is written in the name of a backup, ``<base>_20240131_102030``.
@@ -93,14 +94,12 @@ def whole_word(text: Column, word: str) -> Column:
 
 
 def pretty_size(size: Column) -> Column:
-    """Bytes as text in the largest unit that keeps the number readable, truncated."""
-    last = len(SIZE_UNITS) - 1
-    text = None
-    for i, unit in enumerate(SIZE_UNITS):
-        shown = F.concat(idiv(size, 1024**i).cast("string"), F.lit(" " + unit))
-        if i == last:
-            text = text.otherwise(shown)
-        else:
-            below = size < F.lit(SIZE_STEP * 1024**i)
-            text = F.when(below, shown) if text is None else text.when(below, shown)
-    return F.when(size.isNotNull(), text)
+    """Bytes as text as database servers print them: the first unit that keeps the number short, half rounded away from 0."""
+    text = F.when(F.abs(size) < BYTES_LIMIT, F.concat(size.cast("bigint").cast("string"), F.lit(" " + SIZE_UNITS[0])))
+    for i, unit in enumerate(SIZE_UNITS[1:], start=1):
+        halves = idiv(size, 1024**i // 2)
+        rounded = idiv(halves + F.when(halves < 0, -1).otherwise(1), 2)
+        shown = F.concat(rounded.cast("string"), F.lit(" " + unit))
+        fits = size.isNotNull() if unit == SIZE_UNITS[-1] else F.abs(halves) < HALVES_LIMIT
+        text = text.when(fits, shown)
+    return text

@@ -26,8 +26,11 @@ def backup_sizes(backups: DataFrame) -> DataFrame:
 
 def backup_latest(backups: DataFrame) -> DataFrame:
     """[host_id, mtime, backup_id]: the newest backup of each host, the higher id on a tie."""
-    newest = F.max(F.struct("mtime", "backup_id"))
-    return backups.groupBy("host_id").agg(newest.alias("newest")).select("host_id", "newest.*")
+    # Both steps aggregate numbers only, and so hash; the first leaves no tie to the second.
+    by_time = backups.groupBy("host_id", "mtime").agg(F.max("backup_id").alias("backup_id"))
+    return by_time.groupBy("host_id").agg(
+        F.max("mtime").alias("mtime"), F.max_by("backup_id", "mtime").alias("backup_id")
+    )
 
 
 def backup_stamps(names: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.functions.text import strip_cr
@@ -54,35 +54,48 @@ def parse_conf(files: DataFrame) -> DataFrame:
 
     Blank lines and comments are skipped, quotes and carriage returns removed, and the
     last assignment of a key wins. Values of secret keys are masked, their length kept.
-    All lines of a file come from one row, so the map side already merges them and the
-    shuffle carries one row per file and key.
+    All lines of a file come from one row, and the last assignments are found inside it, by
+    sorting the few assigned lines; nothing is shuffled.
     """
-    lines = files.select("file", F.posexplode(F.split("text", "\n"))).select(
-        "file", (F.col("pos") + 1).cast("bigint").alias("line_no"), strip_cr(F.col("col")).alias("line")
-    )
-    groups = [F.regexp_extract("line", ASSIGNMENT, i) for i in range(1, 5)]
-    # Inside double quotes a backslash only escapes these four characters.
-    double = F.regexp_replace(groups[1], r'\\(["\\$`])', "$1")
-    assigned = lines.filter(F.col("line").rlike(ASSIGNMENT)).select(
-        "file", "line_no", groups[0].alias("key"), F.concat(double, groups[2], groups[3]).alias("value")
-    )
+
+    def assignment(line: Column, at: Column) -> Column:
+        groups = [F.regexp_extract(line, ASSIGNMENT, i) for i in range(1, 5)]
+        # Inside double quotes a backslash only escapes these four characters.
+        double = F.regexp_replace(groups[1], r'\\(["\\$`])', "$1")
+        return F.struct(
+            groups[0].alias("key"),
+            (at + 1).cast("bigint").alias("line_no"),
+            F.concat(double, groups[2], groups[3]).alias("value"),
+        )
+
+    lines = F.transform(F.split("text", "\n"), lambda line: strip_cr(line))
+    numbered = F.transform(lines, lambda line, at: F.struct(line.alias("line"), at.alias("at")))
+    kept = F.filter(numbered, lambda x: x["line"].rlike(ASSIGNMENT))
+    in_order = F.array_sort(F.transform(kept, lambda x: assignment(x["line"], x["at"])))
+    following = lambda i: F.get("in_order", i + 1)["key"]
+    final = F.filter("in_order", lambda x, i: ~following(i).eqNullSafe(x["key"]))
     secret = F.col("key").contains(SECRET_MARK)
     return (
-        assigned.groupBy("file", "key")
-        .agg(F.max(F.struct("line_no", "value")).alias("final"))
+        files.select("file", in_order.alias("in_order"))
+        .select("file", F.inline(final))
         .select(
             "file",
-            "final.line_no",
+            "line_no",
             "key",
-            F.when(secret, F.lit(MASK)).otherwise(F.col("final.value")).alias("value"),
-            F.length("final.value").cast("bigint").alias("value_len"),
+            F.when(secret, F.lit(MASK)).otherwise(F.col("value")).alias("value"),
+            F.length("value").cast("bigint").alias("value_len"),
         )
     )
 
 
-def validate_conf(conf: DataFrame, kinds: Sequence[str] | None = None, key: str = "file_id") -> DataFrame:
+def validate_conf(
+    conf: DataFrame, kinds: Sequence[str] | None = None, key: str = "file_id", files: DataFrame | None = None
+) -> DataFrame:
     """[file, rule_ord, rule_id, key, ok]: every rule for every file.
 
+    ``files`` lists all files, one row each; without it, files that assign nothing have no
+    row anywhere and are not judged.
+
     ``conf`` is [file, key, value] with one row per file and key; ``value_len`` is used
     for the length rules where present, since secrets arrive masked. A key without a row
     counts as empty. All rules are reported; the lowest failing ``rule_ord`` is the one
@@ -117,7 +130,10 @@ def validate_conf(conf: DataFrame, kinds: Sequence[str] | None = None, key: str
         verdicts.append(f"struct({rule_ord}L AS rule_ord, '{rule_id}' AS rule_id, '{name}' AS key, {ok} AS ok)")
 
     # A null key makes a test null, not false.
-    per_file = sized.groupBy(key).agg(*[F.expr(f) for f in facts.values()]).na.fill(False)
+    per_file = sized.groupBy(key).agg(*[F.expr(f) for f in facts.values()])
+    if files is not None:
+        per_file = files.select(key).join(per_file, key, "left")
+    per_file = per_file.na.fill(False, subset=list(facts))
     return per_file.selectExpr(key, f"inline(array({', '.join(verdicts)}))")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Per kind of check, the accepted answers, those accepted on the fallback
-# path, and what a failure counts as.
+# Per kind of check, the accepted answers (HTTP codes, or states of what is
+# checked on the host), those accepted on the fallback path, and what a failure counts as.
 CHECK_KINDS = {
     "install_url": (["200", "302"], [], "warning"),
     "default_url": (["200", "302"], [], "error"),
@@ -15,14 +15,23 @@ CHECK_KINDS = {
     "after_rollback": (["200", "302"], [], "error"),
     "domain_http": (["200", "301", "302"], [], "warning"),
     "domain_https": (["200", "302"], [], "error"),
+    "web_server_running": (["active"], [], "error"),
+    "web_config_present": (["present"], [], "error"),
+    "database_running": (["active"], [], "error"),
+    "database_connection": (["ok"], [], "error"),
+    "custom_database": (["present"], [], "warning"),
+    "storage_writable": (["writable"], [], "warning"),
+    "data_file": (["present"], [], "warning"),
+    "web_server_after_rollback": (["active"], [], "error"),
 }
 
 
 def judge_checks(checks: DataFrame) -> DataFrame:
     """Adds ``passed`` and ``severity`` (error, warning or null) to each check.
 
-    ``checks`` has check_kind, http_code and optionally fallback_code. A check of an
-    unknown kind can be neither passed nor failed and gets nulls.
+    ``checks`` has check_kind, http_code (for checks of services, files and databases the
+    state found) and optionally fallback_code. A check of an unknown kind can be neither
+    passed nor failed and gets nulls.
     """
 
     def accepted(column: str, codes: list[str]) -> str:

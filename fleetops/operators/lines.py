@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.functions.blocks import BLOCK_LINES, block_of, over_blocks
@@ -11,9 +11,6 @@ from fleetops.functions.text import strip_cr
 # Fixed value: said when no file refers to the text sought.
 NO_REFERENCES = "No files referencing the text were found"
 
-# Last lines up to this many are taken by rank, where every task keeps only so many per file.
-TAIL_BY_RANK = 100
-
 
 def split_lines(texts: DataFrame) -> DataFrame:
     """[file_id, line_no, line] from whole texts [file_id, text]; no shuffle."""
@@ -92,6 +89,34 @@ def context_after(lines: DataFrame, pattern: str, after: int) -> DataFrame:
     )
 
 
+def context_after_in_texts(texts: DataFrame, pattern: str, after: int) -> DataFrame:
+    """As ``context_after``, from whole texts [file_id, text], found inside the row without a shuffle.
+
+    Each match keeps the lines up to the next match, ``after`` of them at most behind it.
+    """
+    split = texts.select("file_id", F.split("text", "\n").alias("lines"))
+    hits = F.filter(F.transform("lines", lambda line, at: F.when(line.rlike(pattern), at)), lambda at: at.isNotNull())
+    end = lambda at, i: F.least(
+        at + after, F.coalesce(F.get("hits", i + 1) - 1, F.size("lines") - 1), F.size("lines") - 1
+    )
+    kept = F.flatten(F.transform("hits", lambda at, i: F.sequence(at, end(at, i))))
+    rows = F.transform(
+        kept, lambda at: F.struct((at + 1).cast("bigint").alias("line_no"), F.get("lines", at).alias("line"))
+    )
+    return split.select("file_id", "lines", hits.alias("hits")).select("file_id", F.inline(rows))
+
+
+def last_lines_of_texts(texts: DataFrame, n: int) -> DataFrame:
+    """As ``last_lines``, from whole texts [file_id, text], inside the row."""
+    split = texts.select("file_id", F.split("text", "\n").alias("lines"))
+    before = F.greatest(F.size("lines") - n, F.lit(0))
+    rows = F.transform(
+        F.slice("lines", before + 1, F.lit(n)),
+        lambda line, i: F.struct((before + i + 1).cast("bigint").alias("line_no"), line.alias("line")),
+    )
+    return split.select("file_id", F.inline(rows))
+
+
 def first_lines(lines: DataFrame, n: int) -> DataFrame:
     """The first ``n`` lines of each file; line numbers count from 1, so this is a filter."""
     return lines.filter(F.col("line_no") <= n).select(
@@ -102,16 +127,10 @@ def first_lines(lines: DataFrame, n: int) -> DataFrame:
 def last_lines(lines: DataFrame, n: int, block_lines: int = BLOCK_LINES) -> DataFrame:
     """The last ``n`` lines of each file.
 
-    Up to ``TAIL_BY_RANK`` lines they are the first by falling line number: Spark cuts
-    each task's share of a file to ``n`` lines before the shuffle, so that hardly
-    anything moves and a long file stays small. For more, the longest line number per
-    file comes from one aggregation, and only the blocks holding the last lines are
-    joined back.
+    The longest line number per file comes from one aggregation, and the blocks holding
+    the last lines are joined back.
     """
     numbered = lines.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
-    if n <= TAIL_BY_RANK:
-        nth = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("line_no")))
-        return numbered.withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth")
     ends = numbered.groupBy("file_id").agg(F.max("line_no").alias("last"))
     start = F.greatest(F.col("last") - n + 1, F.lit(1))
     tails = over_blocks(ends.withColumn("start", start), F.col("start"), F.col("last"), block_lines)

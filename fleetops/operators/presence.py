@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetops.functions.blocks import BLOCK_LINES, block_of, over_blocks
@@ -22,13 +22,14 @@ MODULE_LINE = r"^\s*(\w+)_module\b"
 def insert_if_absent(lines: DataFrame, wanted: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Append a loopback line for each wanted name that no loopback line holds.
 
-    ``lines`` is [file_id, line_no, line], ``wanted`` [file_id, domain] with one row per
-    file. Running it on its own result changes nothing. Only loopback lines meet the
-    wanted names, on (file, block of lines); copies of a line are merged before.
+    ``lines`` is [file_id, line_no, line], ``wanted`` [file_id, domain] with any number of
+    names per file; they are added in order of the name. Running it on its own result
+    changes nothing. Only loopback lines meet the wanted names, on (file, block of lines);
+    copies of a line or name are merged before.
     """
     numbered = lines.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
     lengths = numbered.groupBy("file_id").agg(F.max("line_no").alias("last"))
-    todo = wanted.join(lengths, "file_id", "left").select(
+    todo = wanted.select("file_id", "domain").distinct().join(lengths, "file_id", "left").select(
         "file_id", "domain", F.coalesce("last", F.lit(0)).alias("last")
     )
     rest = F.expr("substring(line, 11)")
@@ -44,9 +45,11 @@ def insert_if_absent(lines: DataFrame, wanted: DataFrame, block_lines: int = BLO
         .select("file_id", "domain")
         .distinct()
     )
-    added = todo.join(present, ["file_id", "domain"], "left_anti").select(
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("domain"))
+    absent = todo.join(present, ["file_id", "domain"], "left_anti").withColumn("nth", nth)
+    added = absent.select(
         "file_id",
-        (F.col("last") + 1).alias("line_no"),
+        (F.col("last") + F.col("nth")).alias("line_no"),
         F.concat(F.lit(LOOPBACK_NEW), F.col("domain")).alias("line"),
     )
     return numbered.unionByName(added)

@@ -17,6 +17,9 @@ APPEND_COMMENT = "# Added by install script for performance tuning"
 # Fixed value: the setting that names the server's own configuration file.
 CONFIG_FILE = "config_file"
 
+# Names in one BIGINT of a file's bit sets; more names take more of them.
+BITS = 62
+
 # How a setting is named, and its line, active or behind one comment sign; group 1 is the name.
 SETTING_NAME = r"[A-Za-z_][A-Za-z0-9_.]*"
 SETTING_LINE = r"^\s*#?\s*([^\s=#]+)\s*="
@@ -35,16 +38,16 @@ def upsert_params(
 
     ``desired`` is either a list of (name, value) for all files, or a table
     [file_id, ord, name, value] with at most one row per file and name; for a table,
-    ``names`` lists the names that occur in it (62 at most).
+    ``names`` lists the names that occur in it. Lines without a file are a file of their own.
 
     Lines without a wanted name never shuffle. The others meet their setting on
     (file, name, block of lines), so that no file, however long, lands in one task; what
-    a file holds is found by one aggregation into two bit sets.
+    a file holds is found by one aggregation into bit sets, two numbers for 62 names.
     """
     fleet_wide = not isinstance(desired, DataFrame)
     names = [n for n, _ in desired] if fleet_wide else list(names or [])
-    if not names or len(names) > 62 or len(set(names)) != len(names):
-        raise ValueError("between 1 and 62 different setting names are needed")
+    if not names or len(set(names)) != len(names):
+        raise ValueError("different setting names are needed, at least one")
     if not all(re.fullmatch(SETTING_NAME, n) for n in names):
         raise ValueError("a setting name is made of letters, digits, dots and underscores")
 
@@ -56,35 +59,52 @@ def upsert_params(
         F.col("line").rlike(r"^\s*#").alias("commented"),
     )
     wanted = F.col("name").isin(*names)
-    # One bit per name makes a set of names a number, which aggregates without objects.
-    bit = "CASE name " + " ".join(f"WHEN '{n}' THEN {1 << i}L" for i, n in enumerate(names)) + " ELSE 0L END"
+    # One bit per name makes a set of names a few numbers, which aggregate without objects.
+    groups = [names[i : i + BITS] for i in range(0, len(names), BITS)]
+    bits = [
+        "CASE name " + " ".join(f"WHEN '{n}' THEN {1 << i}L" for i, n in enumerate(group)) + " ELSE 0L END"
+        for group in groups
+    ]
     files = parsed.groupBy("file_id").agg(
         F.max("line_no").alias("last"),
-        F.expr(f"bit_or(if(commented, 0L, {bit}))").alias("active"),
-        F.expr(f"bit_or(if(commented, {bit}, 0L))").alias("hidden"),
+        *[F.expr(f"bit_or(if(commented, 0L, {bit}))").alias(f"active_{g}") for g, bit in enumerate(bits)],
+        *[F.expr(f"bit_or(if(commented, {bit}, 0L))").alias(f"hidden_{g}") for g, bit in enumerate(bits)],
     )
+
+    def holds(kind: str) -> str:
+        return " OR ".join(f"{kind}_{g} & {bit} <> 0" for g, bit in enumerate(bits))
+
     if fleet_wide:
         name_at = "CASE ord " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
         todo = files.select("*", F.posexplode(F.lit([f"{n} = {v}" for n, v in desired])).alias("ord", "new_line"))
         todo = todo.withColumn("name", F.expr(name_at))
     else:
         wanted_rows = desired.select("file_id", "ord", "name", F.concat_ws(" = ", "name", "value").alias("new_line"))
-        todo = wanted_rows.join(files, "file_id", "left")
+        held = files.withColumnRenamed("file_id", "held_file")
+        todo = wanted_rows.join(held, F.col("file_id").eqNullSafe(F.col("held_file")), "left")
     todo = todo.selectExpr(
         "file_id",
         "ord",
         "name",
         "new_line",
         "coalesce(last, 0L) AS last",
-        f"CASE WHEN active & {bit} <> 0 THEN 'active' WHEN hidden & {bit} <> 0 THEN 'commented' ELSE 'absent' END"
-        " AS found",
+        f"CASE WHEN {holds('active')} THEN 'active' WHEN {holds('hidden')} THEN 'commented' ELSE 'absent' END AS found",
     )
 
-    changes = over_blocks(todo.filter(F.col("found") != "absent"), F.lit(1), F.col("last"), block_lines)
+    # Joined null-safe: no filter on the file reaches one use of the facts, and all uses share them.
+    changes = over_blocks(todo.filter(F.col("found") != "absent"), F.lit(1), F.col("last"), block_lines).select(
+        F.col("file_id").alias("in_file"), F.col("name").alias("of"), F.col("block").alias("in_block"), "new_line", "found"
+    )
     touched = (
         parsed.filter(wanted)
         .withColumn("block", block_of(F.col("line_no"), block_lines))
-        .join(changes.select("file_id", "name", "block", "new_line", "found"), ["file_id", "name", "block"], "left")
+        .join(
+            changes,
+            F.col("file_id").eqNullSafe(F.col("in_file"))
+            & (F.col("name") == F.col("of"))
+            & (F.col("block") == F.col("in_block")),
+            "left",
+        )
     )
     replace = (F.col("found") == "active") & ~F.col("commented") | (F.col("found") == "commented")
     rewritten = touched.select(

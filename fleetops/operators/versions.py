@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetops.functions.text import field
-from fleetops.functions.uneven import HOT_ROWS, left_join_uneven
+from fleetops.functions.text import field, is_blank
 
 # The target that means the newest offer, the listing mark of an installed
 # package, the label of the old version in a backup's state file, and that of the offer in
@@ -23,35 +22,45 @@ def first_version_by_prefix(candidates: DataFrame) -> DataFrame:
     The empty prefix stands for the newest offer, the first version listed at all.
     Matching targets to candidates pair by pair would be quadratic within a package, so
     each version is expanded to its own prefixes instead, after copies of it have been
-    merged: the work is linear in the number of different versions.
+    merged: the work is linear in the number of different versions. Ranks are numbers, and
+    so hash; the version of a rank is joined to it afterwards. Of versions with one rank,
+    the first by name counts.
     """
     versions = candidates.groupBy("package", "version").agg(F.min("listing_rank").alias("rank"))
     ends = F.sequence(F.lit(0), F.length("version"))
     prefixes = F.transform(ends, lambda n: F.substring(F.col("version"), F.lit(1), n))
+    first = (
+        versions.select("package", "rank", F.explode(prefixes).alias("prefix"))
+        .groupBy("package", "prefix")
+        .agg(F.min("rank").alias("rank"))
+    )
     return (
-        versions.select("package", "version", "rank", F.explode(prefixes).alias("prefix"))
+        first.join(versions, ["package", "rank"])
+        .filter(F.col("version").startswith(F.col("prefix")))
         .groupBy("package", "prefix")
-        .agg(F.min(F.struct("rank", "version")).alias("first"))
-        .select("package", "prefix", F.col("first.version").alias("new_version"))
+        .agg(F.array_min(F.collect_set("version")).alias("new_version"))
     )
 
 
-def resolve_versions(targets: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def resolve_versions(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """[host_id, package, installed_version, new_version, status] for every target.
 
     ``targets`` is [host_id, package, installed_version, target_version, force_upgrade],
     ``candidates`` [package, listing_rank, version]. The target is a literal prefix with
-    no boundary. Status is available, up_to_date, not_found or undetermined.
+    no boundary; a blank or null one finds nothing. Status is available, up_to_date,
+    not_found or undetermined.
 
-    The offers hold one row per package and prefix. A target that very many hosts share
-    is looked up by broadcast; the others by one equi-join.
+    The offers hold one row per package and prefix, and targets meet them in one
+    equi-join. A target that very many hosts share makes one large partition of the
+    targets, which AQE splits, as only the targets' side is large.
     """
     offers = first_version_by_prefix(candidates)
     latest = F.col("target_version") == LATEST
-    wanted = targets.withColumn("prefix", F.when(latest, F.lit("")).otherwise(F.col("target_version")))
+    target = F.when(~is_blank(F.col("target_version")), F.col("target_version"))
+    wanted = targets.withColumn("prefix", F.when(latest, F.lit("")).otherwise(target))
     same = F.col("new_version") == F.col("installed_version")
     forced = F.coalesce(F.col("force_upgrade") == "yes", F.lit(False))
-    return left_join_uneven(wanted, offers, ["package", "prefix"], hot_rows).select(
+    return wanted.join(offers, ["package", "prefix"], "left").select(
         "host_id",
         "package",
         "installed_version",
@@ -107,7 +116,11 @@ def candidate_version(policy_lines: DataFrame, key: str = "host_id") -> DataFram
 
 
 def _field_of_first(lines: DataFrame, hit: Column, n: int, key: str) -> DataFrame:
-    """[key, version] for every key; only the hits, few of the lines, carry text through a sort."""
-    first = lines.filter(hit).groupBy(key).agg(F.min(F.struct("line_no", "line")).alias("first"))
-    found = first.select(key, field(F.col("first.line"), n).alias("version"))
-    return lines.select(key).distinct().join(found, key, "left")
+    """[key, version] for every key, in one pass.
+
+    Only the field of the hits goes on, and each task keeps one row per key before the
+    shuffle: its first hit, or any row where it has none.
+    """
+    found = lines.select(key, F.when(hit, F.col("line_no")).alias("at"), F.when(hit, field(F.col("line"), n)).alias("version"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col("at").asc_nulls_last()))
+    return found.withColumn("nth", nth).filter(F.col("nth") == 1).select(key, "version")

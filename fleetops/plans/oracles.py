@@ -25,9 +25,7 @@ SELECT c_custkey AS host_id,
   c_custkey % 5 <> 0 AS web_present, c_custkey % 10 > 2 AS web_running, c_custkey % 11 <> 0 AS ui_reachable
 FROM customer""",
     "conf_lines": """
-SELECT l_orderkey AS file_id,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
-    l_extendedprice, l_discount, l_tax, l_shipdate) AS line_no,
+SELECT l_orderkey AS file_id, CAST(l_linenumber AS BIGINT) AS line_no,
   CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '#' WHEN 2 THEN '  # ' ELSE '  ' END
    || CASE l_partkey % 4 WHEN 0 THEN 'work_mem' WHEN 1 THEN 'max_connections' WHEN 2 THEN 'wal_buffers'
       ELSE 'maintenance_work_mem' END
@@ -41,7 +39,7 @@ SELECT c_custkey AS file_id, k.key AS key,
 FROM customer CROSS JOIN (VALUES ('POSTGRES_PASSWORD', 0), ('PGADMIN_EMAIL', 1), ('PGADMIN_PASSWORD', 2),
   ('TARGET_VERSION', 3), ('DRY_RUN', 4), ('VERIFY_TIMEOUT', 5), ('ENABLE_SSL', 6), ('SSL_COUNTRY', 7),
   ('SSL_CITY', 8)) AS k(key, ord)
-WHERE (c_custkey + k.ord) % 11 <> 0""",
+WHERE (c_custkey + k.ord) % 11 <> 0 AND c_custkey % 13 <> 0""",
     "conf_texts": """
 SELECT c_custkey AS file, '# settings of ' || c_name || chr(10)
   || 'TARGET_VERSION="' || CAST(c_nationkey AS VARCHAR) || '"'
@@ -80,7 +78,8 @@ FROM part""",
 SELECT p_partkey AS host_id, p_brand AS package,
   CAST(8 + p_size % 3 AS STRING) || '.' || CAST(p_partkey % 25 AS STRING) || '-'
     || CAST(1 + p_partkey % 2 AS STRING) AS installed_version,
-  CASE p_partkey % 5 WHEN 0 THEN 'latest' WHEN 1 THEN '9' WHEN 2 THEN '9.1' WHEN 3 THEN '77'
+  CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'latest'
+    WHEN p_partkey % 5 = 1 THEN '9' WHEN p_partkey % 5 = 2 THEN '9.1' WHEN p_partkey % 5 = 3 THEN '77'
     ELSE CAST(8 + p_size % 3 AS STRING) || '.' || CAST(p_partkey % 25 AS STRING) END AS target_version,
   CASE WHEN p_partkey % 3 = 0 THEN 'yes' ELSE 'no' END AS force_upgrade
 FROM part""",
@@ -98,12 +97,17 @@ SELECT o_orderkey AS backup_id, k.ord AS line_no,
 FROM orders CROSS JOIN (VALUES (1), (2), (3)) AS k(ord) WHERE k.ord <> 2 OR o_orderkey % 7 <> 0""",
     "health_checks": """
 SELECT event_id AS check_id, user_id AS host_id, ts,
-  CASE event_id % 7 WHEN 0 THEN 'install_url' WHEN 1 THEN 'default_url' WHEN 2 THEN 'custom_domain'
-    WHEN 3 THEN 'custom_https' WHEN 4 THEN 'after_rollback' WHEN 5 THEN 'domain_http' ELSE 'domain_https' END
-    AS check_kind,
-  CASE event_type WHEN 'view' THEN '200' WHEN 'click' THEN '302' WHEN 'signup' THEN '301'
-    WHEN 'purchase' THEN '000' ELSE '503' END AS http_code,
-  CASE WHEN event_id % 7 = 3 THEN CASE event_id % 2 WHEN 0 THEN '200' ELSE '301' END END AS fallback_code
+  CASE event_id % 15 WHEN 0 THEN 'install_url' WHEN 1 THEN 'default_url' WHEN 2 THEN 'custom_domain'
+    WHEN 3 THEN 'custom_https' WHEN 4 THEN 'after_rollback' WHEN 5 THEN 'domain_http' WHEN 6 THEN 'domain_https'
+    WHEN 7 THEN 'web_server_running' WHEN 8 THEN 'web_config_present' WHEN 9 THEN 'database_running'
+    WHEN 10 THEN 'database_connection' WHEN 11 THEN 'custom_database' WHEN 12 THEN 'storage_writable'
+    WHEN 13 THEN 'data_file' ELSE 'web_server_after_rollback' END AS check_kind,
+  CASE WHEN event_id % 15 < 7 THEN CASE event_type WHEN 'view' THEN '200' WHEN 'click' THEN '302'
+      WHEN 'signup' THEN '301' WHEN 'purchase' THEN '000' ELSE '503' END
+    WHEN event_type NOT IN ('view', 'click') THEN 'absent'
+    WHEN event_id % 15 IN (7, 9, 14) THEN 'active' WHEN event_id % 15 IN (8, 11, 13) THEN 'present'
+    WHEN event_id % 15 = 10 THEN 'ok' ELSE 'writable' END AS http_code,
+  CASE WHEN event_id % 15 = 3 THEN CASE event_id % 2 WHEN 0 THEN '200' ELSE '301' END END AS fallback_code
 FROM events""",
     "log_lines": """
 SELECT CAST(floor(event_id / 5.0) AS BIGINT) AS run_id, event_id AS seq, ts,
@@ -128,10 +132,11 @@ SELECT CASE WHEN p_size % 3 = 0 THEN 'audit' ELSE 'public' END AS schemaname,
   CAST((p_partkey % 997) * (p_partkey % 997) * (p_size + 1) * 512 AS BIGINT) AS bytes
 FROM part""",
     "db_listing": """
-SELECT n.n_nationkey AS host_id, p_partkey AS line_no,
-  ' ' || CASE p_partkey % 3 WHEN 0 THEN 'myappdb' WHEN 1 THEN 'myappdb_old' ELSE 'postgres' END
+SELECT CAST(p_partkey % 25 AS INTEGER) AS host_id, p_partkey AS line_no,
+  ' ' || CASE WHEN p_partkey % 25 >= 20 AND p_partkey % 3 = 0 THEN 'template0'
+    WHEN p_partkey % 3 = 0 THEN 'myappdb' WHEN p_partkey % 3 = 1 THEN 'myappdb_old' ELSE 'postgres' END
    || ' | owner' || CAST(p_size AS STRING) || ' | UTF8' AS line
-FROM part JOIN nation n ON n.n_nationkey = p_partkey % 25 WHERE p_partkey % 25 < 20 OR p_partkey % 3 <> 0""",
+FROM part""",
     "backups": """
 SELECT o_custkey AS host_id, o_orderkey AS backup_id, o_orderdate AS mtime,
   CASE o_orderstatus WHEN 'F' THEN 'etc' WHEN 'O' THEN 'data' ELSE 'web' END AS component,
@@ -139,9 +144,10 @@ SELECT o_custkey AS host_id, o_orderkey AS backup_id, o_orderdate AS mtime,
 FROM orders""",
     "snapshot_parts": """
 SELECT o_custkey AS host_id,
-  CASE o_orderstatus WHEN 'F' THEN 'etc' WHEN 'O' THEN 'data' ELSE 'web' END AS component,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 'logs' WHEN o_orderstatus = 'F' THEN 'etc' WHEN o_orderstatus = 'O' THEN 'data'
+    ELSE 'web' END AS component,
   CAST(count(*) AS BIGINT) AS files
-FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2""",
+FROM orders GROUP BY 1, 2""",
     "doc_lines": """
 SELECT doc_id AS file_id, CAST(pos AS BIGINT) AS line_no, parts[pos] AS line
 FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos
@@ -220,7 +226,7 @@ SELECT f.file_id, CAST(r.rule_ord AS BIGINT) AS rule_ord, r.rule_id, r.key,
     WHEN 'flag' THEN coalesce(v.value, '') IN ('yes', 'no')
     WHEN 'digits' THEN coalesce(v.value, '') = '' OR regexp_full_match(v.value, '[0-9]+')
     ELSE coalesce(s.value, '') <> 'yes' OR coalesce(v.value, '') <> '' END AS ok
-FROM (SELECT DISTINCT file_id FROM conf_values) f
+FROM (SELECT DISTINCT c_custkey AS file_id FROM customer) f
 CROSS JOIN (VALUES
   (1, 'install_db_password_set', 'POSTGRES_PASSWORD', 'set'), (2, 'install_db_password_length', 'POSTGRES_PASSWORD', 'len8'),
   (3, 'install_ui_email_set', 'PGADMIN_EMAIL', 'set'), (4, 'install_ui_password_set', 'PGADMIN_PASSWORD', 'set'),
@@ -256,23 +262,29 @@ FROM host_facts CROSS JOIN (VALUES ('install', 'os'), ('install', 'os_version'),
   ('domain', 'web_server_running'), ('domain', 'web_ui_reachable')) AS k(script, chk)""",
     "resolved": """
 SELECT host_id, package, installed_version, new_version,
-  CASE WHEN new_version IS NULL AND target_version = 'latest' THEN 'undetermined'
+  CASE WHEN coalesce(target_version, '') = '' THEN 'not_found'
+    WHEN new_version IS NULL AND target_version = 'latest' THEN 'undetermined'
     WHEN new_version IS NULL THEN 'not_found'
     WHEN new_version = installed_version AND force_upgrade <> 'yes' THEN 'up_to_date' ELSE 'available' END AS status
 FROM (SELECT t.*, o.new_version FROM pkg_targets t LEFT JOIN (
     SELECT w.package, w.target_version, arg_min(c.version, c.listing_rank) AS new_version
     FROM (SELECT DISTINCT package, target_version FROM pkg_targets) w
-    JOIN pkg_candidates c ON c.package = w.package
+    JOIN pkg_candidates c ON c.package = w.package AND w.target_version <> ''
       AND (w.target_version = 'latest' OR starts_with(c.version, w.target_version))
     GROUP BY w.package, w.target_version) o
   ON o.package = t.package AND o.target_version = t.target_version) r""",
     "judged": """
-SELECT *, CASE WHEN passed THEN NULL WHEN check_kind IN ('default_url', 'after_rollback', 'domain_https') THEN 'error'
-    ELSE 'warning' END AS severity
+SELECT *, CASE WHEN passed THEN NULL WHEN check_kind IN ('default_url', 'after_rollback', 'domain_https',
+    'web_server_running', 'web_config_present', 'database_running', 'database_connection', 'web_server_after_rollback')
+    THEN 'error' ELSE 'warning' END AS severity
 FROM (SELECT *, CASE
     WHEN check_kind IN ('custom_domain', 'domain_http') THEN http_code IN ('200', '301', '302')
     WHEN check_kind = 'custom_https' THEN http_code IN ('200', '301', '302')
       OR coalesce(fallback_code IN ('200', '302'), false)
+    WHEN check_kind IN ('web_server_running', 'database_running', 'web_server_after_rollback') THEN http_code = 'active'
+    WHEN check_kind IN ('web_config_present', 'custom_database', 'data_file') THEN http_code = 'present'
+    WHEN check_kind = 'database_connection' THEN http_code = 'ok'
+    WHEN check_kind = 'storage_writable' THEN http_code = 'writable'
     ELSE http_code IN ('200', '302') END AS passed
   FROM health_checks) j""",
     "parsed": """
@@ -290,10 +302,11 @@ FROM (SELECT *, regexp_matches(line,
 
 PRETTY = (
     "CASE WHEN {b} < 10240 THEN CAST({b} AS VARCHAR) || ' bytes'"
-    " WHEN {b} < 10485760 THEN CAST({b} // 1024 AS VARCHAR) || ' kB'"
-    " WHEN {b} < 10737418240 THEN CAST({b} // 1048576 AS VARCHAR) || ' MB'"
-    " WHEN {b} < 10995116277760 THEN CAST({b} // 1073741824 AS VARCHAR) || ' GB'"
-    " ELSE CAST({b} // 1099511627776 AS VARCHAR) || ' TB' END"
+    " WHEN {b} // 512 < 20479 THEN CAST(({b} // 512 + 1) // 2 AS VARCHAR) || ' kB'"
+    " WHEN {b} // 524288 < 20479 THEN CAST(({b} // 524288 + 1) // 2 AS VARCHAR) || ' MB'"
+    " WHEN {b} // 536870912 < 20479 THEN CAST(({b} // 536870912 + 1) // 2 AS VARCHAR) || ' GB'"
+    " WHEN {b} // 549755813888 < 20479 THEN CAST(({b} // 549755813888 + 1) // 2 AS VARCHAR) || ' TB'"
+    " ELSE CAST(({b} // 562949953421312 + 1) // 2 AS VARCHAR) || ' PB' END"
 )
 
 
@@ -366,9 +379,11 @@ FROM rules WHERE NOT ok AND rule_ord <= 5 GROUP BY file_id""",
     "insert_if_absent": _sql(
         """SELECT file_id, line_no, line FROM host_lines
 UNION ALL
-SELECT w.file_id, (SELECT max(l.line_no) FROM host_lines l WHERE l.file_id = w.file_id) + 1,
+SELECT w.file_id, (SELECT max(l.line_no) FROM host_lines l WHERE l.file_id = w.file_id)
+    + row_number() OVER (PARTITION BY w.file_id ORDER BY w.domain),
   '127.0.0.1    ' || w.domain
-FROM (SELECT s_suppkey AS file_id, 'node' || CAST(s_suppkey AS VARCHAR) || '.local' AS domain FROM supplier) w
+FROM (SELECT DISTINCT s_suppkey AS file_id, k.name || CAST(s_suppkey AS VARCHAR) || '.local' AS domain
+  FROM supplier CROSS JOIN (VALUES ('node', 1), ('app', 2), ('db', 3)) AS k(name, ord) WHERE k.ord <= 1 + s_suppkey % 3) w
 WHERE NOT EXISTS (SELECT 1 FROM host_lines h WHERE h.file_id = w.file_id
   AND regexp_matches(h.line, '^127\\.0\\.0\\.1\\s.*' || regexp_escape(w.domain)))""",
         "host_lines",

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from fleetops.operators import backups, catalog, conf, health, lines, logs, preflight, presence, settings, tuning
 from fleetops.operators import versions
 from fleetops.plans import views
-from fleetops.sources.storage import written_once
 from fleetops.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,29 +50,30 @@ def _wanted_databases(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("host_id"), F.explode(names).alias("name"))
 
 
-def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Configuration lines, numbered once: an upsert reads its lines three times."""
-    return written_once(views.conf_lines(spark, sf), "conf_lines")
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return views.documents(spark, sf).withColumnRenamed("file", "file_id")
 
 
 def apply_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """Every host's recommended settings written into that host's configuration lines."""
     desired = _long(spark, sf).withColumnRenamed("host_id", "file_id")
-    return settings.upsert_params(_numbered_lines(spark, sf), desired, tuning.SETTING_NAMES)
+    return settings.upsert_params(views.conf_lines(spark, sf), desired, tuning.SETTING_NAMES)
 
 
 QUERIES: dict[str, Query] = {
     "fleet_tuning": lambda s, d: tuning.fleet_tuning(views.hosts(s, d)),
     "host_resources": lambda s, d: tuning.host_resources(views.hosts(s, d)),
     "tuned_params_long": _long,
-    "upsert_params": lambda s, d: settings.upsert_params(_numbered_lines(s, d), DESIRED),
+    "upsert_params": lambda s, d: settings.upsert_params(views.conf_lines(s, d), DESIRED),
     "apply_tuning": apply_tuning,
     "settings_lookup": lambda s, d: settings.settings_lookup(views.settings(s, d), _long(s, d)),
     "show_settings": lambda s, d: settings.show_settings(views.settings(s, d), ["shared_buffers", "max_connections"]),
     "config_folders": lambda s, d: settings.config_folders(views.config_files(s, d)),
     "parse_conf": lambda s, d: conf.parse_conf(views.conf_texts(s, d)),
-    "validate_conf": lambda s, d: conf.validate_conf(views.conf_values(s, d)),
-    "first_failures": lambda s, d: conf.first_failures(conf.validate_conf(views.conf_values(s, d), ["install"])),
+    "validate_conf": lambda s, d: conf.validate_conf(views.conf_values(s, d), files=views.conf_files(s, d)),
+    "first_failures": lambda s, d: conf.first_failures(
+        conf.validate_conf(views.conf_values(s, d), ["install"], files=views.conf_files(s, d))
+    ),
     "insert_if_absent": lambda s, d: presence.insert_if_absent(views.host_lines(s, d), views.wanted_domains(s, d)),
     "listed_modules": lambda s, d: presence.listed_modules(views.module_lines(s, d)),
     "missing_items": lambda s, d: presence.missing_items(
@@ -112,7 +112,7 @@ QUERIES: dict[str, Query] = {
     "find_references_summary": lambda s, d: lines.reference_summary(views.documents(s, d), NEEDLE),
     "rewrite_lines_endings": lambda s, d: lines.fix_line_endings(_crlf(s, d)),
     "rewrite_lines_delete": lambda s, d: lines.delete_matching(views.doc_lines(s, d), PATTERN),
-    "rewrite_lines_after": lambda s, d: lines.context_after(views.doc_lines(s, d), PATTERN, AFTER),
+    "rewrite_lines_after": lambda s, d: lines.context_after_in_texts(_texts(s, d), PATTERN, AFTER),
     "rewrite_lines_first": lambda s, d: lines.first_lines(views.doc_lines(s, d), LINES),
-    "rewrite_lines_last": lambda s, d: lines.last_lines(views.doc_lines(s, d), LINES),
+    "rewrite_lines_last": lambda s, d: lines.last_lines_of_texts(_texts(s, d), LINES),
 }

@@ -1,4 +1,4 @@
-"""Job inputs, derived from the given tables by projections only, but for line numbers.
+"""Job inputs, derived from the given tables by projections only, but for one count.
 
 The values are synthetic; the shapes are those the jobs work on. Small literal lists are
 exploded inside the row, so no view needs a cross join.
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetops.functions.numbering import number_rows
-from fleetops.functions.text import idiv, stamped_name
+from fleetops.functions.text import stamped_name
 from fleetops.operators.lines import split_lines
 from fleetops.sources.tables import table
 
@@ -51,23 +50,9 @@ def host_facts(spark: SparkSession, sf: Folder) -> DataFrame:
 
 
 def conf_lines(spark: SparkSession, sf: Folder) -> DataFrame:
-    order = [
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "l_tax",
-        "l_shipdate",
-    ]
-    # Every line belongs to a file. Saying so keeps the scans of all uses alike, and so shared.
-    items = table(spark, sf, "lineitem").select("l_orderkey", *order, "l_returnflag").filter("l_orderkey IS NOT NULL")
-    coarse = [F.col("l_linenumber"), idiv(F.col("l_partkey"), 1 << 14)]
-    # The flag comes last so that rows alike in all else give the same lines in any run.
-    return number_rows(items, ["l_orderkey"], [*order, "l_returnflag"], coarse).selectExpr(
+    return table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS file_id",
-        "line_no",
+        "CAST(l_linenumber AS BIGINT) AS line_no",
         "CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '#' WHEN 2 THEN '  # ' ELSE '  ' END"
         " || CASE l_partkey % 4 WHEN 0 THEN 'work_mem' WHEN 1 THEN 'max_connections' WHEN 2 THEN 'wal_buffers'"
         " ELSE 'maintenance_work_mem' END"
@@ -76,6 +61,11 @@ def conf_lines(spark: SparkSession, sf: Folder) -> DataFrame:
     )
 
 
+def conf_files(spark: SparkSession, sf: Folder) -> DataFrame:
+    """[file_id]: all configuration files, also those that assign nothing."""
+    return table(spark, sf, "customer").selectExpr("c_custkey AS file_id")
+
+
 def conf_values(spark: SparkSession, sf: Folder) -> DataFrame:
     keys = [
         "POSTGRES_PASSWORD",
@@ -91,7 +81,7 @@ def conf_values(spark: SparkSession, sf: Folder) -> DataFrame:
     files = table(spark, sf, "customer").select("c_custkey")
     return (
         _with_literals(files, "key", keys)
-        .filter((F.col("c_custkey") + F.col("ord")) % 11 != 0)
+        .filter(((F.col("c_custkey") + F.col("ord")) % 11 != 0) & (F.col("c_custkey") % 13 != 0))
         .selectExpr(
             "c_custkey AS file_id",
             "key",
@@ -154,8 +144,11 @@ def host_lines(spark: SparkSession, sf: Folder) -> DataFrame:
 
 
 def wanted_domains(spark: SparkSession, sf: Folder) -> DataFrame:
+    """[file_id, domain]: one to three names for each file."""
+    names = "slice(array('node', 'app', 'db'), 1, CAST(1 + s_suppkey % 3 AS INT))"
     return table(spark, sf, "supplier").selectExpr(
-        "s_suppkey AS file_id", "'node' || CAST(s_suppkey AS STRING) || '.local' AS domain"
+        "s_suppkey AS file_id",
+        f"explode(transform({names}, n -> n || CAST(s_suppkey AS STRING) || '.local')) AS domain",
     )
 
 
@@ -192,7 +185,8 @@ def pkg_targets(spark: SparkSession, sf: Folder) -> DataFrame:
         F.col("p_brand").alias("package"),
         _version().alias("installed_version"),
         F.expr(
-            "CASE p_partkey % 5 WHEN 0 THEN 'latest' WHEN 1 THEN '9' WHEN 2 THEN '9.1' WHEN 3 THEN '77'"
+            "CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'latest'"
+            " WHEN p_partkey % 5 = 1 THEN '9' WHEN p_partkey % 5 = 2 THEN '9.1' WHEN p_partkey % 5 = 3 THEN '77'"
             " ELSE CAST(8 + p_size % 3 AS STRING) || '.' || CAST(p_partkey % 25 AS STRING) END"
         ).alias("target_version"),
         F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'yes' ELSE 'no' END").alias("force_upgrade"),
@@ -252,12 +246,17 @@ def health_checks(spark: SparkSession, sf: Folder) -> DataFrame:
         "event_id AS check_id",
         "user_id AS host_id",
         "ts",
-        "CASE event_id % 7 WHEN 0 THEN 'install_url' WHEN 1 THEN 'default_url' WHEN 2 THEN 'custom_domain'"
-        " WHEN 3 THEN 'custom_https' WHEN 4 THEN 'after_rollback' WHEN 5 THEN 'domain_http'"
-        " ELSE 'domain_https' END AS check_kind",
-        "CASE event_type WHEN 'view' THEN '200' WHEN 'click' THEN '302' WHEN 'signup' THEN '301'"
-        " WHEN 'purchase' THEN '000' ELSE '503' END AS http_code",
-        "CASE WHEN event_id % 7 = 3 THEN CASE event_id % 2 WHEN 0 THEN '200' ELSE '301' END END AS fallback_code",
+        "CASE event_id % 15 WHEN 0 THEN 'install_url' WHEN 1 THEN 'default_url' WHEN 2 THEN 'custom_domain'"
+        " WHEN 3 THEN 'custom_https' WHEN 4 THEN 'after_rollback' WHEN 5 THEN 'domain_http' WHEN 6 THEN 'domain_https'"
+        " WHEN 7 THEN 'web_server_running' WHEN 8 THEN 'web_config_present' WHEN 9 THEN 'database_running'"
+        " WHEN 10 THEN 'database_connection' WHEN 11 THEN 'custom_database' WHEN 12 THEN 'storage_writable'"
+        " WHEN 13 THEN 'data_file' ELSE 'web_server_after_rollback' END AS check_kind",
+        "CASE WHEN event_id % 15 < 7 THEN CASE event_type WHEN 'view' THEN '200' WHEN 'click' THEN '302'"
+        " WHEN 'signup' THEN '301' WHEN 'purchase' THEN '000' ELSE '503' END"
+        " WHEN event_type NOT IN ('view', 'click') THEN 'absent'"
+        " WHEN event_id % 15 IN (7, 9, 14) THEN 'active' WHEN event_id % 15 IN (8, 11, 13) THEN 'present'"
+        " WHEN event_id % 15 = 10 THEN 'ok' ELSE 'writable' END AS http_code",
+        "CASE WHEN event_id % 15 = 3 THEN CASE event_id % 2 WHEN 0 THEN '200' ELSE '301' END END AS fallback_code",
     )
 
 
@@ -298,13 +297,11 @@ def table_sizes(spark: SparkSession, sf: Folder) -> DataFrame:
 
 
 def db_listing(spark: SparkSession, sf: Folder) -> DataFrame:
-    # The nation table has 25 rows at every scale, so this is always a broadcast.
-    nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey"))
-    part = table(spark, sf, "part").filter("p_partkey % 25 < 20 OR p_partkey % 3 <> 0")
-    return part.join(nation, F.col("n_nationkey") == F.col("p_partkey") % 25).selectExpr(
-        "n_nationkey AS host_id",
+    return table(spark, sf, "part").selectExpr(
+        "CAST(p_partkey % 25 AS INT) AS host_id",
         "p_partkey AS line_no",
-        "' ' || CASE p_partkey % 3 WHEN 0 THEN 'myappdb' WHEN 1 THEN 'myappdb_old' ELSE 'postgres' END"
+        "' ' || CASE WHEN p_partkey % 25 >= 20 AND p_partkey % 3 = 0 THEN 'template0'"
+        " WHEN p_partkey % 3 = 0 THEN 'myappdb' WHEN p_partkey % 3 = 1 THEN 'myappdb_old' ELSE 'postgres' END"
         " || ' | owner' || CAST(p_size AS STRING) || ' | UTF8' AS line",
     )
 
@@ -332,10 +329,10 @@ def backup_names(spark: SparkSession, sf: Folder) -> DataFrame:
 def snapshot_parts(spark: SparkSession, sf: Folder) -> DataFrame:
     return (
         table(spark, sf, "orders")
-        .filter("o_orderkey % 3 = 0")
         .selectExpr(
             "o_custkey AS host_id",
-            "CASE o_orderstatus WHEN 'F' THEN 'etc' WHEN 'O' THEN 'data' ELSE 'web' END AS component",
+            "CASE WHEN o_orderkey % 3 <> 0 THEN 'logs' WHEN o_orderstatus = 'F' THEN 'etc'"
+            " WHEN o_orderstatus = 'O' THEN 'data' ELSE 'web' END AS component",
         )
         .groupBy("host_id", "component")
         .agg(F.count("*").alias("files"))

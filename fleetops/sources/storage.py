@@ -1,17 +1,53 @@
-"""Timestamped snapshots, and compressed export and import."""
+"""Tables with their schema beside them, timestamped snapshots, and compressed export and import."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import datetime
-from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 # Fixed value: how a snapshot's time is written in its name.
 SNAPSHOT_FORMAT = "%Y%m%d_%H%M%S"
 
+# Readers of the table pass over folders that begin with an underscore.
+SCHEMA_FOLDER = "_table_schema"
+
+
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
+    """Write ``df`` as Parquet together with its schema and layout, so that it can be read back as it was.
+
+    Partition values are folder names, which carry no type and cannot tell an empty text from
+    null; an empty text in a partition column is an error.
+    """
+    texts = [f.name for f in df.schema.fields if f.name in partition_by and isinstance(f.dataType, StringType)]
+    checked = df.withColumns({c: _not_empty(c) for c in texts}) if texts else df
+    checked.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    note = [("schema", df.schema.json()), *[("partition", c) for c in partition_by]]
+    described = df.sparkSession.createDataFrame([(f"{kind}\t{text}",) for kind, text in note], "value string")
+    described.coalesce(1).write.mode("overwrite").text(f"{path}/{SCHEMA_FOLDER}")
+
+
+def _not_empty(column: str) -> Column:
+    message = F.lit(f"an empty text in the partition column {column}")
+    return F.when(F.col(column) == "", F.raise_error(message).cast("string")).otherwise(F.col(column))
+
+
+def table_layout(spark: SparkSession, path: str) -> tuple[StructType, list[str]]:
+    """Schema and partition columns that ``write_table`` noted."""
+    notes = [r["value"].split("\t", 1) for r in spark.read.text(f"{path}/{SCHEMA_FOLDER}").collect()]
+    schema = next(StructType.fromJson(json.loads(text)) for kind, text in notes if kind == "schema")
+    return schema, [text for kind, text in notes if kind == "partition"]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_table`` with its columns in order and their types, partition columns included."""
+    schema, _ = table_layout(spark, path)
+    return spark.read.schema(schema).parquet(path).select(*[F.col(f"`{c}`") for c in schema.names])
+
 
 def snapshot_name(ts: datetime) -> str:
     return ts.strftime(SNAPSHOT_FORMAT)
@@ -24,16 +60,20 @@ def snapshot_path(base: str, ts: datetime) -> str:
 def snapshot(df: DataFrame, base: str, ts: datetime, partition_by: Sequence[str] = ()) -> str:
     """Write a copy of ``df`` named by its time and return the path; an existing one is an error."""
     path = snapshot_path(base, ts)
-    df.write.mode("error").partitionBy(*partition_by).parquet(path)
+    write_table(df, path, partition_by)
     return path
 
 
 def read_snapshot(spark: SparkSession, base: str, ts: datetime) -> DataFrame:
-    return spark.read.parquet(snapshot_path(base, ts))
+    return read_table(spark, snapshot_path(base, ts))
 
 
 def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
-    """All snapshots with their ``snapshot_ts`` as text; a filter on it prunes folders."""
+    """All snapshots with their ``snapshot_ts`` as text; a filter on it prunes folders.
+
+    Columns that snapshots are partitioned by are read as the folders' names suggest; for their
+    true types read one snapshot.
+    """
     return (
         spark.read.option("basePath", base)
         .parquet(f"{base}/snapshot_ts=*")
@@ -42,37 +82,22 @@ def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
 
 
 def restore(spark: SparkSession, base: str, ts: datetime, target: str) -> None:
-    """Replace what is at ``target`` by the snapshot.
+    """Replace what is at ``target`` by the snapshot, in the snapshot's types and layout.
 
     The snapshot is resolved before anything is replaced, so a missing one changes nothing.
     """
     copy = read_snapshot(spark, base, ts)
-    copy.write.mode("overwrite").parquet(target)
-
-
-def written_once(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, for costly inputs that a job reads several times.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; lost executors then
-    only cost reading again, and tables there are removed as checkpoints are. Where none is
-    named, ``df`` stays as it is and is computed as often as it is read.
-    """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return df
-    path = f"{shared.rstrip('/')}/tables/{name}_{uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _, partition_by = table_layout(spark, snapshot_path(base, ts))
+    overwrite(copy, target, partition_by)
 
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def overwrite(df: DataFrame, path: str) -> None:
+def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a table. Never the one that ``df`` is read from."""
-    df.write.mode("overwrite").parquet(path)
+    write_table(df, path, partition_by, "overwrite")
 
 
 def export_lines(df: DataFrame, path: str, column: str = "line", compression: str = "gzip") -> None:

@@ -88,14 +88,24 @@ def test_old_parts_do_not_expire_a_backup(spark):
     assert sorted_rows(backup_expired(table(spark, SCHEMA, *rows), NOW)) == []
 
 
-def test_written_once(spark):
-    df = table(spark, "a BIGINT", (1,), (2,))
-    again = storage.written_once(df, "numbers")
-    assert sorted_rows(again) == [(1,), (2,)]
-    if spark.conf.get("spark.checkpoint.dir", None):
-        assert "/tables/numbers_" in plan(again)
-    else:
-        assert again is df
+@pytest.mark.parametrize("partition_by", [[], ["v"], ["v", "d"]])
+def test_restore_keeps_types_values_and_layout(spark, tmp_path, partition_by):
+    base, target, at = str(tmp_path / "backups"), str(tmp_path / "target"), datetime(2024, 1, 2)
+    rows = [(1, "9.10", "2024-01-02", 1), (2, "9.1", "x", None), (3, "007", None, 2), (4, None, "2024-1-2", 3)]
+    df = table(spark, "a BIGINT, v STRING, d STRING, n INT", *rows)
+    storage.snapshot(df, base, at, partition_by)
+    storage.overwrite(table(spark, "other INT", (1,)), target)
+    storage.restore(spark, base, at, target)
+    back = storage.read_table(spark, target)
+    assert back.dtypes == df.dtypes
+    assert sorted_rows(back) == sorted_rows(df)
+    assert storage.table_layout(spark, target)[1] == partition_by
+    assert bool(list((tmp_path / "target").glob("v=007"))) == bool(partition_by)
+
+
+def test_an_empty_partition_value_is_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="an empty text"):
+        storage.snapshot(table(spark, "a BIGINT, v STRING", (1, "")), str(tmp_path), datetime(2024, 1, 2), ["v"])
 
 
 def test_compressed_export(spark, tmp_path):

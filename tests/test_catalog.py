@@ -27,11 +27,17 @@ def test_pretty_size(spark):
         (0, "0 bytes"),
         (10239, "10239 bytes"),
         (10240, "10 kB"),
-        (10485759, "10239 kB"),
+        (10751, "10 kB"),
+        (10752, "11 kB"),
+        (16000, "16 kB"),
+        (10485247, "10239 kB"),
+        (10485248, "10 MB"),
+        (10485759, "10 MB"),
         (10485760, "10 MB"),
         (10 * 1024**3, "10 GB"),
         (10 * 1024**4, "10 TB"),
-        (2**60 + 1, "1048576 TB"),
+        (2**60 + 1, "1024 PB"),
+        (-16000, "-16 kB"),
         (None, None),
     ]
     df = table(spark, "n INT, b BIGINT", *[(i, b) for i, (b, _) in enumerate(cases)])

@@ -95,3 +95,17 @@ def test_masked_secrets_validate_by_length(spark):
 
 def test_rule_ids_are_unique():
     assert len({r[0] for r in RULES}) == len(RULES)
+
+
+def test_files_without_assignments_are_judged(spark):
+    conf = table(spark, "file_id BIGINT, key STRING, value STRING", (1, "DOMAIN_NAME", "x"))
+    files = table(spark, "file_id BIGINT", (1,), (2,))
+    report = validate_conf(conf, ["domain"], files=files)
+    assert sorted_rows(first_failures(report)) == [(1, 18, "domain_enable_ssl_set"), (2, 17, "domain_name_set")]
+    assert report.filter("file_id = 2 AND rule_id = 'domain_ssl_city_set'").first()["ok"] is True
+
+
+def test_last_assignment_of_many(spark):
+    text = "\n".join(f"K{i % 7}={i}" for i in range(100)) + "\n# K1=x\n"
+    got = sorted_rows(parse_conf(table(spark, "file STRING, text STRING", ("f", text), ("g", ""), ("h", None))))
+    assert got == sorted(("f", i + 1, f"K{i % 7}", str(i), 2) for i in range(93, 100))

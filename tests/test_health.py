@@ -29,3 +29,19 @@ def test_report(spark):
         (2, "after_rollback", "200"),
     )
     assert sorted_rows(health_report(checks)) == [(1, True, 0, 1), (2, False, 1, 0)]
+
+
+def test_states_of_services_and_files(spark):
+    rows = [
+        ("web_server_running", "active", True, None),
+        ("web_server_running", "absent", False, "error"),
+        ("database_connection", "ok", True, None),
+        ("database_running", None, False, "error"),
+        ("custom_database", "absent", False, "warning"),
+        ("storage_writable", "writable", True, None),
+        ("data_file", "absent", False, "warning"),
+        ("web_config_present", "absent", False, "error"),
+        ("web_server_after_rollback", "200", False, "error"),
+    ]
+    df = judge_checks(table(spark, SCHEMA, *[(i, k, c, None) for i, (k, c, _, _) in enumerate(rows)]))
+    assert sorted_rows(df, "host_id", "passed", "severity") == [(i, r[2], r[3]) for i, r in enumerate(rows)]

@@ -48,10 +48,20 @@ def test_context_against_brute_force(spark, after):
     assert sorted_rows(L.context_after(numbered(spark, files), "hit", after)) == want
 
 
-@pytest.mark.parametrize("by_rank", [True, False])
+@pytest.mark.parametrize("after", [0, 2, 5])
+def test_whole_texts_give_what_line_tables_give(spark, after):
+    rng = random.Random(after)
+    texts = ["\n".join(rng.choice(["hit", "-", "-", "x"]) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    texts += ["", "\n", "hit", "hit\nhit\n", None]
+    files = table(spark, "file_id BIGINT, text STRING", *enumerate(texts))
+    rows = L.split_lines(files.filter("text IS NOT NULL"))
+    assert sorted_rows(L.context_after_in_texts(files, "hit", after)) == sorted_rows(L.context_after(rows, "hit", after))
+    for n in (1, 3, 100):
+        assert sorted_rows(L.last_lines_of_texts(files, n)) == sorted_rows(L.last_lines(rows, n, block_lines=4))
+
+
 @pytest.mark.parametrize("n", [1, 4, 100])
-def test_first_and_last(spark, n, by_rank, monkeypatch):
-    monkeypatch.setattr(L, "TAIL_BY_RANK", n if by_rank else 0)
+def test_first_and_last(spark, n):
     files = {f: [str(i) for i in range(f + 1)] for f in range(30)}
     df = numbered(spark, files)
     numbers = {f: list(enumerate(ts, start=1)) for f, ts in files.items()}

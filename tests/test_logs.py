@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetops.operators.logs import parse_log_lines, parse_run_logs, run_outcomes
-from fleetops.sources.text import read_log_lines
+from fleetops.sources.text import ingest_conf, read_lines, read_log_lines
 from fleetops.streaming.follow import follow_logs, progress_folder
 from tests.helpers import sorted_rows, table
 
@@ -107,6 +107,56 @@ class Session:
 
 def test_progress_goes_to_the_shared_folder():
     named = Session(**{"spark.checkpoint.dir": "hdfs://shared/checkpoints/"})
-    assert progress_folder(named, "s3://b/logs/out/") == "hdfs://shared/checkpoints/follow_logs/s3_b_logs_out"
+    one, other = progress_folder(named, "s3://b/out/a/b"), progress_folder(named, "s3://b/out/a_b/")
+    assert one.startswith("hdfs://shared/checkpoints/follow_logs/") and other.startswith("hdfs://shared/checkpoints/follow_logs/")
+    assert one != other
+    assert other == progress_folder(named, "s3://b/out/a_b")
     with pytest.raises(ValueError):
         progress_folder(Session(), "out")
+
+
+def test_tables_with_like_names_both_get_all_rows(spark, tmp_path):
+    logs, before = tmp_path / "logs", spark.conf.get("spark.checkpoint.dir", None)
+    write_logs(logs)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
+    try:
+        for out in (tmp_path / "a" / "b", tmp_path / "a_b"):
+            follow_logs(spark, str(logs), str(out), once=True).awaitTermination(120)
+            assert spark.read.parquet(str(out)).count() == 4
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_several_folders_are_one_stream(spark, tmp_path):
+    one, two, out, progress = tmp_path / "one", tmp_path / "two", str(tmp_path / "out"), str(tmp_path / "progress")
+    write_logs(one)
+    two.mkdir()
+    (two / "e.log").write_text("[INFO] 2024-01-31 10:20:30 - elsewhere\n")
+    sources = [str(two), str(one)]
+    follow_logs(spark, sources, out, progress, once=True, files_per_batch=1).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 5
+    (two / "f.log").write_text("[INFO] 2024-01-31 10:20:30 - more\n")
+    follow_logs(spark, sources[::-1], out, progress, once=True).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 6
+    with pytest.raises(ValueError, match="already followed"):
+        follow_logs(spark, str(one), out, progress, once=True)
+    with pytest.raises(ValueError, match="already followed"):
+        follow_logs(spark, sources, out, str(tmp_path / "other"), once=True)
+
+
+def test_file_readers(spark, tmp_path):
+    (tmp_path / "empty.log").write_bytes(b"")
+    (tmp_path / "open.log").write_bytes(b"one\r\ntwo")
+    (tmp_path / "closed.log").write_bytes(b"one\n\n")
+    (tmp_path / "bad.log").write_bytes(b"caf\xe9 \xff\n")
+    (tmp_path / "deep").mkdir()
+    for i in range(30):
+        (tmp_path / "deep" / f"{i}.log").write_text(f"K={i}\n")
+    name = lambda f: f.rsplit("/", 1)[-1]
+    got = [(name(f), n, t) for f, n, t in sorted_rows(read_lines(spark, str(tmp_path), "*.log")) if "deep" not in f]
+    assert [r for r in got if r[0] == "open.log"] == [("open.log", 1, "one"), ("open.log", 2, "two")]
+    assert [r for r in got if r[0] == "closed.log"] == [("closed.log", 1, "one"), ("closed.log", 2, "")]
+    assert [r[1] for r in got if r[0] == "bad.log"] == [1]
+    conf = ingest_conf(spark, str(tmp_path / "deep"), "*.log")
+    assert sorted(int(r["value"]) for r in conf.collect()) == list(range(30))
+    assert read_log_lines(spark, str(tmp_path / "deep")).count() == 30

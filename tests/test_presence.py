@@ -54,3 +54,12 @@ def test_module_listing(spark):
         spark, "host_id BIGINT, line STRING", (1, "Loaded Modules:"), (1, " ssl_module (shared)"), (2, "socache_shmcb_module")
     )
     assert sorted_rows(listed_modules(lines)) == [(1, "ssl"), (2, "socache_shmcb")]
+
+
+def test_several_names_for_one_file(spark):
+    lines = table(spark, LINES, (1, 1, "127.0.0.1 b.local"), (1, 2, "x"))
+    names = table(spark, "file_id BIGINT, domain STRING", (1, "c.local"), (1, "a.local"), (1, "b.local"), (1, "c.local"))
+    once = insert_if_absent(lines, names)
+    added = sorted_rows(once.exceptAll(lines))
+    assert added == [(1, 3, "127.0.0.1    a.local"), (1, 4, "127.0.0.1    c.local")]
+    assert sorted_rows(insert_if_absent(once, names)) == sorted_rows(once)

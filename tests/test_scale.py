@@ -3,11 +3,8 @@
 import re
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetops.functions.numbering import number_rows
-from fleetops.functions.text import idiv
 from fleetops.operators import health, lines, settings, versions
 from fleetops.plans.queries import QUERIES
 from tests.helpers import final_plan, plan, sorted_rows, table
@@ -35,6 +32,9 @@ def test_no_cross_join_no_python_no_limit(name, spark, testdata):
         "rewrite_lines_endings",
         "rewrite_lines_delete",
         "rewrite_lines_first",
+        "rewrite_lines_after",
+        "rewrite_lines_last",
+        "parse_conf",
     ],
 )
 def test_row_by_row_jobs_do_not_shuffle(name, spark, testdata):
@@ -59,31 +59,6 @@ def hot_lines(spark):
     return hot.unionByName(cold).selectExpr("file_id", "line_no", text)
 
 
-def test_numbering_cuts_large_keys(spark):
-    df = (
-        spark.range(HOT)
-        .selectExpr("if(id % 3 < 2, 0, id) AS k", "(id * 7919) % 1009 AS a", "id AS b")
-        .withColumn("a", F.when(F.col("a") % 50 != 0, F.col("a")))
-    )
-    got = number_rows(df, ["k"], ["a", "b"], [idiv(F.col("a"), 100)], "n", hot_rows=100)
-    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("a", "b")).cast("bigint"))
-    assert sorted_rows(got, "k", "b", "n") == sorted_rows(want, "k", "b", "n")
-    assert got.schema["n"].dataType.simpleString() == "bigint"
-
-
-def test_numbering_without_large_keys_is_one_window(spark):
-    df = spark.range(1000).selectExpr("id % 100 AS k", "id AS a")
-    text = final_plan(number_rows(df, ["k"], ["a"], [F.col("a")], "n"))
-    assert "SortMergeJoin" not in text
-    assert text.count("Join") == text.count("BroadcastHashJoin") <= 1
-    assert text.count("Window [") == 1
-
-
-def test_last_lines_are_cut_before_the_shuffle(spark):
-    text = plan(lines.last_lines(hot_lines(spark), 5))
-    assert re.search(r"Final.*Exchange hashpartitioning.*WindowGroupLimit \[.*Partial", text, re.DOTALL)
-
-
 def largest_key(df, *keys):
     return df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0]
 
@@ -96,8 +71,8 @@ def test_joins_of_lines_never_gather_a_file(spark, monkeypatch):
     original = classic.DataFrame.join
 
     def spy(self, other, on=None, how=None):
-        if isinstance(on, list) and "block" in on:
-            seen.append(largest_key(self, *on))
+        if "block" in self.columns:
+            seen.append(largest_key(self, *[c for c in ("file_id", "name", "block") if c in self.columns]))
         return original(self, other, on, how)
 
     monkeypatch.setattr(classic.DataFrame, "join", spy)
@@ -150,61 +125,81 @@ def popular_targets(spark):
     return targets, offers
 
 
-def test_popular_targets_give_the_same_with_and_without_splitting(spark):
-    targets, offers = popular_targets(spark)
-    split = versions.resolve_versions(targets, offers, hot_rows=50)
-    plain = versions.resolve_versions(targets, offers)
-    assert sorted_rows(split) == sorted_rows(plain)
-    assert split.count() == 30000
-
+UNEVEN = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+}
 
-def test_popular_targets_are_not_shuffled(spark, monkeypatch):
-    """No key of the shuffled join has more rows than a key may have."""
-    import pyspark.sql.classic.dataframe as classic
 
-    seen = []
-    original = classic.DataFrame.join
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as on large tables: none by broadcast, large partitions split."""
+    before = {k: spark.conf.get(k, None) for k in UNEVEN}
+    for k, v in UNEVEN.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
-    def spy(self, other, on=None, how=None):
-        if isinstance(on, list) and on == ["package", "prefix"] and "host_id" in self.columns:
-            seen.append(largest_key(self, *on))
-        return original(self, other, on, how)
 
-    monkeypatch.setattr(classic.DataFrame, "join", spy)
-    versions.resolve_versions(*popular_targets(spark), hot_rows=50)
-    assert len(seen) == 1 and 0 < seen[0] <= 50
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plans_without_broadcast(name, spark, testdata, no_broadcast):
+    text = plan(QUERIES[name](spark, testdata))
+    assert "SortAggregate" not in text
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "BroadcastExchange" not in text
 
 
-def test_without_popular_targets_one_join_is_left(spark):
-    text = final_plan(versions.resolve_versions(*popular_targets(spark)))
-    assert "Union" not in text
-    assert "Inner" not in text
+@pytest.mark.parametrize("name", ["installed_version", "installed_version_marked", "backed_up_version", "candidate_version"])
+def test_first_hits_take_one_scan_and_one_exchange(name, spark, testdata, no_broadcast):
+    text = plan(QUERIES[name](spark, testdata))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+    assert re.search(r"WindowGroupLimit .*Partial", text)
 
 
-def test_aqe_splits_uneven_keys_of_plain_joins(spark):
-    """Joins on keys that are unique by nature rely on AQE should they ever be uneven."""
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
-    }
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
+def test_popular_targets_are_split(spark, no_broadcast):
+    targets, offers = popular_targets(spark)
+    df = versions.resolve_versions(targets, offers)
+    assert "skew=true" in final_plan(df)
+    assert df.count() == 30000
+    ranks = {}
+    for package, rank, version in sorted(tuple(r) for r in offers.collect()):
+        ranks.setdefault(package, []).append((rank, version))
+    for host, package, installed, new, _ in sorted_rows(df)[::37]:
+        target = None if host % 3 == 2 else "" if host % 2 == 0 else "9"
+        hits = [v for _, v in sorted(ranks.get(package, [])) if target is not None and v.startswith(target)]
+        assert new == (hits[0] if hits else None)
+
+
+def test_upserts_compute_file_facts_once(spark, testdata, no_broadcast):
+    for name in ("upsert_params", "apply_tuning"):
+        text = final_plan(QUERIES[name](spark, testdata))
+        assert text.count("functions=[partial_max(line_no") <= 1
+
+
+def test_building_an_upsert_starts_no_job(spark, testdata):
+    group = "building"
+    spark.sparkContext.setJobGroup(group, group)
     try:
-        desired = spark.range(0, 30000, 1, 8).selectExpr(
-            "if(id % 3 = 0, 0, id) AS host_id", "'work_mem' AS name", "concat(id, 'MB') AS value"
-        )
-        reported = spark.range(2000).selectExpr("id AS host_id", "'work_mem' AS name", "concat(id, 'MB') AS value")
-        df = settings.settings_lookup(reported, desired)
-        assert "skew=true" in final_plan(df)
-        assert df.filter("host_id = 0").select("actual").distinct().count() == 1
-        assert df.count() == 30000
+        for name in ("upsert_params", "apply_tuning"):
+            QUERIES[name](spark, testdata)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_aqe_splits_uneven_keys_of_plain_joins(spark, no_broadcast):
+    """Joins on keys that are unique by nature rely on AQE should they ever be uneven."""
+    desired = spark.range(0, 30000, 1, 8).selectExpr(
+        "if(id % 3 = 0, 0, id) AS host_id", "'work_mem' AS name", "concat(id, 'MB') AS value"
+    )
+    reported = spark.range(2000).selectExpr("id AS host_id", "'work_mem' AS name", "concat(id, 'MB') AS value")
+    df = settings.settings_lookup(reported, desired)
+    assert "skew=true" in final_plan(df)
+    assert df.filter("host_id = 0").select("actual").distinct().count() == 1
+    assert df.count() == 30000
 
 
 def test_candidates_are_never_paired_with_targets(spark):
@@ -215,6 +210,8 @@ def test_candidates_are_never_paired_with_targets(spark):
 
 
 def test_entry(spark):
+    import __spark_entry__ as entry_module
+
     df = entry_module.entry(spark)
     assert df.count() == 150
     assert table(spark, "a INT", (1,)).count() == 1

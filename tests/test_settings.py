@@ -57,12 +57,24 @@ def test_per_file_values_and_files_without_lines(spark):
     ]
 
 
-@pytest.mark.parametrize("names", [[], ["a", "a"], ["a b"], [f"n{i}" for i in range(63)]])
+@pytest.mark.parametrize("names", [[], ["a", "a"], ["a b"]])
 def test_bad_names_are_refused(spark, names):
     with pytest.raises(ValueError):
         upsert_params(table(spark, LINES, (1, 1, "x")), [(n, "1") for n in names])
 
 
+def test_two_hundred_names(spark):
+    texts = [f"n{i} = 1" if i % 3 == 0 else f"#n{i} = 1" if i % 3 == 1 else "x" for i in range(200)]
+    desired = [(f"n{i}", str(i)) for i in range(200)]
+    assert upserted(spark, texts, desired) == edited(texts, desired)
+
+
+def test_lines_without_a_file_are_kept(spark):
+    df = table(spark, LINES, (None, 1, "a = 1"), (None, 2, "x"), (1, 1, "#a = 1"))
+    got = sorted_rows(upsert_params(df, [("a", "9")]))
+    assert got == [(None, 1, "a = 9"), (None, 2, "x"), (1, 1, "a = 9")]
+
+
 def edited(texts, desired):
     """The rule, one setting after another on a list of lines."""
     texts = list(texts)

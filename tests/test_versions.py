@@ -82,3 +82,10 @@ def test_candidate_version(spark):
         (2, 1, "tool-web:"),
     )
     assert sorted_rows(candidate_version(lines)) == [(1, "9.1-1"), (2, None)]
+
+
+def test_blank_targets_find_nothing(spark):
+    targets = table(spark, TARGETS, (1, "p", "9.1-1", "", "no"), (2, "p", "9.1-1", None, "yes"), (3, "p", "9.1-1", "9", "no"))
+    candidates = table(spark, CANDIDATES, ("p", 1, "9.2-1"), ("p", 1, "9.10-1"), (None, 1, "9.1-1"))
+    got = sorted_rows(resolve_versions(targets, candidates), "host_id", "new_version", "status")
+    assert got == [(1, None, "not_found"), (2, None, "not_found"), (3, "9.10-1", "available")]
