@@ -18,13 +18,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    folder = spark.conf.get(CHECKPOINTS, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set(CHECKPOINTS, folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, one of the session's own."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINTS, None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
