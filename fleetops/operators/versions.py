@@ -52,7 +52,9 @@ def resolve_versions(targets: DataFrame, candidates: DataFrame) -> DataFrame:
 
     The offers hold one row per package and prefix, and targets meet them in one
     equi-join. A target that very many hosts share makes one large partition of the
-    targets, which AQE splits, as only the targets' side is large.
+    targets, which AQE splits, as only the targets' side is large. The join has a key of
+    its own: on the columns that the offers are grouped by, it would take over their
+    partitioning, and AQE could not split.
     """
     offers = first_version_by_prefix(candidates)
     latest = F.col("target_version") == LATEST
@@ -60,7 +62,9 @@ def resolve_versions(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     wanted = targets.withColumn("prefix", F.when(latest, F.lit("")).otherwise(target))
     same = F.col("new_version") == F.col("installed_version")
     forced = F.coalesce(F.col("force_upgrade") == "yes", F.lit(False))
-    return wanted.join(offers, ["package", "prefix"], "left").select(
+    key = F.concat("package", F.lit("\n"), "prefix").alias("offer")
+    by_key = offers.select(key, "new_version")
+    return wanted.withColumn("offer", key).join(by_key, "offer", "left").select(
         "host_id",
         "package",
         "installed_version",

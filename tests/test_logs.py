@@ -116,15 +116,11 @@ def test_progress_goes_to_the_shared_folder():
 
 
 def test_tables_with_like_names_both_get_all_rows(spark, tmp_path):
-    logs, before = tmp_path / "logs", spark.conf.get("spark.checkpoint.dir", None)
+    logs, shared = tmp_path / "logs", Session(**{"spark.checkpoint.dir": str(tmp_path / "shared")})
     write_logs(logs)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        for out in (tmp_path / "a" / "b", tmp_path / "a_b"):
-            follow_logs(spark, str(logs), str(out), once=True).awaitTermination(120)
-            assert spark.read.parquet(str(out)).count() == 4
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    for out in (str(tmp_path / "a" / "b"), str(tmp_path / "a_b")):
+        follow_logs(spark, str(logs), out, progress_folder(shared, out), once=True).awaitTermination(120)
+        assert spark.read.parquet(out).count() == 4
 
 
 def test_several_folders_are_one_stream(spark, tmp_path):
