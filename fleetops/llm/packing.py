@@ -27,9 +27,10 @@ END_ID = 1
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Entries (length, first rank, number of pieces, first sequence, offset) for counts by length.
 
-    Best-fit decreasing: a piece goes to the sequence with the least room that holds it. Sequences with equal room
-    are interchangeable, so runs of them are filled at once; the number of entries depends on the lengths that occur
-    and the capacity, not on the number of pieces.
+    Best-fit decreasing: a piece goes to the sequence with the least room that holds it, so one sequence takes as many
+    pieces of a length as it can before the next gets any. Sequences with equal room are interchangeable, and runs of
+    them are filled at once; the number of entries depends on the lengths that occur and the capacity, not on the
+    number of pieces.
     """
     runs: dict[int, list[tuple[int, int]]] = {}  # room -> (first sequence, how many)
     rooms: list[int] = []
@@ -48,20 +49,31 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
         while left:
             at = bisect_left(rooms, length)
             if at == len(rooms):
-                room, first, n = capacity, next_sequence, left
+                room, first, n = capacity, next_sequence, -(-left // (capacity // length))
                 next_sequence += n
             else:
                 room = rooms[at]
                 first, n = runs[room].pop()
-                if n > left:
-                    runs[room].append((first + left, n - left))
-                    n = left
                 if not runs[room]:
                     del runs[room]
                     rooms.pop(at)
-            entries.append((length, rank, n, first, capacity - room))
-            add(room - length, first, n)
-            rank, left = rank + n, left - n
+            each = room // length
+            full = min(n, left // each)
+            more = min(left - full * each, each) if full < n else 0
+            for k in range(each if full else 0):
+                entries.append((length, rank, full, first, capacity - room + k * length))
+                rank += full
+            for k in range(more):
+                entries.append((length, rank, 1, first + full, capacity - room + k * length))
+                rank += 1
+            left -= full * each + more
+            used = full + (more > 0)
+            if full:
+                add(room - each * length, first, full)
+            if more:
+                add(room - more * length, first + full, 1)
+            if used < n:
+                add(room, first + used, n - used)
     return entries
 
 
