@@ -33,7 +33,7 @@ EXHAUSTIVE = 7  # up to so many languages, every way to split them is a bit; bey
 BITS = 63
 SHARPNESS = 4.0  # from losses to scores
 AMBIGUOUS = 0.6  # a score below this is ambiguous
-MAJORITY = 0.5  # a filter keeps documents from this score on
+MAJORITY, ABOVE_CHANCE = 0.5, 1.2  # a filter keeps documents from the lower of these on, the second divided by languages
 UNKNOWN = "und"
 
 
@@ -223,9 +223,13 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     return docs.mapInArrow(run, result)
 
 
-def known_language(predicted: DataFrame) -> DataFrame:
-    """The rows whose language could be told: some letters, and one language nearer than all others together."""
-    return predicted.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MAJORITY))
+def known_language(predicted: DataFrame, model: Model) -> DataFrame:
+    """The rows whose language could be told: some letters, and a score clearly above that of all languages being alike.
+
+    Short and mixed texts have low scores and stay; what goes has no letters or is as near to any language.
+    """
+    least = min(MAJORITY, ABOVE_CHANCE / max(len(model.langs), 1))
+    return predicted.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
 
 
 def remainder(doc_id: Column) -> Column:

@@ -63,7 +63,7 @@ def test_awkward_rows(spark):
     assert all(got[i] == (UNKNOWN, 0.0) for i in without)
     assert all(got[i][0] != UNKNOWN for i in range(len(AWKWARD)) if i not in without)
     assert set(docs.columns) - {"score"} < set(done.columns) and done.columns.count("score") == 1
-    assert not {r["doc_id"] for r in known_language(done).collect()} & set(without)
+    assert not {r["doc_id"] for r in known_language(done, model).collect()} & set(without)
     assert predict(docs.limit(0), model).count() == 0
     nothing = fit(labelled_part(docs.limit(0)))
     assert {r["lang_pred"] for r in predict(docs, nothing).collect()} == {UNKNOWN}
