@@ -8,8 +8,9 @@ period so that both fall on D. So only anchors, shorter runs of words at cover p
 2. each anchor left is extended to the windows around it, and only these windows are hashed and counted;
 3. words under windows that occur at least twice are removed.
 
-Occurrences travel as columns of numbers, a row for each task and part of the hash space. A task that sees a hash twice
-sends it once, marked, so a passage with millions of copies costs its part one entry per task. Documents are named by
+Occurrences travel as columns of numbers, a row for each batch of a task and part of the hash space; what is found goes
+back by batch. A batch that sees a hash twice sends it once, marked, so a passage with millions of copies costs its
+part one entry per batch. Documents are named by
 a 128-bit hash of id and text, so repeated rows and repeated ids need no special case; anchors and windows by 64 bits.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from fleetops.llm.tokens import slices
 from fleetops.llm.words import window_hashes, word_hashes
 
 WINDOW = 35
-FLUSH = 1_000_000  # occurrences that a task gathers before it sends them off
+FLUSH = 400_000  # occurrences that a task gathers before it sends them off
 TWICE = np.uint32(1 << 31)  # mark of an entry whose hash its task has seen more than once
 
 
@@ -59,119 +60,131 @@ def cover_for(window: int) -> Cover:
     return next(c for c in COVERS if 3 * (window - c.period + 1) > window or c.period == 1)
 
 
-ENTRIES = "part int, keys binary, hashes binary, owners binary, places binary, known boolean"
-TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
-NAMES = ["part", "keys", "hashes", "owners", "places", "known"]
+# A row holds many entries as columns. ``numbers`` say which document of the batch an entry belongs to, ``places`` are
+# the differences from entry to entry; both compress well. What a row is: entries to count, places known to repeat, or
+# the names of the batch's documents.
+COUNT, KNOWN, NAMED = 0, 1, 2
+ENTRIES = "part int, batch long, kind int, hashes binary, numbers binary, places binary"
+TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+COLUMNS = ["part", "batch", "kind", "hashes", "numbers", "places"]
+FOUND = "batch long, kind int, numbers binary, places binary"
+
+
+def differences(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as what each adds to the one before, modulo 2**32."""
+    return np.diff(x.astype(np.uint32), prepend=np.uint32(0)).astype("<u4").tobytes()
+
+
+def summed(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, dtype="<u4"), dtype=np.uint32)
 
 
 class Gatherer:
-    """Occurrences (hash, document, place) of one task, sent off as rows of columns by part."""
+    """Occurrences (hash, document, place) of one task, sent off in batches as rows of columns by part."""
 
     def __init__(self, parts: int):
         self.parts = parts
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.hashes, self.owners, self.places, self.held = [], [], [], [], 0
+        self.keys, self.hashes, self.numbers, self.places, self.held = [], [], [], [], 0
 
     def add(self, key: bytes, hashes: np.ndarray, places: np.ndarray) -> None:
         if len(hashes):
             self.hashes.append(hashes)
-            self.owners.append(np.full(len(hashes), len(self.keys), dtype=np.uint32))
+            self.numbers.append(np.full(len(hashes), len(self.keys), dtype=np.uint32))
             self.places.append(places.astype(np.uint32))
             self.keys.append(key)
             self.held += len(hashes)
 
-    def rows(self, part, hashes, owners, places, known: bool) -> list[tuple]:
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
-        out = []
-        for p in range(self.parts):
-            some = order[cuts[p] : cuts[p + 1]]
-            if len(some):
-                mark = owners[some] & TWICE
-                used, local = np.unique(owners[some] & ~TWICE, return_inverse=True)
-                names = b"".join([self.keys[u] for u in used.tolist()])
-                column = b"" if known else hashes[some].astype("<u8").tobytes()
-                owner = local.astype(np.uint32) | mark
-                out.append((p, names, column, owner.astype("<u4").tobytes(), places[some].astype("<u4").tobytes(), known))
-        return out
-
     def flush(self) -> Iterator[pa.RecordBatch]:
         """Entries to be counted, one for each different hash, and the occurrences already known to repeat."""
         if not self.held:
             return
-        hashes, owners, places = np.concatenate(self.hashes), np.concatenate(self.owners), np.concatenate(self.places)
-        order = np.argsort(hashes, kind="stable")
-        hashes, owners, places = hashes[order], owners[order], places[order]
-        new = np.ones(len(hashes), dtype=bool)
-        new[1:] = hashes[1:] != hashes[:-1]
-        group = np.cumsum(new) - 1
-        twice = np.bincount(group)[group] > 1
-        marked = np.where(twice[new], owners[new] | TWICE, owners[new])
-        part = ((hashes >> np.uint64(33)) % np.uint64(self.parts)).astype(np.int64)
-        rows = self.rows(part[new], hashes[new], marked, places[new], False)
-        if twice.any():
-            # These only pass through; the document decides where, so that a hot passage does not meet in one part.
-            spread = owners[twice].astype(np.int64) % self.parts
-            rows += self.rows(spread, hashes[twice], owners[twice], places[twice], True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+        hashes, numbers, places = np.concatenate(self.hashes), np.concatenate(self.numbers), np.concatenate(self.places)
+        names = b"".join(self.keys)
         self.clear()
-
-
-def places_by_document(keys: np.ndarray, owners: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key, places) from occurrences; ``owners`` are indexes of ``keys``."""
-    order = np.argsort(owners, kind="stable")
-    owners, places = owners[order], places[order].astype("<u4")
-    used, starts = np.unique(owners, return_index=True)
-    ends = np.append(starts[1:], len(owners))
-    for low in range(0, len(used), 20_000):
-        some = range(low, min(low + 20_000, len(used)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([keys[used[i]].tobytes() for i in some], pa.binary()),
-                pa.array([places[starts[i] : ends[i]].tobytes() for i in some], pa.binary()),
-            ],
-            names=["key", "places"],
-        )
+        batch = int.from_bytes(blake2b(names, digest_size=8).digest(), "little", signed=True)
+        _, first, group, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        twice = count[group] > 1
+        rows = [(batch % self.parts, batch, NAMED, None, names, None)]
+        if twice.any():
+            rows.append((batch % self.parts, batch, KNOWN, None, numbers[twice].tobytes(), differences(places[twice])))
+        first.sort()
+        hashes, places = hashes[first], places[first]
+        numbers = numbers[first] | np.where(twice[first], TWICE, np.uint32(0))
+        part = ((hashes >> np.uint64(33)) % np.uint64(self.parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
+        for p in range(self.parts):
+            some = order[cuts[p] : cuts[p + 1]]
+            if len(some):
+                rows.append((p, batch, COUNT, hashes[some].tobytes(), numbers[some].tobytes(), differences(places[some])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=COLUMNS)
 
 
 def repeated(entries: DataFrame, parts: int) -> DataFrame:
-    """Rows (key, found): for each document, lists of the places whose hash occurs more than once anywhere.
+    """Rows (key, found): for each document that has any, the places whose hash occurs more than once anywhere.
 
-    A task holds the entries of its part of the hash space, 16 to 32 bytes each; the session's shuffle partitions are to
-    be as many that this fits.
+    A task first holds the entries of its part of the hash space, about 20 bytes each; what it finds goes back by batch,
+    and a task then holds the places of some batches. The session's shuffle partitions are to be as many that this fits.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, hashes, owners, places, base = [], [], [], [], 0
-        for batch in batches:
-            for _, key, column, owner, place, known in zip(*(c.to_pylist() for c in batch.columns)):
-                names = np.frombuffer(key, dtype="V16")
-                of, at = np.frombuffer(owner, dtype="<u4"), np.frombuffer(place, dtype="<u4")
-                if known:
-                    yield from places_by_document(names, of & ~TWICE, at)
-                    continue
-                keys.append(names)
-                hashes.append(np.frombuffer(column, dtype="<u8"))
-                owners.append((of & ~TWICE).astype(np.int64) + base | (of & TWICE).astype(np.int64) << 31)
-                places.append(at)
-                base += len(names)
-        if not keys:
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(batch, kind, numbers, places):
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            columns = [pa.array([x], t) for x, t in zip((batch, kind, numbers, places), types)]
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "kind", "numbers", "places"])
+
+        batches, hashes, numbers, places = [], [], [], []
+        for some in rows:
+            for i in range(some.num_rows):
+                _, batch, kind, column, number, place = (c[i].as_py() for c in some.columns)
+                if kind == COUNT:
+                    batches.append(batch)
+                    hashes.append(np.frombuffer(column, dtype="<u8"))
+                    numbers.append(np.frombuffer(number, dtype="<u4"))
+                    places.append(place)
+                else:
+                    yield row(batch, kind, number, place)
+        if not batches:
             return
-        value, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
-        order = np.argsort(value, kind="stable")
-        value, owner, place = value[order], owner[order], place[order]
-        new = np.ones(len(value), dtype=bool)
-        new[1:] = value[1:] != value[:-1]
-        group = np.cumsum(new) - 1
-        marked = owner >> 62 > 0
-        often = np.bincount(group)[group] > 1
-        often |= np.bincount(group, weights=marked)[group] > 0
-        yield from places_by_document(np.concatenate(keys), (owner & ((1 << 62) - 1))[often], place[often])
-
-    dealt = entries.repartition(parts, "part")
-    return dealt.mapInArrow(run, "key binary, places binary").groupBy("key").agg(F.collect_list("places").alias("found"))
+        ends = np.cumsum([len(h) for h in hashes])
+        _, group, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        del hashes
+        marked = np.concatenate(numbers) & TWICE > 0
+        times[group[marked]] = 2
+        often = times[group] > 1
+        for batch, number, place, end in zip(batches, numbers, places, ends.tolist()):
+            here = often[end - len(number) : end]
+            if here.any():
+                yield row(batch, KNOWN, (number[here] & ~TWICE).tobytes(), differences(summed(place)[here]))
+
+    def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[int, bytes] = {}
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        for some in rows:
+            for i in range(some.num_rows):
+                batch, kind, numbers, places = (c[i].as_py() for c in some.columns)
+                if kind == NAMED:
+                    names[batch] = numbers
+                else:
+                    held.setdefault(batch, []).append((numbers, places))
+        for batch, columns in held.items():
+            number = np.concatenate([np.frombuffer(n, dtype="<u4") for n, _ in columns])
+            place = np.concatenate([summed(p) for _, p in columns])
+            order = np.lexsort((place, number))
+            number, place = number[order], place[order]
+            used, starts = np.unique(number, return_index=True)
+            ends = [*starts[1:].tolist(), len(number)]
+            keys = [names[batch][16 * u : 16 * u + 16] for u in used.tolist()]
+            found = [differences(place[a:b]) for a, b in zip(starts.tolist(), ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "found"])
+
+    counted = entries.repartition(parts, "part").mapInArrow(count, FOUND)
+    gathered = counted.repartition(parts, "batch").mapInArrow(gather, "key binary, found binary")
+    # Rows that agree in id and text have one key; all of their places repeat, in each of them.
+    return gathered.groupBy("key").agg(F.get(F.collect_set("found"), F.lit(0)).alias("found"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -182,8 +195,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.md5(name.cast("binary"))).alias("key"), text.alias("text"), F.struct(*rest).alias("row"))
 
 
-def marked_places(found: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(found), dtype="<u4")).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
+def found_places(found: bytes | None) -> np.ndarray:
+    return np.unique(summed(found)).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
 
 
 def anchors(texts: DataFrame, parts: int, window: int, cover: Cover) -> DataFrame:
@@ -226,7 +239,7 @@ def windows(joined: DataFrame, parts: int, window: int, cover: Cover) -> DataFra
                 start = 0
                 for i, words in zip(some[low:high], split):
                     n = len(words)
-                    at = marked_places(found[i].as_py())
+                    at = found_places(found[i].as_py())
                     change = np.zeros(n + 2, dtype=np.int64)
                     np.add.at(change, np.maximum(at - cover.period + 1, 0), 1)
                     np.add.at(change, at + 1, -1)
@@ -269,7 +282,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
             for raw, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
                 words = raw.split()
                 n = len(words)
-                at = marked_places(found)
+                at = found_places(found)
                 if not len(at):
                     out.append(raw)
                     sizes.append(n)

@@ -49,7 +49,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words given as UTF-8, for the same word always the same; long lists are cut into stretches."""
     out = []
-    stretch = 1 << 17
+    stretch = 1 << 15
     table = letter_values()
     for low in range(0, len(words), stretch):
         some = words[low : low + stretch]
