@@ -184,7 +184,8 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     gives ``und`` with score 0, not ambiguous. A model of one language answers it with score 1. Repeated rows are
     predicted each; columns named like the added ones are replaced. Without ``keep_text`` the text is left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values, as workers may not have this module.
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.weights, model.trust))
     added = StructType.fromDDL(PREDICTED)
     docs = docs.drop(*added.names)
     at = docs.columns.index("text")
@@ -192,7 +193,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     result = StructType([docs.schema.fields[i] for i in kept] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         bits = model.weights.shape[1]
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
