@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -68,7 +69,7 @@ class Encoder:
             own = cut.replace("\\p{L}", LETTERS).replace("\\p{N}", "0-9")
             special = [t["content"] for t in shape.get("added_tokens") or ()]
             odd = "|".join([f"[^\n{PLAIN}]", *map(re.escape, special)])
-            self.cut = re.compile(own + "|\n").findall
+            self.cut = re.compile(own).findall
             self.odd = re.compile(f"(?m)^.*?(?:{odd}).*$").findall
             byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             letters = "".join(map(chr, range(0x100, 0x800)))  # two bytes each, between them every byte beyond ASCII
@@ -86,7 +87,7 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype=np.uint32).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def learn(self, new: list[bytes]) -> None:
         listed = b"\n".join(new).decode()
@@ -98,17 +99,17 @@ class Encoder:
             return
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        cut = self.cut(b"\n".join(plain).decode().lower())
-        pieces = self.pieces
-        for p in set(cut).difference(pieces):
-            pieces[p] = self.piece(p) if p != "\n" else b""
-        at = 0
-        for word in plain:
-            end = at
-            while end < len(cut) and cut[end] != "\n":
-                end += 1
-            self.known[word] = pieces[cut[at]] if end == at + 1 else b"".join([pieces[p] for p in cut[at:end]])
-            at = end + 1
+        pieces, known = self.pieces, self.known
+        for word, low in zip(plain, b"\n".join(plain).decode().lower().split("\n")):
+            # Letters alone are one piece.
+            parts = (low,) if low.isalpha() else self.cut(low)
+            found = []
+            for p in parts:
+                ids = pieces.get(p)
+                if ids is None:
+                    ids = pieces[p] = self.piece(p)
+                found.append(ids)
+            known[word] = found[0] if len(found) == 1 else b"".join(found)
 
     def __call__(self, texts: Iterable[bytes]) -> list[np.ndarray]:
         """The ids of each text, given as UTF-8."""
