@@ -181,6 +181,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     before. Other columns are not read.
     """
     spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)  # readers find it even if no file follows
     path = tokenizer or default_path()
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

@@ -77,7 +77,8 @@ def test_repeated_and_null_ids_and_no_rows(spark, tmp_path):
     got = read_token_files(spark, str(tmp_path / "some"), files).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, None, 1, 1]
     assert sum(r["n_tokens"] for r in got) == got[-1]["start"] + got[-1]["n_tokens"]
-    assert write_token_files(docs.limit(0), str(tmp_path / "none")).count() == 0
+    none = write_token_files(docs.limit(0), str(tmp_path / "none"))
+    assert none.count() == 0 and read_token_files(spark, str(tmp_path / "none"), none).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(5))
