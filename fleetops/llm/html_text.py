@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetops.llm.runtime import stored
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math".split())
 BLOCKS = frozenset(
@@ -303,7 +305,9 @@ def extract(pages: DataFrame) -> DataFrame:
     A null page is empty; a page without text gives an empty text and an empty path. Null and broken URLs have no host
     and their pages are extracted alone. Repeated rows are separate pages. Other columns are not read.
     """
-    paths = agreed_paths(votes(pages)).withColumnRenamed("host", "agreed_host")
+    # Read back as a table, the paths have a known size: few are broadcast, and pages stay where they are; beyond that
+    # pages are joined by host, and a host with very many pages is a partition that AQE splits.
+    paths = stored(agreed_paths(votes(pages)).withColumnRenamed("host", "agreed_host"))
     cast = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
     joined = cast.join(paths, F.col("host") == F.col("agreed_host"), "left").select("page_id", "url", "html", "paths")
 
