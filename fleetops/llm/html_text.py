@@ -59,6 +59,8 @@ ENDS = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
+# What may stand in a head; any other start tag, or text, ends one whose end tag is left out.
+HEAD = frozenset("title meta link base script style noscript template".split())
 SCOPE = frozenset("td th table button body html article section div main aside nav footer header form".split())
 
 
@@ -96,7 +98,10 @@ class Node:
 
 
 def parsed(page: str) -> Node:
-    """A tree of the page: no page is refused, unclosed and stray tags are closed where they must end."""
+    """A tree of the page: no page is refused, unclosed and stray tags are closed where they must end.
+
+    All that is outside of the head stands in one html and one body element, also where their tags are left out.
+    """
     root = node = Node("", None)
     at = 0
     while True:
@@ -104,7 +109,10 @@ def parsed(page: str) -> Node:
         if m is None:
             break
         if m.start() > at:
-            node.children.append(page[at : m.start()])
+            text = page[at : m.start()]
+            if node.tag == "head" and text.strip():
+                node = node.parent
+            node.children.append(text)
         at = m.end()
         end_mark, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if name is None:
@@ -120,6 +128,8 @@ def parsed(page: str) -> Node:
             if open_node is not root:
                 node = open_node.parent
             continue
+        if node.tag == "head" and tag not in HEAD:
+            node = node.parent
         if tag in BLOCKS:
             inner, found = node, None
             while inner is not root and inner.tag not in SCOPE:
@@ -148,7 +158,29 @@ def parsed(page: str) -> Node:
         elif tag not in VOID:
             node = child
     if at < len(page):
+        if node.tag == "head" and page[at:].strip():
+            node = node.parent
         node.children.append(page[at:])
+    return rooted(root)
+
+
+def rooted(root: Node) -> Node:
+    """The tree with one html and one body element: those of the page, or new ones, take in what stands beside them."""
+
+    def only(tag: str, parent: Node, children: list) -> tuple[Node, list]:
+        """The first element of the tag, or a new one, and the children with all elements of the tag opened."""
+        same = [c for c in children if isinstance(c, Node) and c.tag == tag]
+        opened = [x for c in children for x in (c.children if isinstance(c, Node) and c.tag == tag else [c])]
+        return (same[0] if same else Node(tag, parent)), opened
+
+    html, inside = only("html", root, root.children)
+    heads = [c for c in inside if isinstance(c, Node) and c.tag == "head"]
+    body, rest = only("body", html, [c for c in inside if not (isinstance(c, Node) and c.tag == "head")])
+    root.children, html.children, body.children = [html], [*heads, body], rest
+    for parent in (root, html, body):
+        for child in parent.children:
+            if isinstance(child, Node):
+                child.parent = parent
     return root
 
 

@@ -34,6 +34,35 @@ def test_boilerplate_is_left_out():
     assert path == "html>body>div.main-text.post-#"
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("", ""),
+        ("<!doctype html><title>T</title>", ""),
+        ("<head><meta charset=utf-8><title>T</title>", ""),
+        ("<html><head><title>T</title></head>", "</html>"),
+        ("<body>", "</body>"),
+        ("<html><head><title>T</title><body>", ""),
+    ],
+)
+def test_tags_of_html_and_body_may_be_left_out(start, end):
+    text, path = extracted(f"{start}<h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><div class=box>short</div>{end}", [])
+    assert text == f"T\n{PROSE}\n{PROSE}\nshort"
+    assert path == "html>body"
+
+
+def test_text_beside_html_and_body_is_kept():
+    beside = f"one <html>two<body><p>{PROSE}</p></body>three</html><p>four</p>"
+    assert extracted(beside, [])[0] == f"one two\n{PROSE}\nthree\nfour"
+    assert extracted("<head><title>T</title>only text", [])[0] == "only text"
+
+
+def test_a_host_without_html_and_body_tags(spark):
+    bare = f"<h1>T</h1><p>{PROSE}</p><div class=box>short</div>"
+    got = extract(pages(spark, *[("http://a.b/", bare)] * 3, ("http://a.b/", f"<html><body>{bare}</body></html>"))).collect()
+    assert {(r["text"], r["path"]) for r in got} == {(f"T\n{PROSE}\nshort", "html>body")}
+
+
 def test_a_host_outvotes_a_page(spark):
     short = page("<div class='c1'><p>Short.</p></div><section class='x'><p>" + COMMENT + "</p></section>")
     usual = page(f"<div class='c1'><p>{PROSE}</p><p>{PROSE}</p></div><section class='x'><p>Other</p></section>")
