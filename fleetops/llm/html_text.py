@@ -1,9 +1,10 @@
 """Main text of web pages by consensus of a host's pages.
 
-Each page's containers are scored by the paragraph text that they hold. The best one's path, made of tags and
-classes with numbers generalised, is the page's vote; votes are counted per host in Spark, with partial sums, so a host
+Each page's containers are scored by the paragraph text that they hold. From the best one it goes up as long as prose
+of the same article stands beside it, so that articles split over several containers are whole. The path of the
+container reached, made of tags and classes with numbers generalised, is the page's vote; votes are counted per host in Spark, with partial sums, so a host
 with a third of all pages is no special case. Pages are then extracted again by the paths that their host agreed on,
-the most voted one that the page has. A page without any of them, and a page without a host, uses its own best one.
+the most voted one that the page has, or a wider one of them that is the page's own. A page without any of them, and a page without a host, uses its own best one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ BLOCKS = frozenset(
     " tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article main section div td body blockquote html center details".split())
+PARTS = frozenset("section blockquote td center details".split())  # containers that are seldom all of an article
 PARAGRAPHS = frozenset("p pre blockquote li dd td h1 h2 h3 h4 h5 h6".split())
 # Never part of an article, whatever they hold.
 ASIDE = frozenset(
@@ -256,14 +258,60 @@ def scored(root: Node) -> list[tuple[Node, float]]:
     return [(nodes[k], s * bonus.get(nodes[k].tag, 1.0)) for k, s in scores.items()]
 
 
+def beside(container: Node, branch: Node | None) -> tuple[int, int, int]:
+    """Characters of prose in a container itself, of prose in containers in it, and of the rest, outside of a branch.
+
+    The text of a container, apart from that of containers in it, is prose if under a third of it is in links.
+    """
+    sizes: dict[int, list[int]] = {id(container): [0, 0]}
+    stack: list[tuple[Node, Node, bool]] = [(container, container, False)]
+    while stack:
+        node, holder, linked = stack.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                if any(c.isalnum() for c in child):
+                    sizes.setdefault(id(holder), [0, 0])[linked] += len(child.strip())
+            elif child is not branch and not child.skipped():
+                stack.append((child, child if child.tag in CONTAINERS else holder, linked or child.tag == "a"))
+    prose = {k: plain for k, (plain, links) in sizes.items() if 2 * links < plain}
+    own = prose.get(id(container), 0)
+    return own, sum(prose.values()) - own, sum(map(sum, sizes.values())) - sum(prose.values())
+
+
+def whole(node: Node) -> Node:
+    """The container that holds all of the article of which a container holds the most.
+
+    It is the widest one that adds enough prose to those in it; in an article element any prose is enough, and beside a
+    part of a text, or within an own container, a heading or paragraph is. Article and main elements are whole.
+    """
+    at = branch = node
+    size = None
+    for up in node.ancestors():
+        if at.tag in ("article", "main"):
+            break
+        if up.tag not in CONTAINERS:
+            continue
+        own, others, rest = beside(up, branch)
+        branch = up
+        gained = own + others
+        if not gained:
+            continue
+        if size is None:
+            size = sum(beside(node, None)[:2])
+        near = gained if up.tag == "article" else own if at.tag in PARTS or up.tag not in ("html", "body") else 0
+        if gained >= max(LEAST_PROSE, min(ENOUGH_PROSE, size // 10)) or (near and rest <= near):
+            at, size = up, size + gained
+    return at
+
+
 def best(root: Node) -> Node | None:
-    """The container with the highest score; the first in the page of equal ones. None without text."""
+    """The whole of the container with the highest score; the first in the page of equal ones. None without text."""
     found = [(s, n) for n, s in scored(root) if s > 0]
     if not found:
         return None
     top = max(s for s, _ in found)
     order = {id(n): i for i, (n, _) in enumerate(walk(root))}
-    return min((n for s, n in found if s == top), key=lambda n: order[id(n)])
+    return whole(min((n for s, n in found if s == top), key=lambda n: order[id(n)]))
 
 
 def walk(root: Node) -> Iterator[tuple[Node, int]]:
@@ -287,11 +335,19 @@ def extracted(page: str, agreed: list[str]) -> tuple[str, str]:
         for path in agreed:
             found = [b for n in by_path.get(path, ()) for b in blocks(n)]
             if found:
+                # Where some pages of a host have an article in one part and others in several.
+                wider = [p for p in agreed if path.startswith(p + ">")]
+                if wider and (own := best(root)) is not None and (up := own.path()) in wider:
+                    found, path = [b for n in by_path[up] for b in blocks(n)], up
                 return "\n".join(found), path
     own = best(root)
     if own is None:
         return "\n".join(blocks(root)), ""
-    return "\n".join(blocks(own)), own.path()
+    path, alike = own.path(), [own]
+    if own.tag == "article":
+        at = path.count(">") + 1
+        alike = [n for n, depth in walk(root) if depth == at and n.tag == own.tag and n.path() == path]
+    return "\n".join(b for n in alike for b in blocks(n)), path
 
 
 def host(url: Column) -> Column:
@@ -319,6 +375,9 @@ def votes(pages: DataFrame) -> DataFrame:
 # A container this far above a text, by halves, no longer gains from it.
 LEAST_SHARE = 1e-6
 
+# So many characters beside a container are the same article's, or a tenth of its own if that is fewer, but not below the least.
+ENOUGH_PROSE, LEAST_PROSE = 100, 25
+
 # A path counts as agreed from this share of its host's votes on; so at most 1 / SHARE paths are kept per host.
 SHARE = 0.05
 

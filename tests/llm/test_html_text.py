@@ -63,6 +63,40 @@ def test_a_host_without_html_and_body_tags(spark):
     assert {(r["text"], r["path"]) for r in got} == {(f"T\n{PROSE}\nshort", "html>body")}
 
 
+LONG, REST = " ".join([PROSE] * 9), " ".join([PROSE] * 3)
+SPLIT = f"<div class=post><div class=intro><p>{LONG}</p></div><div class=rest><p>{REST}</p></div></div>"
+
+
+@pytest.mark.parametrize(
+    "body, text, path",
+    [
+        (SPLIT, f"{LONG}\n{REST}", "html>body>div.post"),
+        (f"<div class=post><div class=rest><p>{REST}</p></div><div><div class=intro><p>{LONG}</p></div></div></div>", f"{REST}\n{LONG}", "html>body>div.post"),
+        (f"<main><section><p>{LONG}</p></section><section><p>{REST}</p></section></main>", f"{LONG}\n{REST}", "html>body>main"),
+        (f"<section class=a><p>{LONG}</p></section><section class=b><p>{REST}</p></section>", f"{LONG}\n{REST}", "html>body"),
+        (f"<article><section><p>{LONG}</p></section><section>Few</section></article>", f"{LONG}\nFew", "html>body>article"),
+        (f"<div class=post><h1>T</h1><p>Few</p><section><p>{LONG}</p></section></div>", f"T\nFew\n{LONG}", "html>body>div.post"),
+        (f"<div class=post><p>Few</p><blockquote><p>{LONG}</p></blockquote><p>End</p></div>", f"Few\n{LONG}\nEnd", "html>body>div.post"),
+        (f"<h1>T</h1><blockquote><p>{LONG}</p></blockquote>", f"T\n{LONG}", "html>body"),
+        (f"<div class=post><h1>T</h1><table><tr><td>{LONG}<td>{REST}<tr><td>{REST}</table></div>", f"T\n{LONG}\n{REST}\n{REST}", "html>body>div.post"),
+        (f"<article><p>{LONG}</p></article><article><p>{REST}</p></article>", f"{LONG}\n{REST}", "html>body>article"),
+        # What is no part of the article stays out.
+        (f"<div class=post><p>{LONG}</p></div><div class=more><a href=/>{REST}</a> and more</div>", LONG, "html>body>div.post"),
+        (f"<h1>Site</h1><div class=post><p>{LONG}</p></div><div class=x>&copy; us</div>", LONG, "html>body>div.post"),
+        (f"<article><p>{LONG}</p></article><div class=x><p>{REST}</p></div>", LONG, "html>body>article"),
+    ],
+)
+def test_articles_in_several_containers(body, text, path):
+    assert extracted(page(body), []) == (text, path)
+
+
+def test_a_host_with_articles_in_several_containers(spark):
+    single = f"<div class=post><div class=intro><p>{LONG}</p></div></div>"
+    site = [("http://a.b/", page(SPLIT))] * 3 + [("http://c.d/", page(single))] * 6 + [("http://c.d/", page(SPLIT))] * 2
+    got = {r["page_id"]: r["text"] for r in extract(pages(spark, *site)).collect()}
+    assert [got[i] for i in range(11)] == [f"{LONG}\n{REST}"] * 3 + [LONG] * 6 + [f"{LONG}\n{REST}"] * 2
+
+
 def test_a_host_outvotes_a_page(spark):
     short = page("<div class='c1'><p>Short.</p></div><section class='x'><p>" + COMMENT + "</p></section>")
     usual = page(f"<div class='c1'><p>{PROSE}</p><p>{PROSE}</p></div><section class='x'><p>Other</p></section>")
