@@ -13,7 +13,7 @@ from fleetops.llm.runtime import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others go. Learned from the labels of two thirds of them."""
+    """Documents in a language that was learned; the others go. Learned from the labels of two thirds of them."""
     model = lang_id.fit(lang_id.labelled_part(docs))
     return lang_id.known_language(lang_id.predict(docs, model), model).select(*docs.columns)
 

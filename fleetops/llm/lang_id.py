@@ -5,6 +5,9 @@ those with a 0 by character n-grams (naive Bayes log odds, languages weighing al
 with all codewords; each bit's loss counts by how well the bit separates its languages, and the nearest codeword wins.
 Texts whose two nearest codewords are about equally near are flagged as ambiguous.
 
+Whether a text is in a learned language at all is judged apart from that, by how likely its n-grams are, word by word
+in the language that fits the word best, against how likely those of the learned rows are.
+
 The counts are taken over all labelled rows in Spark: each task adds up a table of fixed size per language, and only
 these tables, languages x BUCKETS numbers, reach the driver.
 """
@@ -33,7 +36,10 @@ EXHAUSTIVE = 7  # up to so many languages, every way to split them is a bit; bey
 BITS = 63
 SHARPNESS = 4.0  # from losses to scores
 AMBIGUOUS = 0.6  # a score below this is ambiguous
-MAJORITY, ABOVE_CHANCE = 0.5, 1.2  # a filter keeps documents from the lower of these on, the second divided by languages
+UNIT = 8  # letters of a word that are judged together
+LEAST_FIT = -7.0  # a filter keeps documents from here on, in usual deviations of the learned rows
+WORST_UNIT = -2.0  # no unit counts as less likely, by n-gram, so that a few codes or names do not outweigh a text
+LEAST_SPREAD = 0.1  # learned rows are taken to differ by this at least
 UNKNOWN = "und"
 
 
@@ -52,7 +58,13 @@ def letters() -> np.ndarray:
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts, the text each belongs to, and whether each text has a letter.
+    """Buckets of all n-grams of the texts, the text each belongs to, and whether each text has a letter."""
+    bucket, owner, found, _ = grams_and_units(texts)
+    return bucket, owner, found
+
+
+def grams_and_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``grams``, and for each n-gram the number of the word, or part of a long word, that it begins in.
 
     Runs of anything but letters count as one space, and one stands before each text; an n-gram must hold a letter.
     """
@@ -66,7 +78,9 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter = chars != 32
     found = np.zeros(len(texts), dtype=bool)
     found[owner[letter]] = True
-    buckets, owners = [], []
+    at = np.arange(len(chars))
+    unit = np.cumsum((at - np.maximum.accumulate(np.where(letter, 0, at))) % UNIT == 0) - 1
+    buckets, owners, units = [], [], []
     for order in ORDERS:
         n = len(chars) - order + 1
         if n <= 0:
@@ -80,9 +94,25 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         value ^= value >> np.uint64(29)
         buckets.append(((value * np.uint64(MULTIPLIERS[0])) >> np.uint64(64 - 15)).astype(np.int32)[some])
         owners.append(owner[:n][some])
+        units.append(unit[:n][some])
     if not buckets:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), found
-    return np.concatenate(buckets), np.concatenate(owners), found
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), found, np.zeros(0, np.int64)
+    return np.concatenate(buckets), np.concatenate(owners), found, np.concatenate(units)
+
+
+def likelihoods(bucket: np.ndarray, owner: np.ndarray, unit: np.ndarray, tables: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """For each of n texts the mean of its n-grams by the tables, by the best one for each unit; the spread of units; units."""
+    grams_in = np.bincount(unit)
+    best = np.max([np.bincount(unit, weights=table[bucket]) for table in tables], axis=0)
+    text = np.zeros(len(grams_in), dtype=np.int64)
+    text[unit] = owner
+    used = grams_in > 0
+    grams_in, best, text = grams_in[used], np.maximum(best, WORST_UNIT * grams_in)[used], text[used]
+    total = np.maximum(np.bincount(text, weights=grams_in, minlength=n), 1)
+    mean = np.bincount(text, weights=best, minlength=n) / total
+    units = np.bincount(text, minlength=n)
+    spread = np.bincount(text, weights=(best - grams_in * mean[text]) ** 2, minlength=n) / total**2 * units
+    return mean, spread, units
 
 
 def gram_counts(labelled: DataFrame) -> dict[str, np.ndarray]:
@@ -141,6 +171,13 @@ class Model:
     words: np.ndarray  # languages x bits, -1 or 1
     weights: np.ndarray  # buckets x bits: log odds, scaled so that a usual text's margin is about 1
     trust: np.ndarray  # bits: how well each separates its languages
+    tables: np.ndarray | None = None  # languages x buckets: log rates, a usual text's mean being about 0
+    usual: np.ndarray | None = None  # languages x (mean of a usual row, variance of rows, variance of units)
+
+    def fits(self, best: np.ndarray, mean: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """How far texts are from usual rows of the languages, in deviations; few units may deviate more."""
+        centre, of_rows, of_units = self.usual[best].T
+        return (mean - centre) / np.sqrt(of_rows + of_units / np.maximum(units, 1))
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(nearest language, score) of rows of margins."""
@@ -152,8 +189,36 @@ class Model:
         return best, scores[np.arange(len(best)), best]
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model of rows (text, lang) without nulls. Without any rows it knows no language."""
+def usual_rows(labelled: DataFrame, langs: list[str], tables: np.ndarray) -> np.ndarray:
+    """For each language what its rows usually have by the tables: the middle, the variance of rows and that of units."""
+    shared = labelled.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for low, high in slices([len(t) for t in texts]):
+                bucket, owner, found, unit = grams_and_units(texts[low:high])
+                if not len(bucket):
+                    continue
+                mean, spread, _ = likelihoods(bucket, owner, unit, shared.value, high - low)
+                rows = [batch.column(1).slice(low, high - low), pa.array(mean), pa.array(spread)]
+                yield pa.RecordBatch.from_arrays(rows, names=["lang", "mean", "spread"]).filter(pa.array(found))
+
+    measured = labelled.select("text", "lang").mapInArrow(run, "lang string, mean double, spread double")
+    middle = F.percentile_approx("mean", [0.05, 0.5], 10_000).alias("mean")
+    found = {r["lang"]: r for r in measured.groupBy("lang").agg(middle, F.percentile_approx("spread", 0.5, 10_000).alias("spread")).collect()}
+    usual = []
+    for lang in langs:
+        low, centre = found[lang]["mean"] if lang in found else (0.0, 0.0)
+        usual.append((centre, max((centre - low) / 1.645, LEAST_SPREAD) ** 2, found[lang]["spread"] if lang in found else 1.0))
+    return np.array(usual)
+
+
+def fit(labelled: DataFrame, judging: bool = True) -> Model:
+    """A model of rows (text, lang) without nulls. Without any rows it knows no language.
+
+    Without ``judging`` it only tells languages apart, and the rows are read once instead of twice.
+    """
     counts = gram_counts(labelled)
     langs = sorted(counts)
     if not langs:
@@ -171,21 +236,31 @@ def fit(labelled: DataFrame) -> Model:
         usual = bit * (rates @ odds)  # each language's expected margin, on its own side if positive
         weights.append(odds / max(usual.mean(), 1e-9))
         trust.append(max(usual.min(), 0.0) + 0.05 * max(usual.mean(), 0.0) + 1e-9)
-    return Model(langs, words, np.array(weights, dtype=np.float32).T.copy(), np.array(trust))
+    model = Model(langs, words, np.array(weights, dtype=np.float32).T.copy(), np.array(trust))
+    if judging:
+        # The learned rows are judged without what each of them has added to the counts, as other texts are.
+        without = np.log(np.maximum(np.array([counts[x] for x in langs]) - 1, 0) + SMOOTHING)
+        without -= np.log(np.exp(without).sum(axis=1, keepdims=True))
+        centre = (rates * without).sum(axis=1, keepdims=True)
+        model.tables = (np.log(rates) - centre).astype(np.float32)
+        model.usual = usual_rows(labelled, langs, (without - centre).astype(np.float32))
+    return model
 
 
-PREDICTED = "lang_pred string, score double, ambiguous boolean, margins array<float>"
+PREDICTED = "lang_pred string, score double, ambiguous boolean, margins array<float>, fit double"
 
 
 def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
-    """The rows of ``docs`` (text and others) with lang_pred, score, ambiguous and the margins of the code's bits.
+    """The rows of ``docs`` (text and others) with lang_pred, score, ambiguous, the margins of the code's bits and fit.
 
     Whole texts are read, and nothing but texts. A null text, one without letters, or a model that knows no language
-    gives ``und`` with score 0, not ambiguous. A model of one language answers it with score 1. Repeated rows are
+    gives ``und`` with score 0, not ambiguous, and fit null, as from a model that does not judge. A model of one
+    language answers it with score 1. Repeated rows are
     predicted each; columns named like the added ones are replaced. Without ``keep_text`` the text is left out.
     """
     # Plain values, as workers may not have this module.
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.weights, model.trust))
+    values = (model.langs, model.words, model.weights, model.trust, model.tables, model.usual)
+    shared = docs.sparkSession.sparkContext.broadcast(values)
     added = StructType.fromDDL(PREDICTED)
     docs = docs.drop(*added.names)
     at = docs.columns.index("text")
@@ -198,7 +273,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             for low, high in slices([len(t) for t in texts]):
-                bucket, owner, found = grams(texts[low:high])
+                bucket, owner, found, unit = grams_and_units(texts[low:high])
                 n = high - low
                 count = np.maximum(np.bincount(owner, minlength=n), 1)
                 margins = np.stack(
@@ -210,6 +285,11 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
                     best, score, found = np.zeros(n, int), np.zeros(n), np.zeros(n, dtype=bool)
                 names = [model.langs[b] if f else UNKNOWN for b, f in zip(best, found)]
                 score = np.where(found, score, 0.0)
+                fitting = np.zeros(n)
+                judged = found & (model.usual is not None)
+                if judged.any():
+                    mean, _, units = likelihoods(bucket, owner, unit, model.tables, n)
+                    fitting = model.fits(best, mean, units)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(i).slice(low, n) for i in kept],
@@ -217,6 +297,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
                         pa.array(score, pa.float64()),
                         pa.array(found & (score < AMBIGUOUS)),
                         pa.array(list(margins.astype(np.float32)), pa.list_(pa.float32())),
+                        pa.array(fitting, pa.float64(), mask=~judged),
                     ],
                     names=result.names,
                 )
@@ -225,12 +306,13 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
 
 
 def known_language(predicted: DataFrame, model: Model) -> DataFrame:
-    """The rows whose language could be told: some letters, and a score clearly above that of all languages being alike.
+    """The rows in a language that the model knows: some letters, and n-grams about as likely as in the learned rows.
 
-    Short and mixed texts have low scores and stay; what goes has no letters or is as near to any language.
+    Short texts may deviate more, and mixed ones are judged word by word, so both stay. Texts without letters, in
+    languages that were not learned, and junk made of letters go. A model that does not judge keeps all with letters.
     """
-    least = min(MAJORITY, ABOVE_CHANCE / max(len(model.langs), 1))
-    return predicted.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    known = F.col("lang_pred") != UNKNOWN
+    return predicted.filter(known if model.usual is None else known & (F.col("fit") >= LEAST_FIT))
 
 
 def remainder(doc_id: Column) -> Column:
@@ -245,7 +327,7 @@ def labelled_part(docs: DataFrame) -> DataFrame:
 
 def op2_lang_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return predict(docs.select("doc_id", "text"), fit(labelled_part(docs)), keep_text=False).select(
+    return predict(docs.select("doc_id", "text"), fit(labelled_part(docs), judging=False), keep_text=False).select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"),
         "lang_pred",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from fleetops.llm.lang_id import UNKNOWN, code, fit, gram_counts, grams, known_language, labelled_part, op2_lang_id, predict
-from tests.llm.helpers import AWKWARD, documents
+from tests.llm.helpers import AWKWARD, documents, rows
 
 SYLLABLES = {f"l{i}": [a + b for a in "bdfgklmnprstvz"[i : i + 5] for b in "aeiou"] for i in range(9)}
 
@@ -71,6 +71,30 @@ def test_awkward_rows(spark):
     assert {(r["lang_pred"], r["score"]) for r in predict(documents(spark, ["zzz"]), one).collect()} == {("l0", 1.0)}
 
 
+@pytest.mark.parametrize("langs", [["l0"], ["l0", "l4"], ["l0", "l1", "l2", "l3"]])
+def test_the_filter_keeps_learned_languages_only(spark, langs):
+    rng = random.Random(5)
+    train = [(text(x, rng, rng.randint(5, 80)), x) for x in langs for _ in range(30)]
+    model = fit(spark.createDataFrame(train, "text string, lang string"))
+    short = [text(x, rng, n) for x in langs for n in (1, 2, 3, 5) for _ in range(5)]
+    mixed = [" ".join(text(x, rng, 6) for x in rng.choices(langs, k=4)) for _ in range(20)]
+    coded = [text(x, rng, 20) + " 4F3c9aQQ77e1bXzw0d81 " + text(x, rng, 20) for x in langs]
+    unlearned = [text("l8", rng, n) for n in (10, 30, 80) for _ in range(10)]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (60, 200, 900) for _ in range(5)]
+    junk += ["漢字仮名" * 20, "привет мир как дела сегодня друзья"]
+    good, bad = short + mixed + coded, unlearned + junk
+    done = predict(documents(spark, good + bad), model)
+    kept = {r["doc_id"] for r in known_language(done, model).collect()}
+    assert kept == set(range(len(good)))
+
+
+def test_a_model_that_does_not_judge_keeps_all_with_letters(spark):
+    model = fit(spark.createDataFrame([("abc abd", "l0"), ("xyz xyw", "l1")], "text string, lang string"), judging=False)
+    done = predict(documents(spark, ["abc", "12", None, "qqq"]), model)
+    assert [r["fit"] for r in done.collect()] == [None] * 4
+    assert rows(known_language(done, model), "doc_id") == [(0,), (3,)]
+
+
 def test_held_out_accuracy(spark, testdata):
     docs = spark.read.parquet(f"{testdata}/documents.parquet")
     got = op2_lang_id(spark, testdata).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").collect()
