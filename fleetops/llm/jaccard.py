@@ -77,7 +77,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """Rows (doc_id, n_shingles, class): documents with equal sets are in one class; without words it is null."""
+    """Rows (doc_id, n_shingles, class, text_hash): documents with equal sets are in one class; without words it is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,11 +88,13 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
                     batch.column(0),
                     pa.array([len(g) for g in sets], pa.int64()),
                     pa.array([digest(g) if len(g) else None for g in sets], pa.binary()),
+                    batch.column(2),
                 ],
-                names=["doc_id", "n_shingles", "class"],
+                names=["doc_id", "n_shingles", "class", "text_hash"],
             )
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, class binary")
+    hashed = texts_of(docs).withColumn("text_hash", F.xxhash64("text"))
+    return hashed.mapInArrow(run, "doc_id long, n_shingles long, class binary, text_hash long")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -323,6 +325,40 @@ def forest(sets: list[np.ndarray], sides: list[int], homes: list[set], here, per
     return links
 
 
+NO_ID = -(1 << 63)  # stands for a null id where rows are joined
+
+
+def representatives(known: DataFrame) -> DataFrame:
+    """Rows (class, rep, rep_hash): the least id of each class, and the hash of a text of it under that id."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    found = known.filter(F.col("class").isNotNull()).groupBy("class").agg(first)
+    return found.select("class", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"))
+
+
+def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (member, rep, rep_hash and others), each with the text of one document of its class.
+
+    Documents are found by id and text, as many different ones may share an id or have none. Copies under one id are
+    dropped by the tasks that read them and once more after the join, which has them in one place.
+    """
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            new = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    texts = texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash"), "text")
+    found = texts.mapInArrow(once, "id long, hash long, text string").join(
+        wanted.withColumn("rep", F.coalesce("rep", F.lit(NO_ID))), (F.col("id") == F.col("rep")) & (F.col("hash") == F.col("rep_hash"))
+    )
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))
+    return found.withColumn("nth", nth).filter("nth = 1").drop("id", "hash", "rep", "rep_hash", "nth")
+
+
 def links(docs: DataFrame, reps: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that share a pivot, with their texts fetched from one document each."""
     spark = docs.sparkSession
@@ -347,11 +383,10 @@ def links(docs: DataFrame, reps: DataFrame, members: DataFrame, n: int, percent:
     wanted = (
         tasks.join(homes, "member")
         .join(reps.withColumnRenamed("class", "member"), "member")
-        .select("member", F.col("rep"), "tasks", "homes")
+        .select("member", "rep", "rep_hash", "tasks", "homes")
     )
     sent = (
-        texts_of(docs)
-        .join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+        with_texts(docs, wanted)
         .select(F.explode("tasks").alias("task"), "member", "homes", "text")
         .select("task.pivot", "task.one", "task.two", "task.block", "member", "homes", "text")
     )
@@ -363,7 +398,7 @@ def links(docs: DataFrame, reps: DataFrame, members: DataFrame, n: int, percent:
         def verify():
             names = [r[0] for r in rows]
             sets = [g for low, high in slices([len(r[3]) for r in rows]) for g in gram_sets([r[3] for r in rows[low:high]], n)]
-            # Other texts under the same document id are not the class that was asked for.
+            # A text that only shares id and hash is not the class that was asked for.
             fit = [i for i, g in enumerate(sets) if len(g) and digest(g) == names[i]]
             fit = list({names[i]: i for i in fit}.values())
             pivot, one, two = current
@@ -404,7 +439,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     known = checkpointed(classes(docs, n))
-    reps = known.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = representatives(known)
     counts = spark.sparkContext.broadcast(gram_counts(docs, n))
     members = checkpointed(pivots(prefix_entries(docs, counts, parts, n, percent), parts, percent))
     found = components(links(docs, reps, members, n, percent))

@@ -2,10 +2,22 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetops.llm import jaccard
 from fleetops.llm.components import components
-from fleetops.llm.jaccard import forest, gram_counts, gram_sets, join, one_of_each, slot
+from fleetops.llm.jaccard import (
+    classes,
+    digest,
+    forest,
+    gram_counts,
+    gram_sets,
+    join,
+    one_of_each,
+    representatives,
+    slot,
+    with_texts,
+)
 from tests.llm.helpers import AWKWARD, documents, rows, words
 
 
@@ -114,6 +126,18 @@ def test_ids_that_repeat_or_are_missing(spark):
     assert rows(one_of_each(again), "doc_id", "text") == sorted([(1, long), (2, ""), (2, "")], key=repr)
 
 
+def test_each_class_gets_one_text_where_ids_repeat_or_are_missing(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    texts = [f"{base} end{i % 40}" for i in range(120)]
+    ids = [None] * 60 + [7] * 60
+    docs = documents(spark, texts, ids=ids).repartition(5).cache()
+    wanted = representatives(classes(docs)).withColumnRenamed("class", "member")
+    got = with_texts(docs, wanted.withColumn("kept", F.lit(1))).collect()
+    assert len(got) == 40 and {r["kept"] for r in got} == {1}
+    assert all(digest(gram_sets([r["text"].encode()])[0]) == bytes(r["member"]) for r in got)
+    assert rows(join(docs), "doc_id", "n_shingles", "component_id") == sorted(brute(texts, 3, 90, ids), key=repr)
+
+
 def test_no_rows(spark):
     docs = documents(spark, ["a"]).limit(0)
     assert join(docs).count() == 0 and one_of_each(docs).count() == 0
