@@ -15,6 +15,8 @@ INSTALLED_MARK = "ii"
 OLD_VERSION_LABEL = "Old Version:"
 CANDIDATE_LABEL = "Candidate"
 
+UNRANKED = (1 << 63) - 1
+
 
 def first_version_by_prefix(candidates: DataFrame) -> DataFrame:
     """[package, prefix, new_version]: the first listed version for every prefix.
@@ -24,9 +26,10 @@ def first_version_by_prefix(candidates: DataFrame) -> DataFrame:
     each version is expanded to its own prefixes instead, after copies of it have been
     merged: the work is linear in the number of different versions. Ranks are numbers, and
     so hash; the version of a rank is joined to it afterwards. Of versions with one rank,
-    the first by name counts.
+    the first by name counts. Versions without a rank come after all others.
     """
-    versions = candidates.groupBy("package", "version").agg(F.min("listing_rank").alias("rank"))
+    rank = F.coalesce(F.min("listing_rank"), F.lit(UNRANKED))
+    versions = candidates.groupBy("package", "version").agg(rank.alias("rank"))
     ends = F.sequence(F.lit(0), F.length("version"))
     prefixes = F.transform(ends, lambda n: F.substring(F.col("version"), F.lit(1), n))
     first = (

@@ -48,6 +48,13 @@ def test_resolution(spark):
     ]
 
 
+def test_offers_without_a_rank(spark):
+    targets = table(spark, TARGETS, (1, "p", "1", "latest", "no"), (2, "p", "1", "9", "no"), (3, "q", "1", "latest", "no"))
+    candidates = table(spark, CANDIDATES, ("p", None, "9.2"), ("p", None, "9.1"), ("q", None, "1.0"), ("q", 5, "2.0"))
+    got = sorted_rows(resolve_versions(targets, candidates), "host_id", "new_version", "status")
+    assert got == [(1, "9.1", "available"), (2, "9.1", "available"), (3, "2.0", "available")]
+
+
 def test_installed_version(spark):
     listing = table(
         spark,
