@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetops.llm import chat, html_text, jaccard, lang_id, mixing, outliers, packing, substring, token_files, top_k
+from fleetops.llm import chat, html_text, jaccard, lang_id, merkle, mixing, outliers, packing, substring, token_files, top_k
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_top_k": top_k.op8_top_k,
     "op9_mixing": mixing.op9_mixing,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_top_k": top_k.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
