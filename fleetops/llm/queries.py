@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetops.llm import chat, html_text, jaccard, lang_id, merkle, mixing, outliers, packing, substring, token_files, top_k
+from fleetops.llm import url_rules
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_merkle": merkle.op11_merkle,
+    "op12_url_rules": url_rules.op12_url_rules,
 }
 
 ORACLES = {
@@ -26,4 +28,5 @@ ORACLES = {
     "op9_mixing": mixing.OP9_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op12_url_rules": url_rules.OP12_SQL,
 }
