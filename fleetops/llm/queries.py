@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fleetops.llm import chat, html_text, jaccard, lang_id, merkle, mixing, outliers, packing, substring, token_files, top_k
-from fleetops.llm import url_rules
+from fleetops.llm import alignment, chat, html_text, jaccard, lang_id, merkle, mixing, outliers, packing, substring, token_files
+from fleetops.llm import top_k, url_rules
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_merkle": merkle.op11_merkle,
     "op12_url_rules": url_rules.op12_url_rules,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES = {
