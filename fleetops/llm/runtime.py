@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +20,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, one of the session's own."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``, or that the context was given.
+
+    Where neither is set, a session whose tasks all run in the driver's process has one of its own; on a cluster, whose
+    executors could not read that, this raises.
+    """
     context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINTS, None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+    folder = spark.conf.get(CHECKPOINTS, None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINTS} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -40,6 +50,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """The name, led by underscores until no other column has it, whatever its case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the worker process; tasks get their functions anew, this stays."""
     name = "_llm_process_cache"
