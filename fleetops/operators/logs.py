@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetops.functions.blocks import BLOCK_LINES, block_of
 from fleetops.functions.text import strip_ansi
 
 # Levels, and the two layouts of a line.
@@ -45,6 +49,62 @@ EXIT_CODE_PREFIX = "Script failed with exit code: "
 PLAIN_FAILURE_CODE = 1
 
 
+# Messages that a run begins with, and how many lines before them the run's first line stands.
+RUN_STARTS = {
+    "Temporary log file: ": 1,
+    "Starting Apache domain configuration...": 0,
+}
+
+
+def segment_runs(lines: DataFrame, starts: Mapping[str, int] = RUN_STARTS, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """[file_id, run_no, run_start, run_id, line_no, line]: the runs that were appended to each log, from its lines.
+
+    Runs are numbered from 1 by the lines that begin them; lines before the first are run 0, whose ``run_start`` is null.
+    ``run_id`` names file and run. Starts are counted per block of lines, the counts are carried over a file's blocks, of
+    which there are few, and only within a block lines are walked in order; a log with a third of all lines is spread over
+    as many tasks as it has blocks. Lines of one number are of the same run.
+    """
+    numbered = lines.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    clean = strip_ansi(F.col("line"))
+    back = F.lit(None).cast("bigint")
+    for text, before in starts.items():
+        back = F.when(clean.rlike(f"{LINE_PATTERN}{re.escape(text)}"), F.lit(before).cast("bigint")).otherwise(back)
+    begun = (
+        numbered.select("file_id", (F.col("line_no") - back).alias("line_no"))
+        .filter(F.col("line_no").isNotNull())
+        .distinct()
+        .withColumn("block", block_of(F.col("line_no"), block_lines))
+    )
+    rows = numbered.withColumn("block", block_of(F.col("line_no"), block_lines))
+    held = rows.select("file_id", "block").withColumn("_n", F.lit(0)).withColumn("_last", F.lit(None).cast("bigint"))
+    per_block = held.unionByName(begun.select("file_id", "block", F.lit(1).alias("_n"), F.col("line_no").alias("_last")))
+    per_block = per_block.groupBy("file_id", "block").agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last"))
+    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_block.select(
+        F.col("file_id").alias("_file"),
+        F.col("block").alias("_block"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_runs"),
+        F.max("_last").over(before).alias("_start"),
+    )
+    mark = begun.select("file_id", "line_no", F.lit(None).cast("string").alias("line"), "block", F.lit(1).alias("_begins"))
+    walked = rows.withColumn("_begins", F.lit(0)).unionByName(mark)
+    # Range frames take all lines of a number together, so a start counts for its own line.
+    inside = Window.partitionBy("file_id", "block").orderBy("line_no").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = walked.withColumn("_here", F.sum("_begins").over(inside)).withColumn(
+        "_since", F.max(F.when(F.col("_begins") == 1, F.col("line_no"))).over(inside)
+    )
+    met = walked.filter("_begins = 0").join(carried, F.col("file_id").eqNullSafe(F.col("_file")) & (F.col("block") == F.col("_block")))
+    run_no = (F.col("_runs") + F.col("_here")).cast("bigint")
+    return met.select(
+        "file_id",
+        run_no.alias("run_no"),
+        F.coalesce("_since", "_start").alias("run_start"),
+        F.concat(F.coalesce(F.col("file_id").cast("string"), F.lit("")), F.lit("#"), run_no.cast("string")).alias("run_id"),
+        "line_no",
+        "line",
+    )
+
+
 def parse_log_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` plus [ts, level, msg, bad], from the text column ``line``.
 

@@ -3,10 +3,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from fleetops.operators.logs import parse_log_lines, parse_run_logs, run_outcomes
+from fleetops.operators.logs import parse_log_lines, parse_run_logs, run_outcomes, segment_runs
 from fleetops.sources.text import ingest_conf, read_lines, read_log_lines
 from fleetops.streaming.follow import follow_logs, progress_folder
-from tests.helpers import sorted_rows, table
+from tests.helpers import plan, sorted_rows, table
 
 SCHEMA = "run_id BIGINT, seq BIGINT, line STRING"
 AT = datetime(2024, 1, 31, 10, 20, 30)
@@ -156,3 +156,42 @@ def test_file_readers(spark, tmp_path):
     conf = ingest_conf(spark, str(tmp_path / "deep"), "*.log")
     assert sorted(int(r["value"]) for r in conf.collect()) == list(range(30))
     assert read_log_lines(spark, str(tmp_path / "deep")).count() == 30
+
+
+def appended(*messages):
+    return [f"2024-01-31 10:20:30 - [INFO] {m}" for m in messages]
+
+
+def test_runs_within_one_log(spark):
+    begin = ["Starting installation script...", "Temporary log file: /tmp/x"]
+    texts = appended("left over", *begin, "work", "Script failed with exit code: 4", *begin, "Installation completed successfully!")
+    texts += ["\x1b[0;34m[INFO]\x1b[0m 2024-01-31 10:20:30 - Starting Apache domain configuration...", "Temporary log file: noise"]
+    given = table(spark, "file_id STRING, line_no BIGINT, line STRING", *[("a", i + 1, t) for i, t in enumerate(texts)], (None, 1, None))
+    for block in (1, 2, 3, 65536):
+        found = segment_runs(given, block_lines=block)
+        got = {(f, n): (r, s) for f, r, s, _, n, _ in sorted_rows(found)}
+        assert [got[("a", i)][0] for i in range(1, 11)] == [0, 1, 1, 1, 1, 2, 2, 2, 3, 3]
+        assert [got[("a", i)][1] for i in range(1, 11)] == [None, 2, 2, 2, 2, 6, 6, 6, 9, 9]
+        assert got[(None, 1)] == (0, None)
+        ended = run_outcomes(parse_run_logs(found.withColumnRenamed("line_no", "seq")))
+        assert sorted_rows(ended) == [("#0", "unknown", None), ("a#0", "unknown", None), ("a#1", "failed", 4), ("a#2", "success", None), ("a#3", "unknown", None)]
+
+
+def test_a_log_with_a_third_of_all_lines_is_spread(spark):
+    rows = spark.range(9000).selectExpr(
+        "IF(id % 3 = 0, 'hot', 'f' || id % 30) AS file_id",
+        "id AS line_no",
+        "IF(id % 500 = 3, '2024-01-31 10:20:30 - [INFO] Temporary log file: x', 'text') AS line",
+    )
+    found = segment_runs(rows, block_lines=100)
+    starts = [i - 1 for i in range(9000) if i % 500 == 3 and i % 3 == 0]
+    for row in found.filter("file_id = 'hot'").collect():
+        assert row.run_no == sum(s <= row.line_no for s in starts)
+    text = plan(found)
+    # The window over lines is dealt by file and block; only the one over blocks by file alone.
+    assert text.count("hashpartitioning(file_id") >= 2 and "SinglePartition" not in text
+
+
+def test_empty_log_has_no_runs(spark):
+    given = table(spark, "file_id STRING, line_no BIGINT, line STRING", ("a", 1, "x")).limit(0)
+    assert sorted_rows(segment_runs(given)) == []
