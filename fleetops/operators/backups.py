@@ -49,6 +49,20 @@ def backup_expired(backups: DataFrame, now: datetime, keep_days: int = KEEP_DAYS
     return newest.filter(F.col("mtime") <= F.lit(limit).cast("timestamp_ntz"))
 
 
+def prune_plan(backups: DataFrame, in_use: DataFrame, now: datetime, keep_days: int = KEEP_DAYS) -> DataFrame:
+    """[host_id, backup_id, mtime, action]: what is to become of every expired backup.
+
+    ``delete``, but ``keep_newest`` for a host's newest backup, however old, and ``keep_in_use`` for those that ``in_use``
+    [host_id, backup_id] names. The plan is a table of its own: deleting by it again deletes the same.
+    """
+    expired = backup_expired(backups, now, keep_days)
+    newest = backup_latest(backups).select("host_id", "backup_id", F.lit(True).alias("_newest"))
+    used = in_use.select("host_id", "backup_id").distinct().withColumn("_used", F.lit(True))
+    planned = expired.join(newest, ["host_id", "backup_id"], "left").join(used, ["host_id", "backup_id"], "left")
+    action = F.when(F.col("_newest"), "keep_newest").when(F.col("_used"), "keep_in_use").otherwise("delete")
+    return planned.select("host_id", "backup_id", "mtime", action.alias("action"))
+
+
 def manifest(
     hosts: DataFrame, parts: DataFrame, components: Sequence[str], switches: Mapping[str, str] | None = None
 ) -> DataFrame:

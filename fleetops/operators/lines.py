@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetops.functions.blocks import BLOCK_LINES, block_of, over_blocks
@@ -19,6 +19,22 @@ def split_lines(texts: DataFrame) -> DataFrame:
     )
 
 
+def number_splits(lines: DataFrame) -> DataFrame:
+    """[file_id, line_no, line] from lines [file_id, split, at, line] of files that were read in many splits.
+
+    ``split`` orders a file's splits and ``at`` its lines within one, without gaps from any number on. Lines are counted per
+    split, the counts of the splits before are added up, and that sum, one row per split, is joined back: no task sees
+    more than a split's lines or a file's list of splits.
+    """
+    counts = lines.groupBy("file_id", "split").agg(F.count("*").alias("_n"), F.min("at").alias("_first"))
+    before = Window.partitionBy("file_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col("file_id").alias("_file"), F.col("split").alias("_split"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # A file may be named null; splits never are.
+    same = F.col("file_id").eqNullSafe(F.col("_file")) & (F.col("split") == F.col("_split"))
+    number = (F.col("_before") + F.col("at") - F.col("_first") + 1).cast("bigint")
+    return lines.join(bases, same).select("file_id", number.alias("line_no"), "line")
+
+
 def find_references(files: DataFrame, needle: str) -> DataFrame:
     """[file, hits]: files whose text holds the fixed string, and on how many lines.
 

@@ -109,6 +109,17 @@ SELECT event_id AS check_id, user_id AS host_id, ts,
     WHEN event_id % 15 = 10 THEN 'ok' ELSE 'writable' END AS http_code,
   CASE WHEN event_id % 15 = 3 THEN CASE event_id % 2 WHEN 0 THEN '200' ELSE '301' END END AS fallback_code
 FROM events""",
+    "appended_lines": """
+SELECT CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 + seq % 50 END AS file_id, seq AS line_no,
+  CASE WHEN seq % 97 = 5 THEN '2024-01-31 10:20:30 - [INFO] Temporary log file: /tmp/' || seq
+    WHEN seq % 89 = 7 THEN '[INFO] 2024-01-31 10:20:30 - Starting Apache domain configuration...' ELSE line END AS line
+FROM log_lines""",
+    "backup_parts": "SELECT *, host_id % 20 AS part FROM backups",
+    "copied_backups": """
+SELECT host_id, backup_id, mtime, component, bytes + CASE WHEN backup_id % 1000 = 2 AND part > 9 THEN 1 ELSE 0 END AS bytes, part
+FROM backup_parts WHERE part <> 7
+UNION ALL SELECT * FROM backup_parts WHERE backup_id % 1000 = 1 AND part < 5
+UNION ALL SELECT host_id, backup_id, mtime, component, bytes, 99 FROM backup_parts WHERE part = 3""",
     "log_lines": """
 SELECT CAST(floor(event_id / 5.0) AS BIGINT) AS run_id, event_id AS seq, ts,
   CASE WHEN event_id % 10 = 9 THEN 'free text ' || msg
@@ -329,6 +340,19 @@ SELECT host_group, nullif(arg_min(regexp_extract(line, '^\\s*(?:\\S+\\s+){2}(\\S
 
 _DATABASES = "(VALUES ('myappdb'), ('postgres'), ('reports')) AS w(name)"
 
+RUNS = """SELECT file_id, CAST(run_no AS BIGINT) AS run_no, run_start, file_id || '#' || run_no AS run_id, line_no FROM (
+  SELECT l.file_id, l.line_no, (SELECT count(DISTINCT s.at) FROM starts s WHERE s.file_id = l.file_id AND s.at <= l.line_no) AS run_no,
+    (SELECT max(s.at) FROM starts s WHERE s.file_id = l.file_id AND s.at <= l.line_no) AS run_start
+  FROM appended_lines l) q"""
+RUNS = RUNS.replace("starts s", """(SELECT file_id, line_no - 1 AS at FROM appended_lines WHERE contains(line, '] Temporary log file: ')
+    UNION SELECT file_id, line_no FROM appended_lines WHERE ends_with(line, ' - Starting Apache domain configuration...')) s""")
+
+FINGERPRINTS = """SELECT part, count(*) AS row_count, CAST(sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_one,
+  CAST(sum(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS VARCHAR) AS sum_two
+FROM (SELECT part, sha256(list_aggregate([length(x) || ':' || x FOR x IN [CAST(backup_id AS VARCHAR), CAST(bytes AS VARCHAR), component,
+  CAST(host_id AS VARCHAR), CAST(mtime AS VARCHAR), CAST(part AS VARCHAR)]], 'string_agg', '')) AS d FROM {table}) q GROUP BY part"""
+
+
 ORACLES: dict[str, str] = {
     "fleet_tuning": _sql("SELECT * FROM tuning", "hosts", "tuning"),
     "host_resources": _sql(
@@ -533,6 +557,47 @@ FROM doc_lines) w WHERE near = 1""",
 FROM doc_lines) w WHERE n <= 5""",
         "doc_lines",
     ),
+    "segment_runs": _sql(RUNS, "log_lines", "appended_lines"),
+    "appended_run_outcomes": _sql(
+        f"""SELECT run_id, CASE WHEN bool_or(starts_with(m, 'Rollback completed')) THEN 'rolled_back'
+  WHEN bool_or(starts_with(m, 'Script failed with exit code: ')) THEN 'failed'
+  WHEN bool_or(ends_with(m, ' cancelled by user')) THEN 'cancelled'
+  WHEN bool_or(starts_with(m, 'Already running')) THEN 'no-op'
+  WHEN bool_or(ends_with(m, 'completed successfully!')) THEN 'success' ELSE 'unknown' END AS outcome,
+  CAST(arg_max(split_part(m, ': ', 2), line_no) FILTER (WHERE starts_with(m, 'Script failed with exit code: ')) AS INTEGER)
+    AS exit_code
+FROM (SELECT r.run_id, a.line_no, CASE WHEN starts_with(a.line, 'free text ') THEN ''
+    WHEN starts_with(a.line, '[') THEN regexp_replace(a.line, '^\\[[A-Z]+\\] .{{19}} - ', '')
+    ELSE regexp_replace(a.line, '^.{{19}} - \\[[A-Z]+\\] ', '') END AS m
+  FROM appended_lines a JOIN ({RUNS}) r ON r.file_id = a.file_id AND r.line_no = a.line_no) x GROUP BY run_id""",
+        "log_lines",
+        "appended_lines",
+    ),
+    "number_splits": _sql(
+        """SELECT file_id % 40 AS file_id, row_number() OVER (PARTITION BY file_id % 40 ORDER BY file_id, line_no) AS line_no, line
+FROM doc_lines""",
+        "doc_lines",
+    ),
+    "table_fingerprints": _sql(FINGERPRINTS.format(table="backup_parts"), "backups", "backup_parts"),
+    "differing_parts": _sql(
+        f"""SELECT coalesce(a.part, b.part) AS part, CASE WHEN b.part IS NULL THEN 'missing' WHEN a.part IS NULL THEN 'extra'
+  ELSE 'changed' END AS state, coalesce(a.row_count, 0) AS rows_original, coalesce(b.row_count, 0) AS rows_copy
+FROM ({FINGERPRINTS.format(table="backup_parts")}) a FULL JOIN ({FINGERPRINTS.format(table="copied_backups")}) b ON a.part = b.part
+WHERE a.part IS NULL OR b.part IS NULL OR a.row_count <> b.row_count OR a.sum_one <> b.sum_one OR a.sum_two <> b.sum_two""",
+        "backups",
+        "backup_parts",
+        "copied_backups",
+    ),
+    "prune_plan": _sql(
+        """SELECT e.host_id, e.backup_id, e.mtime, CASE WHEN l.backup_id IS NOT NULL THEN 'keep_newest'
+  WHEN e.backup_id % 9 = 0 THEN 'keep_in_use' ELSE 'delete' END AS action
+FROM (SELECT host_id, backup_id, max(mtime) AS mtime FROM backups GROUP BY host_id, backup_id
+  HAVING floor(epoch(TIMESTAMP '2001-01-01 00:00:00' - max(mtime)) / 86400) > 30) e
+LEFT JOIN (SELECT host_id, backup_id FROM (SELECT *,
+  row_number() OVER (PARTITION BY host_id ORDER BY mtime DESC, backup_id DESC) AS n FROM backups) b WHERE n = 1) l
+  ON l.host_id = e.host_id AND l.backup_id = e.backup_id""",
+        "backups",
+    ),
     "rewrite_lines_last": _sql(
         """SELECT file_id, line_no, line FROM (SELECT *,
   row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC) AS n FROM doc_lines) w WHERE n <= 5""",

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetops.operators import backups, catalog, conf, health, lines, logs, preflight, presence, settings, tuning
+from fleetops.operators import backups, catalog, conf, fingerprints, health, lines, logs, preflight, presence, settings, tuning
 from fleetops.operators import versions
 from fleetops.plans import views
 from fleetops.sources.tables import table
@@ -60,6 +60,25 @@ def apply_tuning(spark: SparkSession, sf: str) -> DataFrame:
     return settings.upsert_params(views.conf_lines(spark, sf), desired, tuning.SETTING_NAMES)
 
 
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.segment_runs(views.appended_lines(spark, sf))
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return views.backups(spark, sf).withColumn("part", F.col("host_id") % 20)
+
+
+def appended_run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """How each run ended that was appended to a log."""
+    return logs.run_outcomes(logs.parse_run_logs(_runs(spark, sf).withColumnRenamed("line_no", "seq")))
+
+
+def differing_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a copy of a table is not the table."""
+    one, two = (fingerprints.fingerprints(t, ["part"]) for t in (_parts(spark, sf), views.copied_backups(spark, sf)))
+    return fingerprints.differing(one, two, ["part"])
+
+
 QUERIES: dict[str, Query] = {
     "fleet_tuning": lambda s, d: tuning.fleet_tuning(views.hosts(s, d)),
     "host_resources": lambda s, d: tuning.host_resources(views.hosts(s, d)),
@@ -114,5 +133,11 @@ QUERIES: dict[str, Query] = {
     "rewrite_lines_delete": lambda s, d: lines.delete_matching(views.doc_lines(s, d), PATTERN),
     "rewrite_lines_after": lambda s, d: lines.context_after_in_texts(_texts(s, d), PATTERN, AFTER),
     "rewrite_lines_first": lambda s, d: lines.first_lines(views.doc_lines(s, d), LINES),
+    "segment_runs": lambda s, d: _runs(s, d).drop("line"),
+    "appended_run_outcomes": appended_run_outcomes,
+    "number_splits": lambda s, d: lines.number_splits(views.split_lines_of_files(s, d)),
+    "table_fingerprints": lambda s, d: fingerprints.fingerprints(_parts(s, d), ["part"]),
+    "differing_parts": differing_parts,
+    "prune_plan": lambda s, d: backups.prune_plan(views.backups(s, d), views.backups_in_use(s, d), NOW),
     "rewrite_lines_last": lambda s, d: lines.last_lines_of_texts(_texts(s, d), LINES),
 }

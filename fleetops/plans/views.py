@@ -345,6 +345,37 @@ def snapshot_hosts(spark: SparkSession, sf: Folder) -> DataFrame:
     )
 
 
+def appended_lines(spark: SparkSession, sf: Folder) -> DataFrame:
+    """[file_id, line_no, line]: logs to which many runs were appended; one file holds a third of all lines."""
+    return log_lines(spark, sf).selectExpr(
+        "CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 + seq % 50 END AS file_id",
+        "seq AS line_no",
+        "CASE WHEN seq % 97 = 5 THEN '2024-01-31 10:20:30 - [INFO] Temporary log file: /tmp/' || CAST(seq AS STRING)"
+        " WHEN seq % 89 = 7 THEN '[INFO] 2024-01-31 10:20:30 - Starting Apache domain configuration...'"
+        " ELSE line END AS line",
+    )
+
+
+def split_lines_of_files(spark: SparkSession, sf: Folder) -> DataFrame:
+    """[file_id, split, at, line]: each file's splits are documents, their lines counted from a number of their own."""
+    return doc_lines(spark, sf).selectExpr(
+        "file_id % 40 AS file_id", "file_id AS split", "line_no + file_id * 1000 AS at", "line"
+    )
+
+
+def backups_in_use(spark: SparkSession, sf: Folder) -> DataFrame:
+    return table(spark, sf, "orders").filter("o_orderkey % 9 = 0").selectExpr("o_custkey AS host_id", "o_orderkey AS backup_id")
+
+
+def copied_backups(spark: SparkSession, sf: Folder) -> DataFrame:
+    """The backups' table as a faulty copy: components of one row changed, doubled, lost or added."""
+    good = backups(spark, sf).withColumn("part", F.col("host_id") % 20)
+    doubled = good.filter("backup_id % 1000 = 1 AND part < 5")
+    changed = good.withColumn("bytes", F.expr("IF(backup_id % 1000 = 2 AND part > 9, bytes + 1, bytes)"))
+    extra = good.filter("part = 3").withColumn("part", F.lit(99).cast("bigint"))
+    return changed.filter("part <> 7").unionByName(doubled).unionByName(extra)
+
+
 def doc_lines(spark: SparkSession, sf: Folder) -> DataFrame:
     return split_lines(table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text"))
 

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from fleetops.operators.fingerprints import differing, fingerprints
+
 # Fixed value: how a snapshot's time is written in its name.
 SNAPSHOT_FORMAT = "%Y%m%d_%H%M%S"
 
 # Readers of the table pass over folders that begin with an underscore.
 SCHEMA_FOLDER = "_table_schema"
+FINGERPRINT_FOLDER = "_table_fingerprints"
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
@@ -45,10 +48,17 @@ def table_layout(spark: SparkSession, path: str) -> tuple[StructType, list[str]]
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table of ``write_table`` with its columns in order and their types, partition columns included."""
+    if not path_exists(spark, path):
+        recover(spark, path)
     schema, _ = table_layout(spark, path)
     return spark.read.schema(schema).parquet(path).select(*[F.col(f"`{c}`") for c in schema.names])
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
 def snapshot_name(ts: datetime) -> str:
     return ts.strftime(SNAPSHOT_FORMAT)
 
@@ -61,6 +71,8 @@ def snapshot(df: DataFrame, base: str, ts: datetime, partition_by: Sequence[str]
     """Write a copy of ``df`` named by its time and return the path; an existing one is an error."""
     path = snapshot_path(base, ts)
     write_table(df, path, partition_by)
+    # Of the rows as given, not of what was written: what was lost in writing is to be found.
+    fingerprints(df, partition_by).write.parquet(f"{path}/{FINGERPRINT_FOLDER}")
     return path
 
 
@@ -81,14 +93,43 @@ def read_snapshots(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def restore(spark: SparkSession, base: str, ts: datetime, target: str) -> None:
+def restore(spark: SparkSession, base: str, ts: datetime, target: str, verify: bool = True) -> DataFrame | None:
     """Replace what is at ``target`` by the snapshot, in the snapshot's types and layout.
 
-    The snapshot is resolved before anything is replaced, so a missing one changes nothing.
+    The snapshot is resolved and written beside the target before anything is replaced, so a missing one or a job that
+    fails midway changes nothing. With ``verify`` the partitions that differ from the snapshot's fingerprints are
+    returned; none should.
     """
     copy = read_snapshot(spark, base, ts)
     _, partition_by = table_layout(spark, snapshot_path(base, ts))
     overwrite(copy, target, partition_by)
+    return verify_copy(spark, base, ts, target) if verify else None
+
+
+def verify_copy(spark: SparkSession, base: str, ts: datetime, target: str) -> DataFrame:
+    """[partition columns..., state, rows_original, rows_copy] where ``target`` differs from the snapshot's fingerprints."""
+    path = snapshot_path(base, ts)
+    _, partition_by = table_layout(spark, path)
+    noted = spark.read.parquet(f"{path}/{FINGERPRINT_FOLDER}")
+    return differing(noted, fingerprints(read_table(spark, target), partition_by), partition_by)
+
+
+def prune(spark: SparkSession, base: str, expired: Sequence[datetime], in_use: Sequence[datetime] = ()) -> list[str]:
+    """Delete expired snapshots under ``base`` and return their names; a second call deletes what a first one left.
+
+    The newest snapshot and those in use are refused before anything is deleted.
+    """
+    system, root = _file_system(spark, base)
+    present = sorted(f.getPath().getName().split("=", 1)[1] for f in system.globStatus(_hadoop(spark, f"{base}/snapshot_ts=*")) or [])
+    chosen = sorted({snapshot_name(ts) for ts in expired})
+    kept = {snapshot_name(ts) for ts in in_use} | set(present[-1:])
+    if refused := [name for name in chosen if name in kept]:
+        raise ValueError(f"newest or in use, not deleted: {refused}")
+    for name in chosen:
+        # The schema goes first: a snapshot without one is not read, so half a deletion is never taken for a copy.
+        for part in (f"snapshot_ts={name}/{SCHEMA_FOLDER}", f"snapshot_ts={name}"):
+            system.delete(_hadoop(spark, f"{base}/{part}"), True)
+    return chosen
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -96,8 +137,61 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a table. Never the one that ``df`` is read from."""
-    write_table(df, path, partition_by, "overwrite")
+    """Replace a table, also the one that ``df`` is read from.
+
+    The new table is written whole beside the old one, then the two change places by renames. Until that, a failure leaves
+    the old table; one between the two renames is mended by ``recover``, which ``overwrite`` begins with, and
+    ``read_table`` where it finds no table. Meant for file systems with atomic renames. One writer at a time.
+    """
+    spark = df.sparkSession
+    recover(spark, path)
+    staged, old = _beside(path)
+    write_table(df, staged, partition_by, "overwrite")
+    system, _ = _file_system(spark, path)
+    if system.exists(_hadoop(spark, path)):
+        _rename(spark, path, old)
+    _rename(spark, staged, path)
+    system.delete(_hadoop(spark, old), True)
+
+
+def recover(spark: SparkSession, path: str) -> str:
+    """Finish or undo a replacement that was broken off, and say which: ``whole``, ``finished``, ``undone`` or ``absent``."""
+    staged, old = _beside(path)
+    system, target = _file_system(spark, path)
+    exists = lambda p: system.exists(_hadoop(spark, p))
+    if system.exists(target):
+        state = "whole"
+    elif exists(old):
+        # The old table stepped aside only once the new one was whole.
+        complete = exists(f"{staged}/{SCHEMA_FOLDER}/_SUCCESS")
+        _rename(spark, staged if complete else old, path)
+        state = "finished" if complete else "undone"
+    else:
+        return "absent"
+    for left in (old, staged):
+        if exists(left):
+            system.delete(_hadoop(spark, left), True)
+    return state
+
+
+def _beside(path: str) -> tuple[str, str]:
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/_{name}.staged", f"{folder}/_{name}.old"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = _hadoop(spark, path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    system, place = _file_system(spark, source)
+    if not system.rename(place, _hadoop(spark, target)):
+        raise OSError(f"could not rename {source} to {target}")
 
 
 def export_lines(df: DataFrame, path: str, column: str = "line", compression: str = "gzip") -> None:

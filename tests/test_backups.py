@@ -2,8 +2,10 @@ from datetime import datetime
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
-from fleetops.operators.backups import backup_expired, backup_latest, backup_sizes, manifest
+from fleetops.operators.backups import backup_expired, backup_latest, backup_sizes, manifest, prune_plan
+from fleetops.operators.fingerprints import fingerprints
 from fleetops.sources import storage
 from tests.helpers import plan, sorted_rows, table
 
@@ -113,3 +115,98 @@ def test_compressed_export(spark, tmp_path):
     storage.export_lines(table(spark, "line STRING", ("a",), ("b",)), out)
     assert list((tmp_path / "export").glob("*.gz"))
     assert sorted_rows(storage.import_lines(spark, out)) == [("a",), ("b",)]
+
+
+def failing(df):
+    return df.withColumn("a", F.when(F.col("a") > 1, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("a")))
+
+
+def test_a_failed_replacement_leaves_the_old_table(spark, tmp_path):
+    target = str(tmp_path / "target")
+    storage.overwrite(table(spark, "a BIGINT", (1,), (2,)), target)
+    with pytest.raises(Exception, match="lost"):
+        storage.overwrite(failing(spark.read.parquet(target)), target)
+    assert sorted_rows(storage.read_table(spark, target)) == [(1,), (2,)]
+    # The next one starts afresh, and may read the table that it replaces.
+    storage.overwrite(storage.read_table(spark, target).filter("a = 2"), target)
+    assert sorted_rows(storage.read_table(spark, target)) == [(2,)]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["target"]
+
+
+@pytest.mark.parametrize("renames", [1, 2])
+def test_a_switch_that_broke_off_is_mended(spark, tmp_path, monkeypatch, renames):
+    target = str(tmp_path / "target")
+    storage.overwrite(table(spark, "a BIGINT", (1,)), target)
+    done = []
+    rename = storage._rename
+
+    def broken(*args):
+        if len(done) == renames:
+            raise KeyboardInterrupt
+        done.append(args)
+        rename(*args)
+        if len(done) == renames:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(storage, "_rename", broken)
+    with pytest.raises(KeyboardInterrupt):
+        storage.overwrite(table(spark, "a BIGINT", (2,)), target)
+    monkeypatch.setattr(storage, "_rename", rename)
+    assert sorted_rows(storage.read_table(spark, target)) == [(2,)]
+    assert storage.recover(spark, target) == "whole"
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["target"]
+
+
+def test_a_switch_to_half_a_table_is_undone(spark, tmp_path):
+    target = tmp_path / "target"
+    storage.overwrite(table(spark, "a BIGINT", (1,)), str(target))
+    target.rename(tmp_path / "_target.old")
+    table(spark, "a BIGINT", (2,)).write.parquet(str(tmp_path / "_target.staged"))
+    assert storage.recover(spark, str(target)) == "undone"
+    assert sorted_rows(storage.read_table(spark, str(target))) == [(1,)]
+    assert storage.recover(spark, str(tmp_path / "never")) == "absent"
+
+
+def test_copies_are_proved(spark, tmp_path):
+    base, target, at = str(tmp_path / "base"), str(tmp_path / "target"), datetime(2024, 1, 2)
+    rows = [(i, "x" if i % 3 else None, f"p{i % 4}") for i in range(40)] + [(1, "x", "p1")]
+    df = table(spark, "a BIGINT, b STRING, p STRING", *rows)
+    storage.snapshot(df, base, at, ["p"])
+    assert sorted_rows(storage.restore(spark, base, at, target)) == []
+    whole = storage.read_snapshot(spark, base, at)
+    storage.overwrite(whole.withColumn("b", F.expr("IF(a = 2, '', b)")), target, ["p"])
+    assert sorted_rows(storage.verify_copy(spark, base, at, target)) == [("p2", "changed", 10, 10)]
+    storage.overwrite(whole.unionByName(whole.filter("a = 5")).filter("p <> 'p3'"), target, ["p"])
+    assert sorted_rows(storage.verify_copy(spark, base, at, target)) == [("p1", "changed", 11, 12), ("p3", "missing", 10, 0)]
+
+
+def test_fingerprints_tell_rows_apart(spark):
+    schema = "a STRING, b STRING, n STRUCT<x: INT, y: STRING>, z ARRAY<INT>, raw BINARY"
+    rows = [("1", "", (1, None), [1, None], b"\x00"), ("1", None, (1, None), [1, None], b"\x00"), ("", "1", (1, "y"), [], None)]
+    sums = {tuple(fingerprints(table(spark, schema, r)).first()) for r in rows}
+    assert len(sums) == 3
+    twice = table(spark, schema, rows[0], rows[0], rows[1])
+    mixed = table(spark, schema, rows[1], rows[0], rows[0]).select("raw", "z", "n", "b", "a")
+    assert fingerprints(twice).collect() == fingerprints(mixed).collect()
+    assert fingerprints(twice.limit(0)).collect() == [] and fingerprints(twice.limit(0), ["a"]).collect() == []
+
+
+def test_prune(spark, tmp_path):
+    base, times = str(tmp_path), [datetime(2024, 1, d) for d in (1, 2, 3, 4)]
+    for ts in times:
+        storage.snapshot(table(spark, "a BIGINT", (ts.day,)), base, ts)
+    for wrong in ([times[3]], [times[0], times[1]]):
+        with pytest.raises(ValueError, match="newest or in use"):
+            storage.prune(spark, base, wrong, in_use=[times[1]])
+    assert storage.read_snapshots(spark, base).count() == 4
+    plan_ = [times[0], times[2]]
+    assert storage.prune(spark, base, plan_, in_use=[times[1]]) == storage.prune(spark, base, plan_, in_use=[times[1]])
+    assert sorted_rows(storage.read_snapshots(spark, base), "a") == [(2,), (4,)]
+
+
+def test_prune_plan(spark):
+    times = [datetime(2023, 1, 1), datetime(2023, 2, 1), datetime(2023, 3, 1), datetime(2023, 4, 1)]
+    rows = [(1, i, t, "etc", 1) for i, t in enumerate(times)] + [(2, 9, times[0], "etc", 1), (3, 5, datetime(2024, 2, 29), "etc", 1)]
+    used = table(spark, "host_id BIGINT, backup_id BIGINT", (1, 1), (1, 1), (7, 7))
+    got = [(r.host_id, r.backup_id, r.action) for r in prune_plan(table(spark, SCHEMA, *rows), used, NOW).collect()]
+    assert sorted(got) == [(1, 0, "delete"), (1, 1, "keep_in_use"), (1, 2, "delete"), (1, 3, "keep_newest"), (2, 9, "keep_newest")]

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetops.operators import lines as L
+from fleetops.sources import text
 from tests.helpers import sorted_rows, table
 
 SCHEMA = "file_id BIGINT, line_no BIGINT, line STRING"
@@ -69,3 +71,29 @@ def test_first_and_last(spark, n):
     last = [(f, i, t) for f, ts in numbers.items() for i, t in ts[-n:]]
     assert sorted_rows(L.first_lines(df, n)) == first
     assert sorted_rows(L.last_lines(df, n, block_lines=3)) == last
+
+
+def test_numbers_over_splits_equal_those_of_whole_texts(spark, tmp_path):
+    size = "spark.sql.files.maxPartitionBytes"
+    big = "".join(f"line {i} {'x' * (i % 50)}\r\n" if i % 7 else "\n" for i in range(4000)) + "no break at the end"
+    (tmp_path / "big.log").write_bytes(big.encode())
+    (tmp_path / "small.log").write_bytes("one\ntwo é\n".encode())
+    before = spark.conf.get(size)
+    spark.conf.set(size, "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        split = text.read_numbered_lines(spark, str(tmp_path), "*.log")
+        got = sorted_rows(split)
+        tasks = split.filter("file_id LIKE '%big%'").select(F.spark_partition_id().alias("p")).distinct().count()
+        splits = spark.read.text(str(tmp_path / "big.log")).select("_metadata.file_block_start").distinct().count()
+    finally:
+        spark.conf.set(size, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted_rows(text.read_lines(spark, str(tmp_path), "*.log"))
+    assert splits > 10 and tasks > 1
+
+
+def test_split_numbers_of_files_without_a_name(spark):
+    rows = [(None, 0, 5, "a"), (None, 0, 6, "b"), (None, 9, 100, "c"), (1, 0, 0, "d")]
+    given = table(spark, "file_id BIGINT, split BIGINT, at BIGINT, line STRING", *rows)
+    assert sorted_rows(L.number_splits(given)) == [(None, 1, "a"), (None, 2, "b"), (None, 3, "c"), (1, 1, "d")]
