@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -31,6 +32,7 @@ from fleetops.llm.tokens import slices
 from fleetops.llm.words import mix64
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+REMEMBERED = 300_000  # words in each of the two generations that a worker remembers
 LANE = 256  # tokens of B for each pointer pair
 TEXT_BYTES = 1 << 20  # texts that are merged together
 BATCH_LINKS = 2_000_000  # a batch is closed at the document that reaches so many links
@@ -53,6 +55,7 @@ def byte_of_letter() -> dict[str, int]:
 
 # Characters that all versions of Unicode in use class alike; other texts are cut by the file's own library.
 SETTLED = re.compile("[^\t\n\r -~¡-ͯЀ-ԣḀ-ỿ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣]")
+EDGE = re.compile("[\\s\u180e]")  # white space by any version of Unicode
 # Fixed value: how byte-level vocabularies of this kind cut a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -106,23 +109,18 @@ class Pieces:
 
         self.library = SentencePieceProcessor(model_file=path)
         self.bytes = []
+        # Without pieces that go on behind a word's end, a text's ids are those of its words.
+        self.by_word = True
         for i in range(self.library.get_piece_size()):
             piece = self.library.id_to_piece(i)
             byte = re.fullmatch("<0x([0-9A-Fa-f]{2})>", piece) if self.library.is_byte(i) else None
             self.bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
+            self.by_word &= "▁" not in piece.lstrip("▁")
 
     def __call__(self, text: str) -> list[int]:
         return self.library.encode(text, num_threads=1)
 
 
-def loaded(kind: type, path: str):
-    """The worker's tokenizer for a file, loaded once."""
-    cache = process_cache()
-    if (kind.__name__, path) not in cache:
-        cache[kind.__name__, path] = kind(path)
-    return cache[kind.__name__, path]
-
-
 def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Links (a, b) and cuts (a, b), as places of tokens that end at the given bytes.
 
@@ -197,19 +195,68 @@ def decimals(n: int) -> list[bytes]:
     return known
 
 
-def merge(texts: list[bytes], a: ByteLevel, b: Pieces) -> Merged:
+class Both:
+    """Ids of texts by both tokenizers, as arrays; none where either's tokens do not join to a space and the text.
+
+    Where words are parted by single spaces and both tokenizers cut there, a text's ids are those of its words, which are
+    remembered. A word that is empty, begins or ends with white space, or does not come back, has no ids of its own: texts
+    with such words are encoded whole.
+    """
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self.by_word = a.ranked is not None and b.by_word
+        self.a_of: dict[str, bytes | None] = {}
+        self.b_of: dict[str, bytes | None] = {}
+        self.older = self.a_of, self.b_of
+
+    def whole(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        text, led = raw.decode(), b" " + raw
+        a, b = self.a(" " + text), self.b(text)
+        if b"".join(map(self.a.bytes.__getitem__, a)) != led or b"".join(map(self.b.bytes.__getitem__, b)) != led:
+            a, b = [], []
+        return np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
+
+    def learn(self, new: list[str]) -> None:
+        for word, b in zip(new, self.b.library.encode(new, num_threads=1)):
+            a, led = self.a(" " + word), b" " + word.encode()
+            odd = not word or EDGE.match(word[0]) or EDGE.match(word[-1])
+            if odd or b"".join(map(self.a.bytes.__getitem__, a)) != led or b"".join(map(self.b.bytes.__getitem__, b)) != led:
+                self.a_of[word] = self.b_of[word] = None
+            else:
+                self.a_of[word], self.b_of[word] = array("I", a).tobytes(), array("I", b).tobytes()
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        none = np.zeros(0, dtype=np.uint32)
+        if not self.by_word:
+            return [self.whole(t) if t else (none, none) for t in texts]
+        if len(self.a_of) > REMEMBERED:
+            self.older, self.a_of, self.b_of = (self.a_of, self.b_of), {}, {}
+        split = [t.decode().split(" ") for t in texts]
+        new = set().union(*split).difference(self.a_of)
+        again = new & self.older[0].keys()
+        for known, older in zip((self.a_of, self.b_of), self.older):
+            known.update((w, older[w]) for w in again)
+        if new := new - again:
+            self.learn(list(new))
+        out = []
+        for raw, words in zip(texts, split):
+            if not raw:
+                out.append((none, none))
+                continue
+            a = list(map(self.a_of.__getitem__, words))
+            if None in a:
+                out.append(self.whole(raw))
+            else:
+                b = b"".join(map(self.b_of.__getitem__, words))
+                out.append((np.frombuffer(b"".join(a), dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)))
+        return out
+
+
+def merge(texts: list[bytes], encode: Both) -> Merged:
     """The texts' tokens merged; those whose tokens do not join to a space and the text have none."""
-    a_of, b_of = [], []
-    for raw in texts:
-        found_a, found_b = [], []
-        if raw:
-            text = raw.decode()
-            found_a, found_b = a(" " + text), b(text)
-            whole = b" " + raw
-            if b"".join(map(a.bytes.__getitem__, found_a)) != whole or b"".join(map(b.bytes.__getitem__, found_b)) != whole:
-                found_a, found_b = [], []
-        a_of.append(np.array(found_a, dtype=np.uint32))
-        b_of.append(np.array(found_b, dtype=np.uint32))
+    a, b = encode.a, encode.b
+    a_of, b_of = zip(*encode(texts))
     a_ids, b_ids = np.concatenate(a_of), np.concatenate(b_of)
     a_starts, b_starts = (np.array(list(accumulate(map(len, x), initial=0)), dtype=np.int64) for x in (a_of, b_of))
     a_ends, b_ends = np.cumsum(sizes(a)[a_ids]), np.cumsum(sizes(b)[b_ids])
@@ -222,6 +269,14 @@ def merge(texts: list[bytes], a: ByteLevel, b: Pieces) -> Merged:
     return Merged(a_ids, b_ids, a_starts, b_starts, (linked_a, linked_b), (cut_a[order], cut_b[order]))
 
 
+def both(paths: tuple[str, str]) -> Both:
+    """The worker's tokenizers for two files, loaded once."""
+    cache = process_cache()
+    if ("both", *paths) not in cache:
+        cache[("both", *paths)] = Both(ByteLevel(paths[0]), Pieces(paths[1]))
+    return cache[("both", *paths)]
+
+
 def sizes(tokenizer) -> np.ndarray:
     """The bytes that each id stands for."""
     if not hasattr(tokenizer, "sizes"):
@@ -231,10 +286,10 @@ def sizes(tokenizer) -> np.ndarray:
 
 def merged_slices(batch: pa.RecordBatch, paths: tuple[str, str]) -> Iterator[tuple[pa.Array, Merged]]:
     """Document ids and merged texts of rows (doc_id, text), some at a time."""
-    a, b = loaded(ByteLevel, paths[0]), loaded(Pieces, paths[1])
+    encode = both(paths)
     texts = batch.column(1).cast(pa.binary()).to_pylist()
     for low, high in slices([len(t or b"") for t in texts], TEXT_BYTES):
-        yield batch.column(0).slice(low, high - low), merge([t or b"" for t in texts[low:high]], a, b)
+        yield batch.column(0).slice(low, high - low), merge([t or b"" for t in texts[low:high]], encode)
 
 
 def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:

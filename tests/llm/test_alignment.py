@@ -99,6 +99,10 @@ TEXTS = [
     " leading",
     "é combining, ﬁ ligature,   space, 　 wide",
     "aaaa" * 300,
+    "a\u180e b\u00a0 c \u2003d e\x1c f\x85 g",
+    "a\n b \n c\n  d \r\ne",
+    "ends with a space ",
+    "▁ and ▁word",
 ]
 
 
