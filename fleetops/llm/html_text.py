@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,24 +34,30 @@ PARTS = frozenset("section blockquote td center details".split())  # containers
 PARAGRAPHS = frozenset("p pre blockquote li dd td h1 h2 h3 h4 h5 h6".split())
 # Never part of an article, whatever they hold.
 ASIDE = frozenset(
-    "head script style noscript template nav menu footer aside form button select textarea input iframe object embed"
+    "head script style noscript template nav menu footer aside button select textarea input iframe object embed"
     " dialog svg math canvas audio video map datalist option".split()
 )
-BOILERPLATE = re.compile(
-    r"(?:^|[-_\s])(?:nav\w*|menus?|submenu|sidebars?|side|footers?|foot|masthead|banners?|topbar|toolbar|header|site-?header"
-    r"|page-?header|ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|disclaimer|popups?|modal"
-    r"|overlay|comments?|commentlist|disqus|replies|reply|respond|related|recommend\w*|share\w*|sharing|social|breadcrumbs?"
-    r"|pagination|pager|newsletter|subscribe|subscription|signup|login|search\w*|widgets?|toc|tags|skip-?link|hidden)(?:$|[-_\s\d])",
+# Words in class and id that name what is no article. They count as a whole name, or as the first or last part of one.
+PLAIN_WORDS = (
+    r"nav\w*|menus?|submenu|sidebars?|footers?|masthead|topbar|toolbar|ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?"
+    r"|consent|gdpr|popups?|comments?|commentlist|disqus|replies|reply|respond|related|recommend\w*|share\w*|sharing|social"
+    r"|breadcrumbs?|pagination|pager|newsletter|subscribe|subscription|widgets?|skip-?link|(?:site|page|main|top)-?header"
+)
+# Words that often are a part of an article's name as well.
+LOOSE_WORDS = (
+    r"side|foot|header|banners?|notices?|alerts?|disclaimer|modal|overlay|signup|login|search\w*|toc|tags|hidden"
+)
+NAMED = re.compile(rf"(?:^|[\s])(?:{PLAIN_WORDS}|{LOOSE_WORDS})(?:$|[\s\d])", re.I)
+IN_NAME = re.compile(rf"(?:^|[-_\s])(?:{PLAIN_WORDS}|(?!header)(?:{LOOSE_WORDS}))(?:$|[-_\s\d])", re.I)
+PLAIN_IN_NAME = re.compile(rf"(?:^|[-_\s])(?:{PLAIN_WORDS})(?:$|[-_\s\d])", re.I)
+# Names of a state, such as has-sidebar or comments-open, tell nothing of what an element is.
+STATE = re.compile(
+    r"(?<![^-_\s])(?:has|have|with|without|no|not|is|hide|show|enable|js)[-_][\w-]+|(?<!\S)[\w-]+[-_](?:open|closed|enabled|disabled|on|off)(?!\S)",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# A comment, declaration or instruction; a tag; a tag with an unclosed quote, which ends at its first >.
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+UNQUOTED = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 # A start tag that ends an open element of these, unless one of the second list stands in between.
 ENDS = {
@@ -72,16 +80,11 @@ class Node:
     parent: Node | None
     attributes: dict = field(default_factory=dict)
     children: list = field(default_factory=list)  # nodes and texts, in order
+    left_out: bool = False
 
     def skipped(self) -> bool:
-        """Whether the element is no part of any article."""
-        if self.tag in ASIDE or "hidden" in self.attributes or self.attributes.get("role", "").lower() in ROLES:
-            return True
-        if self.tag == "header":
-            return not any(a.tag == "article" for a in self.ancestors())
-        if self.tag in ("html", "body", "article", "main"):
-            return False
-        return any(BOILERPLATE.search(self.attributes.get(name, "")) for name in ("class", "id"))
+        """Whether the element is no part of any article; decided by ``judged``."""
+        return self.left_out
 
     def ancestors(self):
         node = self.parent
@@ -99,71 +102,199 @@ class Node:
         return ".".join([self.tag, *classes])
 
 
+class Scanner:
+    """Tags of a page, from left to right, in time that grows with the page whatever its quotes are like."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.open_ended: set[int] = set()  # quotes after which no tag ends
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag: the first outside of quotes, or else the first; -1 if there is none."""
+        page, first, seen = self.page, at, []
+        while True:
+            at = UNQUOTED.match(page, at).end()
+            if at < len(page) and page[at] == ">":
+                return at
+            closing = page.find(page[at], at + 1) if at < len(page) and at not in self.open_ended else -1
+            if closing < 0:
+                self.open_ended.update(seen)
+                if at < len(page):
+                    self.open_ended.add(at)
+                return page.find(">", first)
+            seen.append(at)
+            at = closing + 1
+
+    def tags(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(start, end, is an end tag, name, rest); comments, declarations and instructions have no name.
+
+        The receiver may send the place to go on from.
+        """
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                closing = page.find("-->", start + 4)
+                end = closing + 3 if closing >= 0 else len(page)
+                on = yield start, end, False, "", ""
+            elif page.startswith(("<!", "<?"), start):
+                closing = page.find(">", start)
+                if closing < 0:
+                    return
+                end = closing + 1
+                on = yield start, end, False, "", ""
+            elif m := NAME.match(page, start + 1):
+                closing = self.end(m.end())
+                if closing < 0:
+                    return  # no tag ends any more
+                end = closing + 1
+                on = yield start, end, bool(m[1]), m[2].lower(), page[m.end() : closing]
+            else:
+                continue
+            at = end if on is None else on
+            if on is not None:
+                yield at, at, False, "", ""
+
+
+class Open:
+    """The elements that are open, outermost first, and at which depths those of a tag are."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.scopes, self.blocks = [0], [0]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.nodes)
+        self.nodes.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in SCOPE:
+            self.scopes.append(depth)
+        if node.tag in BLOCKS:
+            self.blocks.append(depth)
+
+    def close(self, depth: int) -> None:
+        """The elements from a depth on are closed."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.depths[node.tag].pop()
+            for depths in (self.scopes, self.blocks):
+                if depths[-1] == len(self.nodes):
+                    depths.pop()
+
+    def last(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def close_within(self, tags, depth: int) -> None:
+        """The outermost open element of the tags that is deeper than ``depth`` is closed."""
+        found = []
+        for tag in tags:
+            depths = self.depths.get(tag, ())
+            i = bisect_right(depths, depth)
+            if i < len(depths):
+                found.append(depths[i])
+        if found:
+            self.close(min(found))
+
+
 def parsed(page: str) -> Node:
     """A tree of the page: no page is refused, unclosed and stray tags are closed where they must end.
 
     All that is outside of the head stands in one html and one body element, also where their tags are left out.
     """
-    root = node = Node("", None)
+    root = Node("", None)
+    opened = Open(root)
     at = 0
-    while True:
-        m = TAG.search(page, at)
-        if m is None:
-            break
-        if m.start() > at:
-            text = page[at : m.start()]
-            if node.tag == "head" and text.strip():
-                node = node.parent
-            node.children.append(text)
-        at = m.end()
-        end_mark, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if name is None:
+
+    def text(until: int) -> None:
+        if until > at:
+            found = page[at:until]
+            if opened.nodes[-1].tag == "head" and found.strip():
+                opened.close(len(opened.nodes) - 1)
+            opened.nodes[-1].children.append(found)
+
+    scan = Scanner(page).tags()
+    for start, end, ends, tag, rest in scan:
+        text(start)
+        at = end
+        if not tag:
             continue
-        tag = name.lower()
-        if end_mark:
-            open_node = node
-            while open_node is not root and open_node.tag != tag:
-                if tag not in BLOCKS and open_node.tag in BLOCKS:
-                    open_node = root  # a stray inline end tag ends no block
-                    break
-                open_node = open_node.parent
-            if open_node is not root:
-                node = open_node.parent
+        if ends:
+            depth = opened.last([tag])
+            # A stray inline end tag ends no block.
+            if depth and (tag in BLOCKS or depth > opened.blocks[-1]):
+                opened.close(depth)
             continue
-        if node.tag == "head" and tag not in HEAD:
-            node = node.parent
+        if opened.nodes[-1].tag == "head" and tag not in HEAD:
+            opened.close(len(opened.nodes) - 1)
         if tag in BLOCKS:
-            inner, found = node, None
-            while inner is not root and inner.tag not in SCOPE:
-                if inner.tag == "p":
-                    found = inner
-                inner = inner.parent
-            if found is not None:
-                node = found.parent
+            opened.close_within(["p"], opened.scopes[-1])
         if tag in ENDS:
             same, fence = ENDS[tag]
-            inner, found = node, None
-            while inner is not root and inner.tag not in fence:
-                if inner.tag in same:
-                    found = inner
-                inner = inner.parent
-            if found is not None:
-                node = found.parent
-        attributes = {}
+            opened.close_within(same, opened.last(fence))
+        attributes: dict[str, str] = {}
         for a in ATTRIBUTE.finditer(rest):
             attributes.setdefault(a[1].lower(), entities.unescape(a[2] or a[3] or a[4] or ""))
-        child = Node(tag, node, attributes)
-        node.children.append(child)
+        child = Node(tag, opened.nodes[-1], attributes)
+        opened.nodes[-1].children.append(child)
         if tag in RAW and not rest.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = raw_end(tag).search(page, at)
+            at = found.end() if found else len(page)
+            scan.send(at)
         elif tag not in VOID:
-            node = child
-    if at < len(page):
-        if node.tag == "head" and page[at:].strip():
-            node = node.parent
-        node.children.append(page[at:])
-    return rooted(root)
+            opened.push(child)
+    text(len(page))
+    return judged(rooted(root))
+
+
+@cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+def judged(root: Node) -> Node:
+    """The tree with all elements marked that are part of no article.
+
+    Some tags, roles and names never are. A form, and an element whose name only has one of the words as a part of it, is
+    left out unless it holds most of the page's prose, or for a name an article, a main element or a first heading.
+    """
+    order = [(root, False)]
+    for node, within in order:  # grows while it is walked
+        inside = within or node.tag == "article"
+        order.extend((c, inside) for c in node.children if isinstance(c, Node))
+    prose: dict[int, int] = {}
+    main: set[int] = set()
+    for node, _ in reversed(order):
+        if node.tag in RAW or node.tag in ASIDE or node.tag == "a":
+            prose[id(node)] = 0
+            continue
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str)) if node.tag in PARAGRAPHS or node.tag not in BLOCKS else 0
+        below = [c for c in node.children if isinstance(c, Node)]
+        prose[id(node)] = own + sum(prose[id(c)] for c in below)
+        if node.tag in ("article", "main", "h1") or any(id(c) in main for c in below):
+            main.add(id(node))
+    most = prose[id(root)] / 2
+    for node, in_article in order:
+        names = [STATE.sub(" ", node.attributes.get(n, "")) for n in ("class", "id")]
+        much = prose[id(node)] > most
+        if node.tag in ASIDE or "hidden" in node.attributes:
+            node.left_out = True
+        elif node.tag in ("", "html", "body", "article", "main"):
+            node.left_out = node.attributes.get("role", "").lower() in ROLES
+        elif node.tag == "form":
+            node.left_out = not much
+        elif node.tag == "header":
+            node.left_out = not in_article
+        elif node.attributes.get("role", "").lower() in ROLES or any(map(NAMED.search, names)):
+            node.left_out = True
+        else:
+            node.left_out = not (much and id(node) in main) and not much_loose(names, much) and any(map(IN_NAME.search, names))
+    return root
+
+
+def much_loose(names: list[str], much: bool) -> bool:
+    """Whether an element with most of the page's prose has only loose words in its names."""
+    return much and not any(map(PLAIN_IN_NAME.search, names))
 
 
 def rooted(root: Node) -> Node:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,51 @@ def test_awkward_rows(spark):
     assert best(parsed("<nav>x</nav>")) is None
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        (f"<form id=aspnetForm><div class=post><p>{LONG}</p></div><input type=hidden></form>", LONG),
+        (f"<div class='site-content has-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<div class='post no-comments'><p>{LONG}</p></div>", LONG),
+        (f"<div class='post comments-open'><p>{LONG}</p></div>", LONG),
+        (f"<div class='content-with-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<div class='search-content'><p>{LONG}</p></div>", LONG),
+        (f"<article><div class='post-header'><h1>T</h1></div><p>{LONG}</p></article>", f"T\n{LONG}"),
+        (f"<div class='main-nav-layout'><article><h1>T</h1><p>{LONG}</p></article></div>", f"T\n{LONG}"),
+        # These still go, also where they are longer than the article.
+        (f"<div class=post><p>{REST}</p><div class='comments-area'><p>{COMMENT}</p></div></div>", REST),
+        (f"<div class=post><p>{REST}</p><div class='user-comments'><p>{COMMENT}</p></div></div>", REST),
+        (f"<div class=post><p>{REST}</p><div class='search-box'><p>{PROSE}</p></div></div>", REST),
+        (f"<div class=post><p>{REST}</p><div class='site-header'><h1>S</h1></div><form><p>{PROSE}</p></form></div>", REST),
+        (f"<div class=post><p>{REST}</p><div role=alert><p>{PROSE}</p></div><div id=sidebar-2>x</div></div>", REST),
+    ],
+)
+def test_names_need_evidence(body, text):
+    assert extracted(page(body), [])[0] == text
+
+
+@pytest.mark.parametrize(
+    "hostile",
+    [
+        '<p>hi <x "' * 100_000,
+        "<p>hi <x \"'" * 100_000,
+        "<x '\" y=\"'>" * 80_000,
+        "<" * 1_000_000,
+        "<!" * 500_000,
+        "<a " * 300_000,
+        "<span>" * 60_000 + "</b></i></div>" * 40_000,
+        "<b><div>" + "<span>" * 60_000 + "</b>" * 100_000,
+        "<ul><span>" * 30_000 + "<li>" * 60_000,
+        "<script>" * 100_000,
+        "<!--" * 200_000,
+    ],
+)
+def test_hostile_pages_take_time_in_proportion(hostile):
+    start = time.process_time()
+    parsed(hostile)
+    assert time.process_time() - start < 10
+
+
 def test_hosts(spark):
     urls = ["http://www.A.b/x", "https://u:p@a.b:8/x", "a.b/x", "mailto:x@y", "", None, "http:///x", "ftp://é.org?q"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
