@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from fleetops.llm.components import components
-from fleetops.llm.runtime import checkpointed, partitions
+from fleetops.llm.runtime import carried, checkpointed, partitions, unpacked
 from fleetops.llm.tokens import slices
 from fleetops.llm.words import BASE, mix64, powers, word_hashes
 
@@ -463,26 +463,25 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     Rows without n-grams all stay. Of rows that agree in id and n-grams one stays. Read ``docs`` from storage: it is
     scanned several times.
     """
-    added = "__class"
-    schema = StructType([*docs.schema.fields, StructField(added, BinaryType())])
-    at = docs.columns.index("text")
+    own = carried(docs, ["doc_id", "text"])
+    schema = StructType([*own.schema.fields, StructField("class", BinaryType()), StructField("hash", BinaryType())])
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             sets = [g for low, high in slices([len(t) for t in texts]) for g in gram_sets(texts[low:high], n)]
             names = pa.array([digest(g) if len(g) else None for g in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=schema.names)
+            hashes = pa.array([blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names, hashes], names=schema.names)
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first")
     found = join(docs, n, percent).filter(F.col("class").isNotNull()).groupBy("root").agg(first)
-    no_id = F.lit(-(1 << 63))
-    kept = found.select(F.col("first.class").alias("__kept"), F.coalesce("first.doc_id", no_id).alias("__kept_id"))
-    tagged = docs.mapInArrow(tag, schema).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), no_id))
-    joined = tagged.join(kept, (F.col(added) == F.col("__kept")) & (F.col("__id") == F.col("__kept_id")), "left")
-    nth = F.row_number().over(Window.partitionBy(added, "__id").orderBy(F.xxhash64("text")))
-    chosen = F.col(added).isNull() | (F.col("__kept").isNotNull() & (F.col("__nth") == 1))
-    return joined.withColumn("__nth", nth).filter(chosen).select(*docs.columns)
+    kept = found.select(F.col("first.class").alias("kept"), F.coalesce("first.doc_id", F.lit(NO_ID)).alias("kept_id"))
+    tagged = own.mapInArrow(tag, schema).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    joined = tagged.join(kept, (F.col("class") == F.col("kept")) & (F.col("id") == F.col("kept_id")), "left")
+    nth = F.row_number().over(Window.partitionBy("class", "id").orderBy("hash"))
+    chosen = F.col("class").isNull() | (F.col("kept").isNotNull() & (F.col("nth") == 1))
+    return unpacked(joined.withColumn("nth", nth).filter(chosen), docs.columns, ["doc_id", "text"])
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:

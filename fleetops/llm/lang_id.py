@@ -9,7 +9,7 @@ Whether a text is in a learned language at all is judged apart from that, by how
 in the language that fits the word best, against how likely those of the learned rows are.
 
 The counts are taken over all labelled rows in Spark: each task adds up a table of fixed size per language, and only
-these tables, languages x BUCKETS numbers, reach the driver.
+these tables, at most MOST_LANGS x BUCKETS numbers, reach the driver.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetops.llm.runtime import process_cache
+from fleetops.llm.runtime import carried, process_cache, unpacked
 from fleetops.llm.tokens import slices
 
 BUCKETS = 1 << 15  # n-grams of one to three characters are counted in so many hashed places
 ORDERS = (1, 2, 3)
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SMOOTHING = 0.5
+MOST_LANGS = 256  # languages that are learned, those with the most rows; each is a table of 256 KB
 EXHAUSTIVE = 7  # up to so many languages, every way to split them is a bit; beyond, BITS random splits
 BITS = 63
 SHARPNESS = 4.0  # from losses to scores
@@ -59,12 +60,12 @@ def letters() -> np.ndarray:
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all n-grams of the texts, the text each belongs to, and whether each text has a letter."""
-    bucket, owner, found, _ = grams_and_units(texts)
+    bucket, owner, found, _ = grams_and_units(texts, numbered=False)
     return bucket, owner, found
 
 
-def grams_and_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Like ``grams``, and for each n-gram the number of the word, or part of a long word, that it begins in.
+def grams_and_units(texts: list[bytes], numbered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``grams``, and, if ``numbered``, for each n-gram the number of the word, or part of a long word, that it begins in.
 
     Runs of anything but letters count as one space, and one stands before each text; an n-gram must hold a letter.
     """
@@ -78,8 +79,9 @@ def grams_and_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     letter = chars != 32
     found = np.zeros(len(texts), dtype=bool)
     found[owner[letter]] = True
-    at = np.arange(len(chars))
-    unit = np.cumsum((at - np.maximum.accumulate(np.where(letter, 0, at))) % UNIT == 0) - 1
+    if numbered:
+        at = np.arange(len(chars))
+        unit = np.cumsum((at - np.maximum.accumulate(np.where(letter, 0, at))) % UNIT == 0) - 1
     buckets, owners, units = [], [], []
     for order in ORDERS:
         n = len(chars) - order + 1
@@ -94,10 +96,11 @@ def grams_and_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         value ^= value >> np.uint64(29)
         buckets.append(((value * np.uint64(MULTIPLIERS[0])) >> np.uint64(64 - 15)).astype(np.int32)[some])
         owners.append(owner[:n][some])
-        units.append(unit[:n][some])
+        if numbered:
+            units.append(unit[:n][some])
     if not buckets:
         return np.zeros(0, np.int32), np.zeros(0, np.int32), found, np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(owners), found, np.concatenate(units)
+    return np.concatenate(buckets), np.concatenate(owners), found, np.concatenate(units) if numbered else np.zeros(0, np.int64)
 
 
 def likelihoods(bucket: np.ndarray, owner: np.ndarray, unit: np.ndarray, tables: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -115,8 +118,15 @@ def likelihoods(bucket: np.ndarray, owner: np.ndarray, unit: np.ndarray, tables:
     return mean, spread, units
 
 
-def gram_counts(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Counts by bucket for each language of rows (text, lang), over all of them."""
+def learned_langs(labelled: DataFrame, most: int = MOST_LANGS) -> list[str]:
+    """The languages with the most rows, ``most`` of them at most, so that what reaches the driver has a bound."""
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    return [r["lang"] for r in counted.collect()]
+
+
+def gram_counts(labelled: DataFrame, most: int = MOST_LANGS) -> dict[str, np.ndarray]:
+    """Counts by bucket for each of the ``most`` most frequent languages of rows (text, lang), over all rows of them."""
+    labelled = labelled.filter(F.col("lang").isin(learned_langs(labelled, most)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -273,7 +283,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             for low, high in slices([len(t) for t in texts]):
-                bucket, owner, found, unit = grams_and_units(texts[low:high])
+                bucket, owner, found, unit = grams_and_units(texts[low:high], numbered=model.usual is not None)
                 n = high - low
                 count = np.maximum(np.bincount(owner, minlength=n), 1)
                 margins = np.stack(
@@ -315,6 +325,12 @@ def known_language(predicted: DataFrame, model: Model) -> DataFrame:
     return predicted.filter(known if model.usual is None else known & (F.col("fit") >= LEAST_FIT))
 
 
+def known_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` (text and others) that ``known_language`` keeps, with all their columns as they were."""
+    predicted = predict(carried(docs, ["text"]), model)
+    return unpacked(known_language(predicted, model), docs.columns, ["text"])
+
+
 def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 

@@ -115,29 +115,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     Takes the options of ``copy_plan``. Documents that agree in id, source and size share their copies evenly.
     """
-    columns = docs.columns
+    # The user's columns travel as one, so no name of a step can meet one of theirs.
     plan = (
         copy_plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
         .groupBy("id", "source", "size")
-        .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__alike"))
-        .select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies", "__alike")
+        .agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
+        .select(F.col("id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "copies", "alike")
     )
     size = options.get("size")
-    sized = docs.withColumn("__words", n_words(F.col(text_col)) if size is None else size.cast("long"))
-    key = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(F.col(text_col)))
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"),
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        (n_words(F.col(text_col)) if size is None else size.cast("long")).alias("size"),
+        F.xxhash64(F.col(text_col)).alias("hash"),
+    )
+    key = Window.partitionBy("of_id", "of_source", "of_size").orderBy("hash")
     joined = sized.join(
-        plan.filter(F.col("__copies") > 0),
-        F.col(id_col).eqNullSafe(F.col("__id"))
-        & F.col(source_col).eqNullSafe(F.col("__source"))
-        & (F.col("__words") == F.col("__size")),
+        plan.filter(F.col("copies") > 0),
+        F.col("id").eqNullSafe(F.col("of_id"))
+        & F.col("source").eqNullSafe(F.col("of_source"))
+        & (F.col("size") == F.col("of_size")),
     )
-    share = lambda k: F.floor(k * F.col("__copies") / F.col("__alike"))
-    nth = F.row_number().over(key)
-    copies = F.when(F.col("__alike") == 1, F.col("__copies")).otherwise(share(F.col("__nth")) - share(F.col("__nth") - 1))
+    share = lambda k: F.floor(k * F.col("copies") / F.col("alike"))
+    taken = F.when(F.col("alike") == 1, F.col("copies")).otherwise(share(F.col("nth")) - share(F.col("nth") - 1))
     return (
-        joined.withColumn("__nth", nth)
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-        .select(*columns)
+        joined.withColumn("nth", F.row_number().over(key))
+        .select("own", F.explode(F.array_repeat(F.lit(1), taken.cast("int"))))
+        .select("own.*")
     )
 
 

@@ -7,9 +7,10 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINTS = "spark.checkpoint.dir"
 
@@ -58,6 +59,17 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def carried(docs: DataFrame, used: Sequence[str]) -> DataFrame:
+    """The columns that a step uses and all others as one, ``own``, so that no name of the step can meet one of theirs."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*rest, *([] if rest else [F.lit(0).alias("none")])).alias("own"))
+
+
+def unpacked(rows: DataFrame, columns: Sequence[str], used: Sequence[str]) -> DataFrame:
+    """Rows of a ``carried`` table with the given columns again."""
+    return rows.select(*[F.col(c) if c in used else F.col(f"own.`{c}`").alias(c) for c in columns])
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as the worker process; tasks get their functions anew, this stays."""
     name = "_llm_process_cache"

@@ -1,9 +1,10 @@
+import math
 import random
 
 import numpy as np
 import pytest
 
-from fleetops.llm.lang_id import UNKNOWN, code, fit, gram_counts, grams, known_language, labelled_part, op2_lang_id, predict
+from fleetops.llm.lang_id import AMBIGUOUS, SHARPNESS, UNKNOWN, code, fit, gram_counts, grams, known_language, labelled_part, op2_lang_id, predict
 from tests.llm.helpers import AWKWARD, documents, rows
 
 SYLLABLES = {f"l{i}": [a + b for a in "bdfgklmnprstvz"[i : i + 5] for b in "aeiou"] for i in range(9)}
@@ -101,3 +102,39 @@ def test_held_out_accuracy(spark, testdata):
     assert len(got) == docs.count()
     held = [r for r in got if r["held_out"] and r["lang"] is not None and r["n_chars"] >= 40]
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
+
+
+def plain_decoded(margins, model):
+    """Nearest codeword by loss, language by language."""
+    out = []
+    for row in margins:
+        losses = []
+        for word in model.words:
+            weighed = [t * math.exp(-max(-8.0, min(8.0, w * m))) for w, m, t in zip(word, row, model.trust)]
+            losses.append(sum(weighed) / sum(model.trust))
+        near = [math.exp(-SHARPNESS * (x - min(losses))) for x in losses]
+        out.append((near.index(max(near)), max(near) / sum(near)))
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 4, 9])
+def test_decoding_equals_a_plain_one(spark, n):
+    rng = random.Random(n)
+    langs = sorted(SYLLABLES)[:n]
+    train = [(text(x, rng, rng.randint(5, 60)), x) for x in langs for _ in range(20)]
+    model = fit(spark.createDataFrame(train, "text string, lang string"), judging=False)
+    texts = [text(rng.choice(langs), rng, rng.randint(1, 40)) for _ in range(40)]
+    for row in predict(documents(spark, texts), model).collect():
+        # A text's margins: the mean weight of its n-grams, bit by bit.
+        bucket, _, _ = grams([texts[row.doc_id].encode()])
+        margins = [sum(float(model.weights[g, b]) for g in bucket) / len(bucket) for b in range(model.weights.shape[1])]
+        best, score = plain_decoded([margins], model)[0]
+        assert row.lang_pred == model.langs[best]
+        assert abs(row.score - score) < 1e-6
+        assert row.ambiguous == (score < AMBIGUOUS)
+
+
+def test_learned_languages_have_a_bound(spark):
+    rows_ = [("a b c", f"x{i}") for i in range(50)] + [("le la les", "fr")] * 3 + [("the of", "en")] * 5
+    labelled = spark.createDataFrame(rows_, "text string, lang string")
+    assert sorted(gram_counts(labelled, most=3)) == ["en", "fr", "x0"]

@@ -104,3 +104,18 @@ def test_awkward_documents_pass_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
     assert empty.count() == 0
+
+
+TAKEN = ["score", "fit", "margins", "ambiguous", "lang_pred", "__words", "__class", "__id", "__kept", "n_words", "n_removed", "kept_sha256"]
+TAKEN += ["removed", "own", "hash", "class", "id", "nth", "size", "copies", "alike", "row", "key", "found", "kept"]
+
+
+def test_columns_that_clash_come_through_all_stages(spark):
+    docs = documents(spark, [f"the quick brown fox number {i} jumps over the lazy dog again" for i in range(30)] + AWKWARD)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in TAKEN])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        got = docs.collect()
+        assert got, name
+        for row in got:
+            assert [row[c] for c in TAKEN] == [f"{c}{row.doc_id}" for c in TAKEN], name
