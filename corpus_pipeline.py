@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetops.llm import jaccard, lang_id, mixing, packing, substring
-from fleetops.llm.runtime import stored
+from fleetops.llm.runtime import carried, stored, unpacked
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; the others go. Learned from the labels of two thirds of them."""
     model = lang_id.fit(lang_id.labelled_part(docs))
-    return lang_id.known_language(lang_id.predict(docs, model), model).select(*docs.columns)
+    return lang_id.known_documents(docs, model)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 35 words or more that repeat; documents made of nothing else go."""
-    done = substring.remove_repeats(docs)
+    used = ["doc_id", "text"]
+    done = substring.remove_repeats(carried(docs, used))
     left = done.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return unpacked(left, docs.columns, used).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-# Language models, similarity joins and packing are not SQL; the tests hold each stage against brute force.
+# Language models, similarity joins and packing are not SQL; the tests hold the stages against brute force, and that
+# of languages by its decoder and by texts in languages that were and were not learned.
 ORACLE_SQL = None
 
 
