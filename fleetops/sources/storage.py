@@ -18,6 +18,8 @@ SNAPSHOT_FORMAT = "%Y%m%d_%H%M%S"
 # Readers of the table pass over folders that begin with an underscore.
 SCHEMA_FOLDER = "_table_schema"
 FINGERPRINT_FOLDER = "_table_fingerprints"
+# Says of what is beside a table or a folder of files that it is whole.
+WHOLE = "_whole"
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
@@ -55,7 +57,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    system, place = _file_system(spark, path)
+    system, place = file_system(spark, path)
     return system.exists(place)
 
 
@@ -119,8 +121,8 @@ def prune(spark: SparkSession, base: str, expired: Sequence[datetime], in_use: S
 
     The newest snapshot and those in use are refused before anything is deleted.
     """
-    system, root = _file_system(spark, base)
-    present = sorted(f.getPath().getName().split("=", 1)[1] for f in system.globStatus(_hadoop(spark, f"{base}/snapshot_ts=*")) or [])
+    system, root = file_system(spark, base)
+    present = sorted(f.getPath().getName().split("=", 1)[1] for f in system.globStatus(hadoop(spark, f"{base}/snapshot_ts=*")) or [])
     chosen = sorted({snapshot_name(ts) for ts in expired})
     kept = {snapshot_name(ts) for ts in in_use} | set(present[-1:])
     if refused := [name for name in chosen if name in kept]:
@@ -128,7 +130,7 @@ def prune(spark: SparkSession, base: str, expired: Sequence[datetime], in_use: S
     for name in chosen:
         # The schema goes first: a snapshot without one is not read, so half a deletion is never taken for a copy.
         for part in (f"snapshot_ts={name}/{SCHEMA_FOLDER}", f"snapshot_ts={name}"):
-            system.delete(_hadoop(spark, f"{base}/{part}"), True)
+            system.delete(hadoop(spark, f"{base}/{part}"), True)
     return chosen
 
 
@@ -145,32 +147,44 @@ def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     """
     spark = df.sparkSession
     recover(spark, path)
-    staged, old = _beside(path)
+    staged = staged_beside(path)
     write_table(df, staged, partition_by, "overwrite")
-    system, _ = _file_system(spark, path)
-    if system.exists(_hadoop(spark, path)):
+    switch(spark, path)
+
+
+def staged_beside(path: str) -> str:
+    """Where what is to replace ``path`` is made ready."""
+    return _beside(path)[0]
+
+
+def switch(spark: SparkSession, path: str) -> None:
+    """Put what is whole beside ``path`` in its place, by two renames."""
+    staged, old = _beside(path)
+    system, target = file_system(spark, path)
+    system.create(hadoop(spark, f"{staged}/{WHOLE}"), True).close()
+    if system.exists(target):
         _rename(spark, path, old)
     _rename(spark, staged, path)
-    system.delete(_hadoop(spark, old), True)
+    system.delete(hadoop(spark, old), True)
 
 
 def recover(spark: SparkSession, path: str) -> str:
     """Finish or undo a replacement that was broken off, and say which: ``whole``, ``finished``, ``undone`` or ``absent``."""
     staged, old = _beside(path)
-    system, target = _file_system(spark, path)
-    exists = lambda p: system.exists(_hadoop(spark, p))
+    system, target = file_system(spark, path)
+    exists = lambda p: system.exists(hadoop(spark, p))
     if system.exists(target):
         state = "whole"
     elif exists(old):
         # The old table stepped aside only once the new one was whole.
-        complete = exists(f"{staged}/{SCHEMA_FOLDER}/_SUCCESS")
+        complete = exists(f"{staged}/{WHOLE}")
         _rename(spark, staged if complete else old, path)
         state = "finished" if complete else "undone"
     else:
         return "absent"
     for left in (old, staged):
         if exists(left):
-            system.delete(_hadoop(spark, left), True)
+            system.delete(hadoop(spark, left), True)
     return state
 
 
@@ -179,23 +193,23 @@ def _beside(path: str) -> tuple[str, str]:
     return f"{folder}/_{name}.staged", f"{folder}/_{name}.old"
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
-def _file_system(spark: SparkSession, path: str):
-    place = _hadoop(spark, path)
+def file_system(spark: SparkSession, path: str):
+    place = hadoop(spark, path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def _rename(spark: SparkSession, source: str, target: str) -> None:
-    system, place = _file_system(spark, source)
-    if not system.rename(place, _hadoop(spark, target)):
+    system, place = file_system(spark, source)
+    if not system.rename(place, hadoop(spark, target)):
         raise OSError(f"could not rename {source} to {target}")
 
 
 def export_lines(df: DataFrame, path: str, column: str = "line", compression: str = "gzip") -> None:
-    """Write one text column as compressed text; reading it back needs no option."""
+    """Write one text column as compressed text; reading it back needs no option. Lines in order: ``ordered.export_ordered``."""
     df.select(F.col(column).alias("value")).write.mode("error").option("compression", compression).text(path)
 
 
