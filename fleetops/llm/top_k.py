@@ -5,8 +5,9 @@ computed row by row: for every set bit of a query component the component's bitm
 whole bitmaps, to bitmaps of the score's bits. The top rows are then read off from the most significant score bitmap
 downward; rows that are equal to the last place stay as one boundary bitmap, of which the smallest ids are taken.
 
-Every row is indexed, in blocks of bounded size. Queries come in blocks of their own; a block of queries meets each
-block of rows once, and only its best k rows per query and block go on to the final ranking.
+Every row is indexed, in blocks of a bounded number of components, whatever the dimension. Queries come in blocks of
+their own, of about the bytes of an index block; a block of queries meets each block of rows once, and only its best k
+rows per query and block go on to the final ranking.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetops.llm.runtime import checkpointed
+from fleetops.llm.runtime import checkpointed, partitions
 
 SCALE = 64
 K = 20
 EVERY = 20  # rows whose id is divisible by this are queries
-BLOCK_ROWS = 1 << 16
-BLOCK_QUERIES = 256
+BLOCK_NUMBERS = 1 << 22  # components in a block of rows
+QUERY_NUMBERS = 1 << 19  # components in a block of queries
+TASK_QUERIES = 256  # a block of queries is not split below this to keep all tasks busy
 
 
 def quantised(embedding: Column, scale: int = SCALE) -> Column:
@@ -34,12 +36,13 @@ def quantised(embedding: Column, scale: int = SCALE) -> Column:
     return F.when(embedding.isNotNull() & ~odd, F.transform(wide, lambda x: F.floor(x * scale).cast("long")))
 
 
-def matrix(vectors: list[list[int]]) -> np.ndarray:
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     """Vectors as rows, shorter ones filled with zeros, which add nothing to an inner product."""
-    width = max(map(len, vectors), default=0)
-    if all(len(v) == width for v in vectors):
-        return np.array(vectors, dtype=np.int64).reshape(len(vectors), width)
-    return np.array([v + [0] * (width - len(v)) for v in vectors], dtype=np.int64).reshape(len(vectors), width)
+    lists = vectors.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), dtype=np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def bitmap(bits: np.ndarray) -> np.ndarray:
@@ -53,36 +56,38 @@ def members(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """Bit slices of a block of rows, ordered by id."""
+    """Bit slices of a block of rows, ordered by id. Rows have names of their own, as an id may be that of several."""
 
-    def __init__(self, ids: np.ndarray, low: np.ndarray, slices: list[np.ndarray]):
-        self.ids, self.low, self.slices = ids, low, slices
+    def __init__(self, ids: np.ndarray, names: np.ndarray, low: np.ndarray, slices: list[np.ndarray]):
+        self.ids, self.names, self.low, self.slices = ids, names, low, slices
         self.everyone = bitmap(np.ones(len(ids), dtype=bool))
 
     @classmethod
-    def of(cls, ids: np.ndarray, rows: np.ndarray) -> Index:
-        order = np.argsort(ids, kind="stable")
-        ids, rows = ids[order], rows[order]
+    def of(cls, ids: np.ndarray, rows: np.ndarray, names: np.ndarray | None = None) -> Index:
+        names = ids if names is None else names
+        order = np.lexsort((names, ids))
+        ids, names, rows = ids[order], names[order], rows[order]
         low = rows.min(axis=0)
         above = rows - low
         slices = []
         for d in range(rows.shape[1]):
             bits = int(above[:, d].max()).bit_length()
             slices.append(np.array([bitmap((above[:, d] >> b) & 1 > 0) for b in range(bits)], dtype=np.uint64))
-        return cls(ids, low, slices)
+        return cls(ids, names, low, slices)
 
-    def dumped(self) -> tuple[bytes, bytes, bytes, bytes]:
+    def dumped(self) -> tuple[bytes, bytes, bytes, bytes, bytes]:
         bits = np.array([len(s) for s in self.slices], dtype="<i4")
         data = b"".join(s.astype("<u8").tobytes() for s in self.slices)
-        return self.ids.astype("<i8").tobytes(), self.low.astype("<i8").tobytes(), bits.tobytes(), data
+        return *(x.astype("<i8").tobytes() for x in (self.ids, self.names, self.low)), bits.tobytes(), data
 
     @classmethod
-    def loaded(cls, ids: bytes, low: bytes, bits: bytes, data: bytes) -> Index:
-        names = np.frombuffer(ids, dtype="<i8")
-        words = -(-len(names) // 64)
+    def loaded(cls, *dumped: bytes) -> Index:
+        ids, names, low = (np.frombuffer(x, dtype="<i8") for x in dumped[:3])
+        bits, data = dumped[3:]
+        words = -(-len(ids) // 64)
         flat = np.frombuffer(data, dtype="<u8").reshape(-1, words)
         ends = np.cumsum(np.frombuffer(bits, dtype="<i4"))
-        return cls(names, np.frombuffer(low, dtype="<i8"), np.split(flat, ends[:-1]) if len(ends) else [])
+        return cls(ids, names, low, np.split(flat, ends[:-1]) if len(ends) else [])
 
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Bitmaps of the bits of all rows' scores, least significant first, and what to add to each score.
@@ -128,14 +133,12 @@ class Index:
         return sums, base
 
     def top(self, query: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best rows but those with the id ``own``; of equal scores the smaller ids."""
+        """(id, score) of the k best rows but the one named ``own``; of equal scores the smaller ids."""
         sums, base = self.scores(query)
         rest = self.everyone
-        at = np.searchsorted(self.ids, [own, own + 1]).tolist()
-        if at[0] < at[1]:
+        for i in np.nonzero(self.names == own)[0].tolist():
             rest = rest.copy()
-            for i in range(*at):
-                rest[i // 64] &= ~(np.uint64(1) << np.uint64(i % 64))
+            rest[i // 64] &= ~(np.uint64(1) << np.uint64(i % 64))
         sure = np.zeros_like(rest)
         for part in reversed(sums):
             higher = sure | (rest & part)
@@ -155,64 +158,86 @@ class Index:
         return [(int(self.ids[i]), t) for i, t in zip(chosen, total)]
 
 
-def block_count(rows: DataFrame, size: int) -> int:
-    return max(1, -(-rows.count() // size))
+def named(rows: DataFrame) -> DataFrame:
+    """(row, vec_id, vector): where rows have no names, their ids are taken for names, which must then differ."""
+    row = F.col("row") if "row" in rows.columns else F.col("vec_id").alias("row")
+    return rows.select(row, "vec_id", "vector")
 
 
-def build(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The index of rows (vec_id, vector): one row per block, blocks of about ``block_rows`` rows."""
-    blocks = block_count(vectors, block_rows)
+def shape(rows: DataFrame) -> tuple[int, int]:
+    """How many rows, and components of the longest vector, at least 1."""
+    count, width = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+    return count, max(1, width or 1)
+
+
+def build(vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """The index of rows (vec_id, vector, and row if ids repeat): one row per block.
+
+    Blocks have about ``block_rows`` rows, where not given as many as have ``BLOCK_NUMBERS`` components.
+    """
+    count, width = shape(vectors)
+    blocks = max(1, -(-count // (block_rows or max(1, BLOCK_NUMBERS // width))))
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        index = Index.of(ids, matrix(table.column("vector").to_pylist()))
+        ids, names = (table.column(c).to_numpy() for c in ("vec_id", "row"))
+        index = Index.of(ids, matrix(table.column("vector")), names)
         columns = [[table.column("block")[0].as_py()], *([x] for x in index.dumped())]
-        types = [pa.int32()] + [pa.binary()] * 4
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "ids", "low", "bits", "data"])
+        types = [pa.int32()] + [pa.binary()] * 5
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", *DUMPED])
+
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    fields = "block int, " + ", ".join(f"{c} binary" for c in DUMPED)
+    return named(vectors).withColumn("block", block).groupBy("block").applyInArrow(run, fields)
+
 
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    fields = "block int, ids binary, low binary, bits binary, data binary"
-    return vectors.withColumn("block", block).groupBy("block").applyInArrow(run, fields)
+DUMPED = ["ids", "names", "low", "bits", "data"]
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = K, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """The k best rows for every query (vec_id, vector): query_id, rank, vec_id, score.
+def search(index: DataFrame, queries: DataFrame, k: int = K, block_queries: int | None = None) -> DataFrame:
+    """The k best rows for every query (vec_id, vector, and row if ids repeat): query_id, rank, vec_id, score.
 
-    Rows with the query's own id are left out. Fewer rows than k give all of them, an empty index none.
+    The query's own row is left out. Fewer rows than k give all of them, an empty index none. Blocks of queries have
+    ``block_queries`` rows, where not given as many as have ``QUERY_NUMBERS`` components or as give each task one.
     """
     spark = index.sparkSession
-    groups = block_count(queries, block_queries)
-    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
+    count, width = shape(queries)
+    groups = max(-(-count * width // QUERY_NUMBERS), min(partitions(spark), -(-count // TASK_QUERIES)), 1)
+    if block_queries is not None:
+        groups = max(1, -(-count // block_queries))
+    group = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")
 
     def bundle(table: pa.Table) -> pa.Table:
-        rows = matrix(table.column("vector").to_pylist())
-        columns = [
-            [table.column("group")[0].as_py()],
-            [table.column("vec_id").to_numpy().astype("<i8").tobytes()],
-            [rows.astype("<i8").tobytes()],
-        ]
-        types = [pa.int32(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["group", "query_ids", "queries"])
-
-    bundled = queries.withColumn("group", group).groupBy("group").applyInArrow(bundle, "group int, query_ids binary, queries binary")
+        plain = [table.column("row").to_numpy(), table.column("vec_id").to_numpy(), matrix(table.column("vector"))]
+        columns = [[table.column("group")[0].as_py()], *([x.astype("<i8").tobytes()] for x in plain)]
+        types = [pa.int32()] + [pa.binary()] * 3
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["group", "own", "query_ids", "queries"])
+
+    bundled = (
+        named(queries)
+        .withColumn("group", group)
+        .groupBy("group")
+        .applyInArrow(bundle, "group int, own binary, query_ids binary, queries binary")
+    )
     met = index.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = bundled.join(met, F.col("group") == F.col("at")).select("query_ids", "queries", "ids", "low", "bits", "data")
+    pairs = bundled.join(met, F.col("group") == F.col("at")).select("own", "query_ids", "queries", *DUMPED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                names, vectors, *dumped = (c[i].as_py() for c in batch.columns)
+                own, ids, vectors, *dumped = (c[i].as_py() for c in batch.columns)
                 block = Index.loaded(*dumped)
-                own = np.frombuffer(names, dtype="<i8")
+                own, ids = (np.frombuffer(x, dtype="<i8").tolist() for x in (own, ids))
                 rows = np.frombuffer(vectors, dtype="<i8").reshape(len(own), -1)
-                found = [(int(o), v, s) for o, row in zip(own, rows) for v, s in block.top(row, k, int(o))]
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"]
-                    )
-
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                for low in range(0, len(own), TASK_QUERIES):
+                    some = range(low, min(len(own), low + TASK_QUERIES))
+                    found = [(own[j], ids[j], v, s) for j in some for v, s in block.top(rows[j], k, own[j])]
+                    if found:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, pa.int64()) for c in zip(*found)], names=["own", "query_id", "vec_id", "score"]
+                        )
+
+    best = pairs.mapInArrow(run, "own long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("own").orderBy(F.col("score").desc(), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -221,12 +246,14 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -
     """Rows (vec_id, embedding) searched for the k best others of each row whose id is divisible by ``every``.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Rows that agree in
-    id and vector are one row; rows that share an id are not found by each other. Vectors of fewer components count as
-    filled with zeros. Scaled components are to stay below 2**26 or so, that scores fit 63 bits. Other columns are not
-    read.
+    id and vector are one row. Rows that share an id with different vectors are rows of their own: each is a query with
+    its own k ranks, and they find each other. Vectors of fewer components count as filled with zeros. Scaled components
+    are to stay below 2**26 or so, that scores fit 63 bits. Other columns are not read.
     """
     vectors = rows.select(F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("vector"))
-    vectors = checkpointed(vectors.filter("vec_id IS NOT NULL AND vector IS NOT NULL").distinct())
+    vectors = vectors.filter("vec_id IS NOT NULL AND vector IS NOT NULL").distinct()
+    # Named before they are kept, so that a lost task's rows have their names again.
+    vectors = checkpointed(vectors.withColumn("row", F.monotonically_increasing_id()))
     return search(build(vectors), vectors.filter(F.col("vec_id") % every == 0), k)
 
 

@@ -37,9 +37,8 @@ def test_against_brute_force(spark, n, dims, k):
     assert got == brute(vectors, k, 5)
 
 
-def test_ties_and_blocks(spark, monkeypatch):
+def test_ties_and_blocks(spark):
     """One vector that a third of the rows share, spread over small blocks; the smaller ids win."""
-    monkeypatch.setattr(T, "BLOCK_ROWS", 50)
     rng = random.Random(1)
     vectors = [(i, [0.5, -0.25, 0.125] if i % 3 == 0 else [rng.choice([-0.5, 0.0, 0.25]) for _ in range(3)]) for i in range(400)]
     df = table(spark, vectors)
@@ -71,6 +70,35 @@ def test_awkward_rows(spark):
     assert top_k(table(spark, [(1, [1.0])])).count() == 0
 
 
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    """A third of the rows share the id 0, each with a vector of its own: all are queries, and find each other."""
+    rng = np.random.default_rng(5)
+    plain = [(0 if i % 3 == 0 else i, [float(x) for x in rng.integers(-9, 9, 3) / 16]) for i in range(90)]
+    vectors = list({(i, tuple(v)): (i, v) for i, v in plain}.values())
+    want = []
+    for q, (i, a) in enumerate(vectors):
+        if i % 20 == 0:
+            scored = [(-sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b)), j) for r, (j, b) in enumerate(vectors) if r != q]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(sorted(scored)[:7], start=1)]
+    got = rows(top_k(table(spark, plain), 7, 20), "query_id", "rank", "vec_id", "score")
+    assert got == sorted(want, key=repr)
+
+
+def test_blocks_are_bounded_by_components(spark, monkeypatch):
+    """Ten times the dimensions give a tenth of the rows a block, and the same results."""
+    monkeypatch.setattr(T, "BLOCK_NUMBERS", 2_000)
+    monkeypatch.setattr(T, "QUERY_NUMBERS", 400)
+    rng = np.random.default_rng(6)
+    for dims in (4, 40):
+        vectors = [(i, [float(x) for x in rng.normal(0, 0.3, dims)]) for i in range(200)]
+        df = table(spark, vectors)
+        quantised = df.select("vec_id", T.quantised(df["embedding"]).alias("vector"))
+        sizes = [len(b[0]) // 8 for b in build(quantised).select("ids").collect()]
+        assert sum(sizes) == 200 and max(sizes) * dims < 2 * 2_000
+        got = rows(top_k(df, 6, 10), "query_id", "rank", "vec_id", "score")
+        assert got == brute(vectors, 6, 10)
+
+
 def test_scores_by_bitmaps_are_exact():
     rng = np.random.default_rng(3)
     rows_ = rng.integers(-1000, 1000, (130, 6))
