@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ GAP = r"[ \t\n\x0B\f\r]+"
 # An odd multiplier has an inverse modulo 2**64, so a run's hash does not depend on where it stands.
 BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
+# Sums modulo 2**64 are blind to some texts of a thousand letters; words above so many bytes have digests.
+LONG_WORD = 64
 
 
 def words(text: Column) -> Column:
@@ -60,7 +64,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         up, down = powers(BASE, len(letters) + 1)
         sums = np.zeros(len(letters) + 1, dtype=np.uint64)
         np.cumsum(table[letters] * up[:-1], out=sums[1:])
-        out.append(mix64((sums[ends] - sums[starts]) * down[starts] + sizes.astype(np.uint64)))
+        hashes = mix64((sums[ends] - sums[starts]) * down[starts] + sizes.astype(np.uint64))
+        for i in np.nonzero(sizes > LONG_WORD)[0].tolist():
+            hashes[i] = int.from_bytes(blake2b(some[i], digest_size=8).digest(), "little")
+        out.append(hashes)
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 

@@ -5,6 +5,7 @@ from hashlib import sha256
 import pytest
 
 from fleetops.llm.substring import COVERS, cover_for, remove_repeats
+from fleetops.llm.words import word_hashes
 from tests.llm.helpers import AWKWARD, documents, rows, words
 
 
@@ -62,3 +63,13 @@ def test_awkward_rows(spark):
     long = " ".join(str(i) for i in range(40))
     check(spark, [long, long, long + " x", None], 35, ids=[7, 7, 7, None])
     assert remove_repeats(documents(spark, ["a"]).limit(0), 35).count() == 0
+
+
+def test_words_that_sums_cannot_tell_apart(spark):
+    """Thue-Morse words and their complements have equal sums modulo 2**64 in any odd base."""
+    morse = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    for n in (64, 65, 1024, 2048):
+        pair = word_hashes([morse[:n].encode(), other[:n].encode(), morse[:n].encode()]).tolist()
+        assert pair[0] == pair[2] != pair[1]
+    check(spark, [f"x y {morse} z w", f"x y {other} z w", f"v y {morse} z u"], 3)
