@@ -182,7 +182,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     spark = docs.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)  # readers find it even if no file follows
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)  # readers find it even if no file follows
+    # With its scheme and host, so that tasks write where Spark will read, whatever the default file system is.
+    uri = store.makeQualified(place).toUri().toString()
+    uri = f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
     path = tokenizer or default_path()
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -192,7 +196,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         from pyarrow import fs
         from pyspark import TaskContext
 
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system, root = fs.FileSystem.from_uri(uri)
         system.create_dir(root, recursive=True)
         part, encode, serial = TaskContext.get().partitionId(), encoder(path), 0
         end = np.array([end_id], dtype=np.uint32)
@@ -229,7 +233,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
 
 def read_token_files(spark, folder: str, files: DataFrame) -> DataFrame:
-    """Documents read back from the files: doc_id, start, n_tokens, ids_crc32 (of little-endian 32-bit ids)."""
+    """Documents read back from the files: doc_id, start, n_tokens, ids_crc32 (of little-endian 32-bit ids).
+
+    A listed file that is not in the folder is an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +259,8 @@ def read_token_files(spark, folder: str, files: DataFrame) -> DataFrame:
 
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
     name = F.element_at(F.split("path", "/"), -1).alias("file")
+    if lost := [r["file"] for r in files.join(listed.select(name), "file", "left_anti").select("file").limit(3).collect()]:
+        raise FileNotFoundError(f"listed, but not in {folder}: {lost}")
     found = listed.select(name, "content").mapInArrow(
         read, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long"
     )

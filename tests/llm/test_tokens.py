@@ -81,6 +81,17 @@ def test_repeated_and_null_ids_and_no_rows(spark, tmp_path):
     assert none.count() == 0 and read_token_files(spark, str(tmp_path / "none"), none).count() == 0
 
 
+def test_folders_as_users_write_them(spark, tmp_path):
+    """A folder with or without its scheme, or with a space, is written and read alike; a file that is gone is an error."""
+    docs = documents(spark, ["a b", "c"])
+    for folder in (str(tmp_path / "plain"), f"file:{tmp_path}/one", f"file://{tmp_path}/three", str(tmp_path / "with space")):
+        assert read_token_files(spark, folder, write_token_files(docs, folder)).count() == 2
+    files = write_token_files(docs, str(tmp_path / "lost"))
+    (tmp_path / "lost" / files.first()["file"]).unlink()
+    with pytest.raises(FileNotFoundError, match="pfor"):
+        read_token_files(spark, str(tmp_path / "lost"), files)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)
