@@ -2,13 +2,15 @@
 
 Equal sets are one class. N-grams are ordered rare first, by a table of counts over all documents; two classes as
 similar as asked must share an n-gram among the first few of each (prefix filter). Classes are brought together by
-their prefix n-grams, cut into runs of comparable length (length filter) and checked for room behind the shared n-gram
-(positional filter). All classes of a run belong to its least one, the pivot; runs with the same classes have the same
-pivot, so a class's text is sent to a few pivots and not to each n-gram. There, pairs pass a filter on how their
-n-grams spread over hash ranges (suffix filter) and are verified by exact overlap, each pair under one pivot only.
-
-What leaves a task is a forest of links, never all pairs. A pivot with more text than one task should hold is split
-into blocks, and its pairs into pairs of blocks.
+their prefix n-grams, cut into runs of comparable length (length filter), and these where places of the shared n-gram lie
+so far apart that too little can be shared around it (positional filter). All classes of a run belong to its least one,
+the pivot; runs with the same classes have the same pivot, so a class's text is sent to a few pivots and not to each
+n-gram. There, pairs pass a filter on how their n-grams spread over hash ranges (suffix filter) and are verified by exact
+overlap, each pair under one pivot only.
+
+What leaves a task is a forest of links, never all pairs. A pivot with more text or more classes than one task should
+hold is split into blocks, and its pairs into pairs of blocks; what is known of such pivots is joined to their classes by
+salted keys.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from fleetops.llm.components import components
-from fleetops.llm.runtime import carried, checkpointed, partitions, unpacked
+from fleetops.llm.runtime import carried, checkpointed, partitions, stored, unpacked
 from fleetops.llm.tokens import slices
 from fleetops.llm.words import BASE, mix64, powers, word_hashes
 
@@ -32,6 +34,8 @@ PERCENT = 90
 SLOTS = 1 << 22  # places of the table of counts: 16 MB, whatever the input
 SLOT_BLOCKS = 64
 BLOCK_GRAMS = 1_000_000  # n-grams of the classes that one block of a pivot holds
+BLOCK_CLASSES = 10_000  # and how many classes, as verifying takes time by their pairs
+SALTS = 32  # keys among which the classes of a pivot are dealt to learn of its blocks
 RANGES = 64  # hash ranges of the suffix filter
 FLUSH = 1_000_000  # prefix n-grams that a task gathers before it sends them off
 
@@ -244,21 +248,25 @@ def pivots(entries: DataFrame, parts: int, percent: int) -> DataFrame:
         # A run ends where the next class is too long for the one before, so no similar pair spans two runs.
         head = np.ones(len(gram), dtype=bool)
         head[1:] = (gram[1:] != gram[:-1]) | (100 * length[:-1] < percent * length[1:])
+        start, run_of = np.nonzero(head)[0], np.cumsum(head) - 1
+        shortest, longest = length[start], length[np.append(start[1:], len(gram)) - 1]
+        # In order of places, two classes share at most the longer one's n-grams less the distance of the places.
+        reach = longest - needed(np.maximum(shortest, -(-percent * longest // 100)), longest, percent)
+        order = np.lexsort((place, run_of))
+        owner, place, length, run_of = owner[order], place[order], length[order], run_of[order]
+        head = np.ones(len(gram), dtype=bool)
+        head[1:] = (run_of[1:] != run_of[:-1]) | (place[1:] - place[:-1] > reach[run_of[1:]])
         run_of = np.cumsum(head) - 1
         count = np.bincount(run_of)
-        two = count[run_of] == 2
         # Of runs of two, the one pair is checked: what can still be shared before and behind this n-gram.
-        first = np.nonzero(two & head)[0]
-        room = (
-            np.minimum(place[first], place[first + 1])
-            + 1
-            + np.minimum(length[first] - place[first], length[first + 1] - place[first + 1])
-            - 1
+        first = np.nonzero((count[run_of] == 2) & head)[0]
+        room = np.minimum(place[first], place[first + 1]) + np.minimum(
+            length[first] - place[first], length[first + 1] - place[first + 1]
         )
         out_of_reach = np.zeros(len(count), dtype=bool)
         out_of_reach[run_of[first[room < needed(length[first], length[first + 1], percent)]]] = True
         live = (count[run_of] > 1) & ~out_of_reach[run_of]
-        least = owner[np.nonzero(head)[0]][run_of]
+        least = np.minimum.reduceat(owner, np.nonzero(head)[0])[run_of]
         pairs = np.unique(np.stack([least[live], owner[live]], axis=1), axis=0)
         for low in range(0, len(pairs), 20_000):
             some = pairs[low : low + 20_000]
@@ -362,13 +370,18 @@ def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that share a pivot, with their texts fetched from one document each."""
     spark = docs.sparkSession
-    load = members.groupBy("pivot").agg(F.sum("size").alias("load"))
-    blocks = load.select(F.col("pivot").alias("p"), F.ceil(F.col("load") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    # A class counts for its n-grams, or for its share of the classes of a block if that is more.
+    size = F.greatest("size", F.lit(BLOCK_GRAMS // BLOCK_CLASSES))
+    load = members.groupBy("pivot").agg(F.ceil(F.sum(size) / BLOCK_GRAMS).cast("int").alias("blocks")).filter("blocks > 1")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    large = stored(load.select(F.col("pivot").alias("p"), "blocks", salts.alias("s")))
     homes = members.groupBy("member").agg(F.sort_array(F.collect_set("pivot")).alias("homes"))
     block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = (
-        members.join(blocks, F.col("pivot") == F.col("p"))
+        members.withColumn("salt", F.pmod(F.hash("member"), F.lit(SALTS)))
+        .join(large, (F.col("pivot") == F.col("p")) & (F.col("salt") == F.col("s")), "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", block)
         .withColumn("other", other)
         .select(

@@ -14,6 +14,7 @@ from fleetops.llm.jaccard import (
     gram_sets,
     join,
     one_of_each,
+    pivots,
     representatives,
     slot,
     with_texts,
@@ -83,6 +84,28 @@ def test_a_large_family_in_small_blocks(spark, monkeypatch):
     assert got == sorted(brute(texts, 3, 90), key=repr)
 
 
+def test_many_short_classes_in_small_blocks(spark, monkeypatch):
+    """Classes of few n-grams are counted too when a pivot is split."""
+    rng = random.Random(5)
+    texts = family(rng, 40, 200, 3) + [" ".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(60)]
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 20)
+    got = rows(join(documents(spark, texts)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute(texts, 3, 90), key=repr)
+
+
+@pytest.mark.parametrize("places, kept", [((0, 0, 9), {0, 1}), ((0, 5, 9), {0, 1, 2}), ((0, 6, 12, 12), {2, 3}), ((0, 6), set())])
+def test_classes_far_apart_around_an_n_gram_do_not_meet(spark, places, kept):
+    """At 90 percent two sets of 100 share 95, so a shared n-gram's places differ by 5 at most."""
+    names = [bytes([i]) * 16 for i in range(len(places))]
+    columns = [[100] * len(names), [7] * len(names), range(len(names)), places]
+    packed = [np.array(list(c), dtype=t).tobytes() for c, t in zip(columns, ("<u4", "<u8", "<u4", "<u4"))]
+    fields = "part int, keys binary, sizes binary, grams binary, owners binary, places binary"
+    entries = spark.createDataFrame([(0, b"".join(names), *packed)], fields)
+    found = pivots(entries, 2, 90).collect()
+    assert {bytes(r["member"])[0] for r in found} == kept
+    assert {bytes(r["pivot"])[0] for r in found} == ({min(kept)} if kept else set())
+
+
 def test_forest_joins_what_all_pairs_would():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 80).astype(np.uint64)
