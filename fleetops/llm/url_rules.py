@@ -1,8 +1,9 @@
 """URL filter by association rules.
 
-URLs become sets of tokens: the host's labels, the path's segments and the names of query fields. From labelled URLs
-Spark's FP-growth mines the combinations of tokens that go with unwanted pages; rules keep those of enough support and
-confidence, of up to MAX_TOKENS tokens, and drop each rule of which a part is as confident. Rules are matched by an
+URLs become sets of tokens: the host's labels, the path's segments and the names of query fields. From all tokens of
+labelled URLs Spark's PrefixSpan, pattern growth with a bound on the length of patterns, mines the combinations of up to
+MAX_TOKENS tokens that go with unwanted pages: FP-growth knows no such bound, and a URL of many tokens has too many
+subsets. Rules keep those of enough support and confidence, and drop each rule of which a part is as confident. Rules are matched by an
 inverted index: each is listed under its rarest token only, a URL's tokens look up the rules listed under them, and a
 rule found so fits if the URL has all its tokens. Hosts that are listed by hand are judged by the longest listed rule.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
 # The hosts and paths that are judged by hand.
 LISTED = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK), ("org/fr/", ALLOW))
-LEARNED_TOKENS = 16  # the miner sees so many tokens of a URL, host first; matching sees all
 MAX_TOKENS = 3  # tokens of a rule
 MIN_SHARE = 0.002  # share of the labelled URLs that have a rule's tokens and are unwanted
 MIN_ROWS = 3  # and how many of them at least
 MIN_CONFIDENCE = 0.5  # share of unwanted ones among the labelled URLs that have a rule's tokens
 UNWANTED = " "  # the mined item for an unwanted page; no token is a space
+LOCAL_ITEMS = 1_000_000  # tokens that the miner brings together in one task, those of the URLs with a pattern's first tokens
 
 
 def lower_ascii(text: Column) -> Column:
@@ -73,22 +74,27 @@ def mined(labelled: DataFrame) -> DataFrame:
     """Rules (rule, confidence, n) from rows (tokens, unwanted): ``rule`` is a sorted array, ``n`` its unwanted URLs.
 
     Rows without a label take no part, nor do empty token sets. No labelled row, or no unwanted one, gives no rules. What the
-    driver gets is the miner's list of frequent tokens, at most (LEARNED_TOKENS + 1) / MIN_SHARE of them.
+    driver gets is the miner's list of frequent tokens, at most 1 / MIN_SHARE times those of a mean URL and one, and the
+    frequent patterns that begin those of more than LOCAL_ITEMS tokens.
     """
     spark = labelled.sparkSession
-    basket = F.slice("tokens", 1, LEARNED_TOKENS)
-    marked = F.when(F.col("unwanted"), F.concat(basket, F.array(F.lit(UNWANTED)))).otherwise(basket)
-    known = labelled.filter(F.col("unwanted").isNotNull() & (F.size("tokens") > 0)).select(marked.alias("items"), "unwanted")
-    baskets = checkpointed(known)
+    marked = F.when(F.col("unwanted"), F.concat("tokens", F.array(F.lit(UNWANTED)))).otherwise(F.col("tokens"))
+    known = labelled.filter(F.col("unwanted").isNotNull() & (F.size("tokens") > 0))
+    baskets = checkpointed(known.select(F.array(marked).alias("sequence"), "unwanted"))
     total, bad = baskets.agg(F.count("*"), F.count_if("unwanted")).first()
     least = max(MIN_ROWS, -int(-MIN_SHARE * total // 1))
     if bad < least:
         return spark.createDataFrame([], "rule array<string>, confidence double, n long")
-    # Half a row less, so that rounding cannot ask for one more.
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=MIN_CONFIDENCE).fit(baskets.select("items"))
-    rules = model.associationRules.filter((F.col("consequent")[0] == UNWANTED) & (F.size("antecedent") <= MAX_TOKENS))
-    n = F.round(F.col("support") * total).cast("long").alias("n")
-    rules = checkpointed(rules.select(F.array_sort("antecedent").alias("rule"), "confidence", n))
+    # Half a row less, so that rounding cannot ask for one more. A sequence of one set has that set's subsets as patterns.
+    miner = PrefixSpan(minSupport=(least - 0.5) / total, maxPatternLength=MAX_TOKENS + 1, maxLocalProjDBSize=LOCAL_ITEMS)
+    frequent = miner.findFrequentSequentialPatterns(baskets.select("sequence")).select(F.col("sequence")[0].alias("items"), "freq")
+    unwanted = F.array_contains("items", UNWANTED)
+    counted = frequent.groupBy(F.array_sort(F.array_remove("items", UNWANTED)).alias("rule")).agg(
+        F.max(F.when(unwanted, F.col("freq"))).alias("n"), F.max(F.when(~unwanted, F.col("freq"))).alias("urls")
+    )
+    confidence = F.col("n").cast("double") / F.col("urls")
+    kept = counted.filter(F.col("n").isNotNull() & F.size("rule").between(1, MAX_TOKENS)).select("rule", confidence.alias("confidence"), "n")
+    rules = checkpointed(kept.filter(F.col("confidence") >= MIN_CONFIDENCE))
     # A rule goes if a part of it is as confident: all parts of one or two of its tokens are looked up.
     singles = F.transform("rule", lambda x: F.array(x))
     without_one = F.transform("rule", lambda x: F.array_remove("rule", x))
