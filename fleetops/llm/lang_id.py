@@ -42,6 +42,7 @@ LEAST_FIT = -7.0  # a filter keeps documents from here on, in usual deviations o
 WORST_UNIT = -2.0  # no unit counts as less likely, by n-gram, so that a few codes or names do not outweigh a text
 LEAST_SPREAD = 0.1  # learned rows are taken to differ by this at least
 UNKNOWN = "und"
+SLICE = 1 << 17  # bytes of text that are taken to n-grams at once: some 250 bytes of arrays each
 
 
 def letters() -> np.ndarray:
@@ -132,7 +133,7 @@ def gram_counts(labelled: DataFrame, most: int = MOST_LANGS) -> dict[str, np.nda
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()
-            for low, high in slices([len(t) for t in texts]):
+            for low, high in slices([len(t) for t in texts], SLICE):
                 here = sorted(set(langs[low:high]))
                 number = np.array([here.index(x) for x in langs[low:high]], dtype=np.int64)
                 bucket, owner, _ = grams(texts[low:high])
@@ -206,7 +207,7 @@ def usual_rows(labelled: DataFrame, langs: list[str], tables: np.ndarray) -> np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for low, high in slices([len(t) for t in texts]):
+            for low, high in slices([len(t) for t in texts], SLICE):
                 bucket, owner, found, unit = grams_and_units(texts[low:high])
                 if not len(bucket):
                     continue
@@ -282,7 +283,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
         bits = model.weights.shape[1]
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            for low, high in slices([len(t) for t in texts]):
+            for low, high in slices([len(t) for t in texts], SLICE):
                 bucket, owner, found, unit = grams_and_units(texts[low:high], numbered=model.usual is not None)
                 n = high - low
                 count = np.maximum(np.bincount(owner, minlength=n), 1)

@@ -1,9 +1,12 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from fleetops.llm import lang_id
 from fleetops.llm.lang_id import AMBIGUOUS, SHARPNESS, UNKNOWN, code, fit, gram_counts, grams, known_language, labelled_part, op2_lang_id, predict
 from tests.llm.helpers import AWKWARD, documents, rows
 
@@ -138,3 +141,19 @@ def test_learned_languages_have_a_bound(spark):
     rows_ = [("a b c", f"x{i}") for i in range(50)] + [("le la les", "fr")] * 3 + [("the of", "en")] * 5
     labelled = spark.createDataFrame(rows_, "text string, lang string")
     assert sorted(gram_counts(labelled, most=3)) == ["en", "fr", "x0"]
+
+
+def test_batches_of_long_texts_take_little_memory(spark, monkeypatch):
+    """Arrays of n-grams are held for a small part of a batch, as all workers of an executor share its memory."""
+    docs = documents(spark, ["the cat and the dog", "le chat et le chien"], langs=["en", "fr"])
+    model = fit(docs.select("text", "lang"))
+    lang_id.letters()
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = predict(docs.select("text"), model)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["le chat and the dog, " * 200] * 500)})
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == 500
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
