@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from fleetops.llm.components import components
-from fleetops.llm.runtime import carried, checkpointed, partitions, stored, unpacked
+from fleetops.llm.runtime import carried, checkpointed, in_arrow, partitions, stored, unpacked
 from fleetops.llm.tokens import slices
 from fleetops.llm.words import BASE, mix64, powers, word_hashes
 
@@ -98,7 +98,7 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
             )
 
     hashed = texts_of(docs).withColumn("text_hash", F.xxhash64("text"))
-    return hashed.mapInArrow(run, "doc_id long, n_shingles long, class binary, text_hash long")
+    return in_arrow(hashed, run, "doc_id long, n_shingles long, class binary, text_hash long")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -116,14 +116,14 @@ def gram_counts(docs: DataFrame, n: int = N) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([raw], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.int64)
+        counts = np.zeros(SLOTS, dtype=np.uint32)
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             for low, high in slices([len(t) for t in texts]):
                 grams = np.concatenate(gram_sets(texts[low:high], n))
                 np.add.at(counts, slot(grams), 1)
         if counts.any():
-            yield from blocks(np.minimum(counts, (1 << 32) - 1))
+            yield from blocks(counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -137,8 +137,8 @@ def gram_counts(docs: DataFrame, n: int = N) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([raw], pa.binary())})
 
     fields = "block int, counts binary"
-    by_task = texts_of(docs).select("text").mapInArrow(run, fields)
-    summed = by_task.repartition(SLOT_BLOCKS, "block").mapInArrow(add, fields)
+    by_task = in_arrow(texts_of(docs).select("text"), run, fields)
+    summed = in_arrow(by_task.repartition(SLOT_BLOCKS, "block"), add, fields)
     counts = np.zeros(SLOTS, dtype=np.uint32)
     for row in summed.collect():
         counts[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["counts"], dtype="<u4")
@@ -193,8 +193,8 @@ def prefix_entries(docs: DataFrame, counts, parts: int, n: int, percent: int) ->
                     rarity = table[slot(found)]
                     first = np.lexsort((found, rarity))[:size]
                     grams.append(found[first])
-                    owners.append(np.full(size, len(names), dtype=np.int64))
-                    places.append(np.arange(size))
+                    owners.append(np.full(size, len(names), dtype=np.uint32))
+                    places.append(np.arange(size, dtype=np.uint32))
                     names.append(name)
                     lengths.append(len(found))
                     held += size
@@ -206,7 +206,7 @@ def prefix_entries(docs: DataFrame, counts, parts: int, n: int, percent: int) ->
             yield flush()
 
     fields = "part int, keys binary, sizes binary, grams binary, owners binary, places binary"
-    return texts_of(docs).select("text").mapInArrow(run, fields)
+    return in_arrow(texts_of(docs).select("text"), run, fields)
 
 
 def pivots(entries: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -279,7 +279,7 @@ def pivots(entries: DataFrame, parts: int, percent: int) -> DataFrame:
                 names=["pivot", "member", "size"],
             )
 
-    met = entries.repartition(parts, "part").mapInArrow(run, "pivot binary, member binary, size long")
+    met = in_arrow(entries.repartition(parts, "part"), run, "pivot binary, member binary, size long")
     return met.distinct()
 
 
@@ -360,7 +360,7 @@ def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(new, pa.bool_()))
 
     texts = texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash"), "text")
-    found = texts.mapInArrow(once, "id long, hash long, text string").join(
+    found = in_arrow(texts, once, "id long, hash long, text string").join(
         wanted.withColumn("rep", F.coalesce("rep", F.lit(NO_ID))), (F.col("id") == F.col("rep")) & (F.col("hash") == F.col("rep_hash"))
     )
     nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))
@@ -438,7 +438,7 @@ def links(docs: DataFrame, reps: DataFrame, members: DataFrame, n: int, percent:
         if len(rows) > 1 and (out := verify()):
             yield batch_of(out)
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return in_arrow(dealt, run, "a binary, b binary")
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -490,7 +490,7 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first")
     found = join(docs, n, percent).filter(F.col("class").isNotNull()).groupBy("root").agg(first)
     kept = found.select(F.col("first.class").alias("kept"), F.coalesce("first.doc_id", F.lit(NO_ID)).alias("kept_id"))
-    tagged = own.mapInArrow(tag, schema).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    tagged = in_arrow(own, tag, schema).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     joined = tagged.join(kept, (F.col("class") == F.col("kept")) & (F.col("id") == F.col("kept_id")), "left")
     nth = F.row_number().over(Window.partitionBy("class", "id").orderBy("hash"))
     chosen = F.col("class").isNull() | (F.col("kept").isNotNull() & (F.col("nth") == 1))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetops.llm.runtime import carried, process_cache, unpacked
+from fleetops.llm.runtime import carried, in_arrow, process_cache, unpacked
 from fleetops.llm.tokens import slices
 
 BUCKETS = 1 << 15  # n-grams of one to three characters are counted in so many hashed places
@@ -154,8 +154,8 @@ def gram_counts(labelled: DataFrame, most: int = MOST_LANGS) -> dict[str, np.nda
             yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": [total.tobytes()]})
 
     fields = "lang string, counts binary"
-    by_task = labelled.select("text", "lang").mapInArrow(run, fields)
-    summed = by_task.repartition("lang").mapInArrow(add, fields)
+    by_task = in_arrow(labelled.select("text", "lang"), run, fields)
+    summed = in_arrow(by_task.repartition("lang"), add, fields)
     return {r["lang"]: np.frombuffer(r["counts"], dtype=np.int64) for r in summed.collect()}
 
 
@@ -215,7 +215,7 @@ def usual_rows(labelled: DataFrame, langs: list[str], tables: np.ndarray) -> np.
                 rows = [batch.column(1).slice(low, high - low), pa.array(mean), pa.array(spread)]
                 yield pa.RecordBatch.from_arrays(rows, names=["lang", "mean", "spread"]).filter(pa.array(found))
 
-    measured = labelled.select("text", "lang").mapInArrow(run, "lang string, mean double, spread double")
+    measured = in_arrow(labelled.select("text", "lang"), run, "lang string, mean double, spread double")
     middle = F.percentile_approx("mean", [0.05, 0.5], 10_000).alias("mean")
     found = {r["lang"]: r for r in measured.groupBy("lang").agg(middle, F.percentile_approx("spread", 0.5, 10_000).alias("spread")).collect()}
     usual = []
@@ -313,7 +313,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
                     names=result.names,
                 )
 
-    return docs.mapInArrow(run, result)
+    return in_arrow(docs, run, result)
 
 
 def known_language(predicted: DataFrame, model: Model) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetops.llm.runtime import checkpointed, partitions
+from fleetops.llm.runtime import checkpointed, in_arrow, partitions
 from fleetops.llm.tokens import default_path, encoder, slices
 
 CAPACITY = 4096
@@ -106,7 +106,7 @@ def pieces(
 
     text = F.coalesce("text", F.lit("")).alias("text")
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(cut, fields)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), text), cut, fields)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -153,7 +153,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ranked.mapInArrow(take, f"{fields}, sequence_id long, offset long")
+    return in_arrow(ranked, take, f"{fields}, sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -1,18 +1,23 @@
-"""What the operators need of a session: partitions, shared storage, and a cache in each worker process."""
+"""What the operators need of a session: partitions, shared storage, Arrow tasks, and a cache in each worker process."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINTS = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1000  # rows of whole texts in an Arrow batch: it is held several times, by the executor and by its worker
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,6 +56,33 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS rows at most from now on, in this session; a smaller number that it has stays."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= ROWS:
+        spark.conf.set(BATCH_ROWS, str(ROWS))
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine, where its C library can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def in_arrow(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str
+) -> DataFrame:
+    """``mapInArrow`` whose tasks give back what they held: workers live on, and share the memory of their executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def free_name(taken: Iterable[str], name: str) -> str:
     """The name, led by underscores until no other column has it, whatever its case."""
     low = {t.lower() for t in taken}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetops.llm.runtime import partitions
+from fleetops.llm.runtime import in_arrow, partitions
 from fleetops.llm.tokens import slices
 from fleetops.llm.words import window_hashes, word_hashes
 
@@ -181,8 +181,8 @@ def repeated(entries: DataFrame, parts: int) -> DataFrame:
             found = [differences(place[a:b]) for a, b in zip(starts.tolist(), ends)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "found"])
 
-    counted = entries.repartition(parts, "part").mapInArrow(count, FOUND)
-    gathered = counted.repartition(parts, "batch").mapInArrow(gather, "key binary, found binary")
+    counted = in_arrow(entries.repartition(parts, "part"), count, FOUND)
+    gathered = in_arrow(counted.repartition(parts, "batch"), gather, "key binary, found binary")
     # Rows that agree in id and text have one key; all of their places repeat, in each of them.
     return gathered.groupBy("key").agg(F.get(F.collect_set("found"), F.lit(0)).alias("found"))
 
@@ -221,7 +221,7 @@ def anchors(texts: DataFrame, parts: int, window: int, cover: Cover) -> DataFram
                     yield from gathered.flush()
         yield from gathered.flush()
 
-    return texts.select("key", "text").mapInArrow(run, ENTRIES)
+    return in_arrow(texts.select("key", "text"), run, ENTRIES)
 
 
 def windows(joined: DataFrame, parts: int, window: int, cover: Cover) -> DataFrame:
@@ -250,7 +250,7 @@ def windows(joined: DataFrame, parts: int, window: int, cover: Cover) -> DataFra
                     yield from gathered.flush()
         yield from gathered.flush()
 
-    return joined.mapInArrow(run, ENTRIES)
+    return in_arrow(joined, run, ENTRIES)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     joined = with_found(second)
     row = joined.schema["row"].dataType.simpleString()
     fields = f"row {row}, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,end:int>>"
-    done = joined.mapInArrow(run, fields + ", text string" * with_text)
+    done = in_arrow(joined, run, fields + ", text string" * with_text)
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if with_text or c != "text"]
     return done.select(*columns, *added)
 
