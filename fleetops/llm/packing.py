@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetops.llm.runtime import checkpointed, in_arrow, partitions
-from fleetops.llm.tokens import default_path, encoder, slices
+from fleetops.llm.tokens import TEXTS, default_path, encoder, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -94,7 +94,7 @@ def pieces(
         encode, end = encoder(path), np.array([end_id], dtype=np.uint32)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for low, high in slices([len(t) for t in texts]):
+            for low, high in slices([len(t) for t in texts], TEXTS):
                 rows = []
                 for doc_id, found in zip(doc_ids[low:high], encode(texts[low:high])):
                     ids = np.concatenate([found, end])

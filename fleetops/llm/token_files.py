@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetops.llm.runtime import partitions, shared_folder, stored
-from fleetops.llm.tokens import default_path, encoder, slices
+from fleetops.llm.tokens import TEXTS, default_path, encoder, slices
 
 MAGIC = b"PFORIDS1"
 BLOCK, LANES = 128, 4
@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             names = batch.column(0).to_pylist()
-            for low, high in slices([len(t) for t in texts]):
+            for low, high in slices([len(t) for t in texts], TEXTS):
                 for name, found in zip(names[low:high], encode(texts[low:high])):
                     keys.append(name)
                     ids.append(np.concatenate([found, end]))

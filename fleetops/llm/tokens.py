@@ -14,11 +14,14 @@ from array import array
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from fleetops.llm.runtime import process_cache
 
 DEFAULT_FILE = "word_bpe_49k.json"
 REMEMBERED = 400_000  # words in each of the two generations that a worker remembers
+TEXTS = 1 << 22  # bytes of text to give an encoder at once
 
 
 def default_path() -> str:
@@ -49,7 +52,8 @@ LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 class Encoder:
     """Ids of texts by the tokenizer file at ``path``, as arrays of unsigned 32-bit numbers.
 
-    A new word of plain characters goes to the library's model piece by piece, any other word to the whole library.
+    The words of all texts given at once are numbered by Arrow, so each different one is looked up once. A new word of
+    plain characters goes to the library's model piece by piece, any other word to the whole library.
     """
 
     def __init__(self, path: str):
@@ -68,9 +72,9 @@ class Encoder:
             cut = shape["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
             own = cut.replace("\\p{L}", LETTERS).replace("\\p{N}", "0-9")
             special = [t["content"] for t in shape.get("added_tokens") or ()]
-            odd = "|".join([f"[^\n{PLAIN}]", *map(re.escape, special)])
-            self.cut = re.compile(own).findall
-            self.odd = re.compile(f"(?m)^.*?(?:{odd}).*$").findall
+            self.cut = re.compile(f"\n|{own}").findall  # of words in lines
+            self.odd = re.compile(f"(?m)^[{PLAIN}]*+[^\n{PLAIN}].*$").findall
+            self.special = re.compile(f"(?m)^.*?(?:{'|'.join(map(re.escape, special)) or '(?!)'}).*$").findall
             byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             letters = "".join(map(chr, range(0x100, 0x800)))  # two bytes each, between them every byte beyond ASCII
             shown = "".join(p for p, _ in byte_level.pre_tokenize_str(letters))
@@ -85,13 +89,15 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def learn_pieces(self, new: list[str]) -> None:
+        far = [p for p in new if not p.isascii()]
+        shown = dict(zip(far, "\n".join(far).encode().decode("latin-1").translate(self.shown).split("\n")))
+        tokenize = self.model.tokenize
+        self.pieces.update((p, array("I", [t.id for t in tokenize(shown.get(p, p))]).tobytes()) for p in new)
 
     def learn(self, new: list[bytes]) -> None:
         listed = b"\n".join(new).decode()
-        odd = set(self.odd(listed)) if self.lower else {w.decode() for w in new}
+        odd = {*self.odd(listed), *self.special(listed)} if self.lower else {w.decode() for w in new}
         for word in odd:
             self.known[word.encode()] = self.whole(word)
         plain = [w for w in new if w not in self.known] if odd else new
@@ -99,17 +105,13 @@ class Encoder:
             return
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        pieces, known = self.pieces, self.known
-        for word, low in zip(plain, b"\n".join(plain).decode().lower().split("\n")):
-            # Letters alone are one piece.
-            parts = (low,) if low.isalpha() else self.cut(low)
-            found = []
-            for p in parts:
-                ids = pieces.get(p)
-                if ids is None:
-                    ids = pieces[p] = self.piece(p)
-                found.append(ids)
-            known[word] = found[0] if len(found) == 1 else b"".join(found)
+        parts = self.cut(b"\n".join([*plain, b""]).decode().lower())
+        self.pieces["\n"] = b""
+        self.learn_pieces(list(set(parts).difference(self.pieces)))
+        found = list(map(self.pieces.__getitem__, parts))
+        last = np.fromiter(map("\n".__eq__, parts), dtype=bool, count=len(parts))
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))[last].tolist()
+        self.known.update(zip(plain, map(b"".join(found).__getitem__, map(slice, [0, *ends], ends))))
 
     def __call__(self, texts: Iterable[bytes]) -> list[np.ndarray]:
         """The ids of each text, given as UTF-8."""
@@ -117,16 +119,25 @@ class Encoder:
             return [np.frombuffer(self.whole(t.decode()), dtype=np.uint32) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new and self.older:
-            again = new & self.older.keys()
-            self.known.update((w, self.older[w]) for w in again)
-            new -= again
-        if new:
-            self.learn(list(new))
-        word = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(word, words)), dtype=np.uint32) for words in split]
+        # Words, and empty ones where a text begins or ends with white space.
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        if new := [w for w, ids in zip(words, found) if ids is None]:
+            again = {w: ids for w in new if (ids := self.older.get(w)) is not None} if self.older else {}
+            self.known.update(again)
+            if new := [w for w in new if w not in again]:
+                self.learn(new)
+            found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids = np.frombuffer(b"".join(found), dtype=np.uint32)
+        at = numbered.indices.to_numpy()
+        ends = np.cumsum(sizes[at])
+        shift = (np.cumsum(sizes) - sizes)[at] - (ends - sizes[at])
+        ids = ids[np.repeat(shift, sizes[at]) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        return [ids[low:high] for low, high in zip(ends, ends[1:])]
 
 
 def encoder(path: str) -> Encoder:

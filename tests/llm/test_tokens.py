@@ -31,6 +31,34 @@ def test_ids_are_those_of_the_library(spark):
         assert [x.tolist() for x in encode([t.encode() for t in texts])] == library_ids(texts)
 
 
+def test_a_word_is_looked_up_once_for_all_its_places():
+    class Counted(dict):
+        lookups = 0
+
+        def __getitem__(self, key):
+            self.lookups += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            self.lookups += 1
+            return super().get(key, default)
+
+    encode = Encoder(default_path())
+    encode.known = Counted()
+    texts = ["one two  three\n" * 500, "", "\t two", " ", "\x1cthree\x0b\x0cÉté "]
+    assert [x.tolist() for x in encode([t.encode() for t in texts])] == library_ids(texts)
+    assert encode.known.lookups < 50
+    assert encode([]) == [] and [len(x) for x in encode([b"", b" "])] == [0, 0]
+
+
+@pytest.mark.parametrize("remembered", [0, 3])
+def test_forgotten_words_are_learned_again(monkeypatch, remembered):
+    monkeypatch.setattr("fleetops.llm.tokens.REMEMBERED", remembered)
+    encode = Encoder(default_path())
+    for text in ["a b c's", "c's d <|endoftext|>", "Éa e f g", "a b", "a ĳ \u212b"] * 2:
+        assert [x.tolist() for x in encode([text.encode()])] == library_ids([text])
+
+
 @pytest.mark.parametrize("high", [1, 2, 100, 50_000, 1 << 31, (1 << 32) - 1])
 def test_blocks_round_trip(high):
     rng = np.random.default_rng(high)
